@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,32 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def record(**fields: Column) -> Column:
+    """A struct whose field names hold wherever the expression is placed."""
+    return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+
+
+def memo(fn):
+    """Builds the expression once per argument list of plain names.
+
+    Putting a long expression together takes many calls into the JVM; the
+    result depends on the names only and can be used in any plan.
+    """
+    built = {}
+
+    @functools.wraps(fn)
+    def cached(*args, **kwargs):
+        values = (*args, *kwargs.values())
+        if not all(v is None or isinstance(v, (str, int, bool, tuple)) for v in values):
+            return fn(*args, **kwargs)
+        key = (id(SparkContext._gateway), args, tuple(kwargs.items()))
+        if key not in built:
+            built[key] = fn(*args, **kwargs)
+        return built[key]
+
+    return cached
+
+
 def let(value: Column | dict[str, Column], body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 
@@ -19,7 +47,7 @@ def let(value: Column | dict[str, Column], body: Callable[[Column], Column]) ->
     multiply. A dictionary binds several values as the fields of a struct.
     """
     if isinstance(value, dict):
-        value = F.struct(*[c.alias(name) for name, c in value.items()])
+        value = record(**value)
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webframe.functions.common import as_col, let
+from webframe.functions.common import as_col, let, memo
 
 _WS = r"[ \t\n\f\r]"
 _ESC = r"\\(?:[0-9A-Fa-f]{1,6}+[ \t\n\f\r]?+|[^\n\f\r0-9A-Fa-f])"
@@ -43,6 +43,7 @@ def css_url_tokens(css: Column | str) -> Column:
     return F.filter(tokens, lambda t: t != "")
 
 
+@memo
 def css_urls(css: Column | str) -> Column:
     """``ARRAY<STRING>`` of linked URLs in order, duplicates and ``''`` kept."""
 

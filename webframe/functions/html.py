@@ -16,7 +16,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webframe.functions.common import as_col, let
+from webframe.functions.common import as_col, let, memo, record
 from webframe.functions.css import css_urls, rewrite_css
 
 _W = r"[ \t\n\f\r]"
@@ -173,9 +173,10 @@ def _style_text(piece: Column, tag: Column) -> Column:
 
 
 def _link(kind: str, tag: Column, url: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), tag.alias("tag"), url.alias("url"))
+    return record(kind=F.lit(kind), tag=tag, url=url)
 
 
+@memo
 def html_links(html: Column | str) -> Column:
     """``ARRAY<STRUCT<kind, tag, url>>`` of all links, in document order.
 
@@ -281,7 +282,7 @@ def rewrite_html(html: Column | str, replace: Callable[[Column, Column], Column]
             inline = let(linked, style_attrs)
             return let(inline, lambda p: style_text(p, tag))
 
-        candidate = F.struct(piece.alias("piece"), _tag_name(piece).alias("tag"))
+        candidate = {"piece": piece, "tag": _tag_name(piece)}
         return F.when(
             piece.startswith("<") & piece.rlike(whole), let(candidate, rewrite)
         ).otherwise(piece)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webframe.functions.common import as_col, let
+from webframe.functions.common import as_col, let, memo
 
 def _no_segments() -> Column:
     return F.array().cast("array<string>")
@@ -35,6 +35,7 @@ def _fold_dots(segments: Column, rooted: Column) -> Column:
     return F.aggregate(segments, _no_segments(), step)
 
 
+@memo
 def clean_path(path: Column | str) -> Column:
     """Shortest equivalent path: ``.`` and ``..`` removed, ``''`` becomes ``.``."""
 
@@ -60,6 +61,7 @@ def base_name(path: Column | str) -> Column:
     return F.when(path == "", ".").when(path.rlike(r"\A/+\z"), "/").otherwise(last)
 
 
+@memo
 def dir_name(path: Column | str) -> Column:
     """Cleaned path without its last segment."""
     return clean_path(F.regexp_replace(as_col(path), r"[^/]*\z", ""))
@@ -73,6 +75,7 @@ def join_path(*parts: Column | str) -> Column:
     )
 
 
+@memo
 def ancestors(path: Column | str) -> Column:
     """All parent directories of a path, deepest first."""
 
@@ -92,6 +95,7 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
 
 
+@memo
 def relative_path(from_file: Column | str, to_file: Column | str) -> Column:
     """Path of ``to_file`` as seen from the directory of ``from_file``."""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webframe.functions.common import ALL, as_col, let
+from webframe.functions.common import ALL, as_col, let, memo, record
 from webframe.functions.paths import clean_slash
 
 # scheme, authority, path, query, fragment. Without a scheme, three or more
@@ -72,6 +72,7 @@ def _escaped_fragment(fragment: Column) -> Column:
     )
 
 
+@memo
 def parse_url(url: Column | str) -> Column:
     """``STRUCT<scheme, userinfo, host, path, query, fragment, opaque, rooted, error>``.
 
@@ -83,14 +84,14 @@ def parse_url(url: Column | str) -> Column:
     def cut(url):
         return let(
             F.split(F.regexp_replace(url, _SPLIT, _JOIN), _SEP, 5),
-            lambda p: F.struct(
-                F.lower(F.get(p, F.lit(0))).alias("scheme"),
-                F.get(p, F.lit(1)).alias("authority"),
-                F.get(p, F.lit(2)).alias("path"),
-                F.get(p, F.lit(3)).alias("query"),
-                F.get(p, F.lit(4)).alias("fragment"),
-                F.regexp_extract(F.get(p, F.lit(1)), r"(?s)\A//(.*)@", 1).alias("userinfo"),
-                F.regexp_replace(F.get(p, F.lit(1)), r"(?s)\A//(?:.*@)?", "").alias("host"),
+            lambda p: record(
+                scheme=F.lower(F.get(p, F.lit(0))),
+                authority=F.get(p, F.lit(1)),
+                path=F.get(p, F.lit(2)),
+                query=F.get(p, F.lit(3)),
+                fragment=F.get(p, F.lit(4)),
+                userinfo=F.regexp_extract(F.get(p, F.lit(1)), r"(?s)\A//(.*)@", 1),
+                host=F.regexp_replace(F.get(p, F.lit(1)), r"(?s)\A//(?:.*@)?", ""),
             ),
         )
 
@@ -113,18 +114,17 @@ def parse_url(url: Column | str) -> Column:
             | (fragment.contains("%") & fragment.rlike(_BAD_ESCAPE))
             | ((authority != "") & bad_authority)
         )
-        return F.struct(
-            scheme.alias("scheme"),
-            p["userinfo"].alias("userinfo"),
-            F.when(host.rlike(r"[^\x00-\x7F]|%"), _percent_encode(host, _HOST_SAFE))
-            .otherwise(host)
-            .alias("host"),
-            path.alias("path"),
-            p["query"].alias("query"),
-            F.when(fragment == "#", "").otherwise(fragment).alias("fragment"),
-            opaque.alias("opaque"),
-            ((authority == "") & (scheme != "") & path.startswith("/")).alias("rooted"),
-            F.coalesce(error, F.lit(True)).alias("error"),
+        encoded = F.when(host.rlike(r"[^\x00-\x7F]|%"), _percent_encode(host, _HOST_SAFE))
+        return record(
+            scheme=scheme,
+            userinfo=p["userinfo"],
+            host=encoded.otherwise(host),
+            path=path,
+            query=p["query"],
+            fragment=F.when(fragment == "#", "").otherwise(fragment),
+            opaque=opaque,
+            rooted=(authority == "") & (scheme != "") & path.startswith("/"),
+            error=F.coalesce(error, F.lit(True)),
         )
 
     return let(as_col(url), lambda u: let({"url": u, "p": cut(u)}, build))
@@ -175,6 +175,7 @@ def _clean_parsed(p: Column) -> Column:
     return F.when(~p["error"] & ~p["opaque"], text)
 
 
+@memo
 def clean_url(url: Column | str) -> Column:
     """Slashes of the path collapsed, unsafe characters encoded; NULL on error."""
     return let(
@@ -209,6 +210,7 @@ def _remove_dots(path: Column) -> Column:
     return let(path, fold)
 
 
+@memo
 def base_of(url: Column | str, base_mode: str = "directory") -> Column:
     """What resolving needs of a page URL, parsed once per page.
 
@@ -229,15 +231,15 @@ def base_of(url: Column | str, base_mode: str = "directory") -> Column:
             folder = F.concat(F.lit("/"), F.regexp_replace(own, r"\A/|[^/]*\z", ""))
         return let(
             {"own": own, "dir": folder},
-            lambda x: F.struct(
-                p["scheme"].alias("scheme"),
-                p["userinfo"].alias("userinfo"),
-                p["host"].alias("host"),
-                x["dir"].alias("dir"),
-                x["own"].alias("own"),
-                p["query"].alias("query"),
-                p["fragment"].alias("fragment"),
-                F.coalesce(p["error"] | p["opaque"], F.lit(True)).alias("error"),
+            lambda x: record(
+                scheme=p["scheme"],
+                userinfo=p["userinfo"],
+                host=p["host"],
+                dir=x["dir"],
+                own=x["own"],
+                query=p["query"],
+                fragment=p["fragment"],
+                error=F.coalesce(p["error"] | p["opaque"], F.lit(True)),
             ),
         )
 
@@ -270,26 +272,30 @@ def resolve_parsed(base: Column, cleaned: Column, ref: Column) -> Column:
     return F.when(ref["scheme"] != "", cleaned).when(~base["error"] & ~ref["error"], relative)
 
 
+@memo
 def absolute_url(parent: Column | str, link: Column | str, base_mode: str = "directory") -> Column:
     """Absolute form of ``link`` found on ``parent``; NULL if it has none."""
     return resolve_with(base_of(parent, base_mode), link)
 
 
-def resolve_with(base: Column, link: Column | str) -> Column:
+@memo
+def resolve_with(base: Column | str, link: Column | str) -> Column:
     """Like :func:`absolute_url` for a page already parsed by :func:`base_of`."""
     return let(
-        {"base": base, "link": clean_url(link)},
+        {"base": as_col(base), "link": clean_url(link)},
         lambda x: let(
             parse_url(x["link"]), lambda ref: resolve_parsed(x["base"], x["link"], ref)
         ),
     )
 
 
+@memo
 def url_host(url: Column | str) -> Column:
     """Host with port; ``''`` without one; NULL for an unparsable URL."""
     return let(parse_url(url), lambda p: F.when(~p["error"], p["host"]))
 
 
+@memo
 def same_host(a: Column | str, b: Column | str) -> Column:
     """Equal hosts, ports included; false if either URL is unparsable."""
     return F.coalesce(url_host(a) == url_host(b), F.lit(False))
@@ -309,6 +315,7 @@ def percent_decode(text: Column) -> Column:
     ).otherwise(text)
 
 
+@memo
 def url_path(url: Column | str) -> Column:
     """Decoded path; NULL for an unparsable URL."""
     return let(
@@ -320,6 +327,7 @@ def drop_fragment(url: Column | str) -> Column:
     return F.regexp_replace(as_col(url), "(?s)#.*", "")
 
 
+@memo
 def with_default_scheme(url: Column | str, scheme: str = "http") -> Column:
     """Seed URL with a scheme put in front where it has none; NULL on error."""
 
@@ -335,6 +343,7 @@ def with_default_scheme(url: Column | str, scheme: str = "http") -> Column:
     return let(parse_url(url), build)
 
 
+@memo
 def validate_url(url: Column | str) -> Column:
     """``STRUCT<url, valid, error>`` of a seed as typed by a user.
 
@@ -380,11 +389,7 @@ def validate_url(url: Column | str) -> Column:
         )
         return let(
             error,
-            lambda e: F.struct(
-                F.when(e.isNull(), full).alias("url"),
-                e.isNull().alias("valid"),
-                e.alias("error"),
-            ),
+            lambda e: record(url=F.when(e.isNull(), full), valid=e.isNull(), error=e),
         )
 
     # A request URI has no fragment: '#' belongs to the host or the path.

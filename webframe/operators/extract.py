@@ -59,7 +59,7 @@ def resolve_links(
     if mime:
         css = extract_css_links(base.where("_mime = 'text/css'"), "_body", ["src", "_base"])
         links = links.unionByName(css)
-    dst = resolve_with(F.col("_base"), "link")
+    dst = resolve_with("_base", "link")
     if canonicalize:
         dst = drop_fragment(dst)
     return links.select("src", "pos", "kind", "tag", "link", dst.alias("dst"))

@@ -122,7 +122,7 @@ def _link_forms(spark, sf):
 def _resolved_forms(spark, sf):
     based = _link_forms(spark, sf).select("page_id", "url", "links", U.base_of("url").alias("base"))
     return based.select("page_id", "url", "base", F.posexplode("links").alias("pos", "link")).select(
-        "page_id", "url", F.col("pos").cast("bigint"), "link", U.resolve_with(F.col("base"), "link").alias("dst")
+        "page_id", "url", F.col("pos").cast("bigint"), "link", U.resolve_with("base", "link").alias("dst")
     )
 
 
@@ -698,5 +698,5 @@ def stream_status_query(spark, sf):
 
 @query
 def stream_admission(spark, sf):
-    pages = _page_stream(spark, sf, max_bytes="64k").select("page_id", "url", _big(F.octet_length("html"), "n_bytes"))
+    pages = _page_stream(spark, sf, max_bytes="65536").select("page_id", "url", _big(F.octet_length("html"), "n_bytes"))
     return run_available(pages, "stream-admission")

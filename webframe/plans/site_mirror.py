@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,24 +19,55 @@ from webframe.sources.responses import fetch_error
 from webframe.sources.staging import Workspace
 
 
-@dataclass(frozen=True)
 class Mirror:
-    """Lazy results of one mirror job; all lie on written tables.
+    """Results of one mirror job, worked out as they are asked for.
 
     ``links(src, pos, kind, tag, link, dst)`` of every page that is followed,
     ``reached(seed_id, url, depth)`` of every URL requested, ``results`` with
     the fetch result per reached URL, ``saved(url, save_path)`` of every kept
     one, ``files(save_path, url, n_urls)`` with the URL whose body each file
-    holds.
+    holds. Each is a written table.
     """
 
-    responses: DataFrame
-    options: MirrorOptions
-    links: DataFrame
-    reached: DataFrame
-    results: DataFrame
-    saved: DataFrame
-    files: DataFrame
+    def __init__(self, responses: DataFrame, seeds: DataFrame, options: MirrorOptions):
+        self.responses = responses
+        self.options = options
+        self._workspace = Workspace(seeds.sparkSession, "mirror")
+        self.links = self._write(followed_links(responses, options), "links")
+        edges = seed_host_edges(same_host_links(self.links), seeds)
+        self.reached = closure(edges, seeds, options.max_depth)
+
+    def _write(self, df: DataFrame, name: str) -> DataFrame:
+        return self._workspace.write(df, name)[0]
+
+    @cached_property
+    def results(self) -> DataFrame:
+        narrow = fetch_results(self.responses, self.options).select(
+            "url", "status", "mime", "body_length", "error", "keep", "traverse", "raw_path"
+        )
+        missing = F.when(F.col("keep").isNull(), "not_found").otherwise(F.col("error"))
+        joined = self.reached.join(narrow, "url", "left").withColumn("error", missing)
+        return self._write(joined, "results")
+
+    @cached_property
+    def _settled(self) -> tuple[DataFrame, DataFrame]:
+        # Seeds may share URLs: each is saved once, in its last fetch.
+        kept = (
+            self.results.where("error IS NULL AND keep")
+            .groupBy("url", "raw_path")
+            .agg(F.max(F.struct("seed_id", "depth")).alias("_last"))
+            .select("url", "raw_path", "_last.seed_id", "_last.depth")
+        )
+        saved, files = settle_paths(kept, ["seed_id", "depth"])
+        return self._write(saved, "saved"), files
+
+    @property
+    def saved(self) -> DataFrame:
+        return self._settled[0]
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self._write(self._settled[1], "files")
 
     def documents(self, mime: str) -> DataFrame:
         """Bodies of the saved files of one type, one row per file."""
@@ -100,29 +131,7 @@ def mirror(responses: DataFrame, seeds: DataFrame, options: MirrorOptions = Mirr
     ``responses(url, status, mime, declared_length, filename, body_length,
     body)`` has one row per requested URL.
     """
-    workspace = Workspace(seeds.sparkSession, "mirror")
-    links, _ = workspace.write(followed_links(responses, options), "links")
-    edges = seed_host_edges(same_host_links(links), seeds)
-    reached = closure(edges, seeds, options.max_depth)
-    facts = fetch_results(responses, options)
-    narrow = facts.select(
-        "url", "status", "mime", "body_length", "error", "keep", "traverse", "raw_path"
-    )
-    results = reached.join(narrow, "url", "left").withColumn(
-        "error", F.when(F.col("keep").isNull(), "not_found").otherwise(F.col("error"))
-    )
-    results, _ = workspace.write(results, "results")
-    # Seeds may share URLs: each is saved once, in its last fetch.
-    kept = (
-        results.where("error IS NULL AND keep")
-        .groupBy("url", "raw_path")
-        .agg(F.max(F.struct("seed_id", "depth")).alias("_last"))
-        .select("url", "raw_path", F.col("_last.seed_id").alias("seed_id"), F.col("_last.depth").alias("depth"))
-    )
-    saved, files = settle_paths(kept, ["seed_id", "depth"])
-    saved, _ = workspace.write(saved, "saved")
-    files, _ = workspace.write(files, "files")
-    return Mirror(responses, options, links, reached, results, saved, files)
+    return Mirror(responses, seeds, options)
 
 
 def in_scope():
