@@ -44,6 +44,35 @@ _CLEAN_ALREADY = (
 )
 
 
+# Absolute URLs whose host and path can be read off; no user, no stray characters.
+_PLAIN_URL = (
+    rf"\Ahttps?://[A-Za-z0-9.\-]++(?::[0-9]++)?+"
+    rf"(?:/(?!/|\.\.?(?:[/?#]|\z))(?:[{_UNRESERVED}$&+,:;=@!'()*\[\]]|%[89A-Fa-f][0-9A-Fa-f])*+)*+"
+    r"(?:\?[^#\x00-\x1F\x7F]*+)?+"
+    rf"(?:#[{_FRAGMENT_SAFE}]++)?+\z"
+)
+# Paths from the root: the first kind stays as it is, the second is encoded.
+_ROOTED_PLAIN = (
+    rf"\A(?:/(?!/|\.\.?(?:[/?#]|\z))[{_UNRESERVED}$&+,:;=@]*+)++"
+    r"(?:\?[^#\x00-\x1F\x7F]*+)?+"
+    rf"(?:#[{_FRAGMENT_SAFE}]++)?+\z"
+)
+_ROOTED_UNSAFE = r"\A(?:/(?!/|\.\.?(?:/|\z))[^/?#%\x00-\x1F\x7F]*+)++\z"
+# What form encoding escapes although a path may hold it.
+_FORM_DIFFERENCES = {
+    "+": "%20", "*": "%2A", "%2F": "/", "%2C": ",", "%3A": ":", "%3B": ";", "%3D": "=",
+    "%40": "@", "%26": "&", "%24": "$", "%2B": "+", "%7E": "~",
+}
+
+
+def _encode_plain(path: Column) -> Column:
+    """Encoding of a path without escapes, out of form encoding."""
+    out = F.url_encode(path)
+    for form, kept in _FORM_DIFFERENCES.items():
+        out = F.replace(out, F.lit(form), F.lit(kept))
+    return out
+
+
 def _percent_encode(text: Column, safe: str) -> Column:
     """Decode, then encode everything outside ``safe`` as upper-case UTF-8 bytes."""
     tokens = F.regexp_extract_all(text, F.lit(rf"%[0-9A-Fa-f]{{2}}|[{safe}]++|(?s:.)"), F.lit(0))
@@ -239,6 +268,10 @@ def base_of(url: Column | str, base_mode: str = "directory") -> Column:
                 own=x["own"],
                 query=p["query"],
                 fragment=p["fragment"],
+                origin=F.when(
+                    (p["scheme"] != "") & (p["host"] != "") & (p["userinfo"] == ""),
+                    F.concat(p["scheme"], F.lit("://"), p["host"]),
+                ),
                 error=F.coalesce(p["error"] | p["opaque"], F.lit(True)),
             ),
         )
@@ -275,24 +308,41 @@ def resolve_parsed(base: Column, cleaned: Column, ref: Column) -> Column:
 @memo
 def absolute_url(parent: Column | str, link: Column | str, base_mode: str = "directory") -> Column:
     """Absolute form of ``link`` found on ``parent``; NULL if it has none."""
-    return resolve_with(base_of(parent, base_mode), link)
+    return let(
+        {"base": base_of(parent, base_mode), "link": as_col(link)},
+        lambda x: resolve_with(x["base"], x["link"]),
+    )
 
 
 @memo
 def resolve_with(base: Column | str, link: Column | str) -> Column:
-    """Like :func:`absolute_url` for a page already parsed by :func:`base_of`."""
-    return let(
-        {"base": as_col(base), "link": clean_url(link)},
+    """Like :func:`absolute_url` for a page already parsed by :func:`base_of`.
+
+    Plain URLs and paths from the root, most links, need one or two scans; the
+    others go through the parser.
+    """
+    base, link = as_col(base), as_col(link)
+    any_link = let(
+        {"base": base, "link": clean_url(link)},
         lambda x: let(
             parse_url(x["link"]), lambda ref: resolve_parsed(x["base"], x["link"], ref)
         ),
     )
+    rooted = link.startswith("/") & base["origin"].isNotNull() & ~base["error"]
+    return (
+        F.when(rooted & link.rlike(_ROOTED_PLAIN), F.concat(base["origin"], link))
+        .when(rooted & link.rlike(_ROOTED_UNSAFE), F.concat(base["origin"], _encode_plain(link)))
+        .when(link.startswith("http") & link.rlike(_PLAIN_URL), link)
+        .otherwise(any_link)
+    )
 
 
 @memo
 def url_host(url: Column | str) -> Column:
     """Host with port; ``''`` without one; NULL for an unparsable URL."""
-    return let(parse_url(url), lambda p: F.when(~p["error"], p["host"]))
+    url = as_col(url)
+    parsed = let(parse_url(url), lambda p: F.when(~p["error"], p["host"]))
+    return F.when(url.rlike(_PLAIN_URL), F.regexp_extract(url, "://([^/?#]*)", 1)).otherwise(parsed)
 
 
 @memo
@@ -318,9 +368,18 @@ def percent_decode(text: Column) -> Column:
 @memo
 def url_path(url: Column | str) -> Column:
     """Decoded path; NULL for an unparsable URL."""
-    return let(
-        parse_url(url), lambda p: F.when(~p["error"], F.when(p["opaque"], "").otherwise(percent_decode(p["path"])))
+    url = as_col(url)
+    parsed = let(
+        parse_url(url),
+        lambda p: F.when(~p["error"], F.when(p["opaque"], "").otherwise(percent_decode(p["path"]))),
     )
+    plain = let(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), percent_decode)
+    return F.when(url.rlike(_PLAIN_URL), plain).otherwise(parsed)
+
+
+def is_plain(url: Column) -> Column:
+    """True for an absolute URL without user, dot segments or doubled slashes."""
+    return url.rlike(_PLAIN_URL)
 
 
 def drop_fragment(url: Column | str) -> Column:

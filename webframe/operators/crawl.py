@@ -105,15 +105,12 @@ def link_status(links: DataFrame, results: DataFrame) -> DataFrame:
     return links.join(results.withColumnRenamed("url", "dst"), "dst", "left")
 
 
-def link_outcomes(
-    reached: DataFrame, links: DataFrame, results: DataFrame, in_scope
-) -> DataFrame:
+def link_outcomes(reached: DataFrame, links: DataFrame, results: DataFrame) -> DataFrame:
     """``(seed_id, outcome, n_links)`` over every link met by the crawl.
 
-    ``results(url, error, keep)`` has one row per URL; ``in_scope`` is the
-    same-host condition on ``src`` and ``dst``. Links are counted per target
-    before the join, so a popular target is one row: the first link to a target
-    has the target's outcome, the others find it already visited.
+    ``results(url, error, keep)`` has one row per URL. Links are counted per
+    target before the join, so a popular target is one row: the first link to a
+    target has the target's outcome, the others find it already visited.
     """
     counted = (
         reached.select("seed_id", F.col("url").alias("src"))
@@ -121,7 +118,7 @@ def link_outcomes(
         .select(
             "seed_id",
             F.when(F.col("dst").isNull(), "unresolvable")
-            .when(~in_scope, "off_host")
+            .when(~F.col("same_host"), "off_host")
             .alias("drop_reason"),
             "dst",
         )

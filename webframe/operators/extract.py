@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webframe.functions.common import let, record
 from webframe.functions.css import css_urls
 from webframe.functions.html import html_links
-from webframe.functions.urls import base_of, drop_fragment, resolve_with, same_host
+from webframe.functions.urls import base_of, drop_fragment, resolve_with, url_host
 
 
 def extract_links(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -34,6 +35,38 @@ def extract_css_links(sheets: DataFrame, css: str = "css", keep: list[str] | Non
     )
 
 
+def _with_targets(links: Column, base: Column, host: Column, canonicalize: bool) -> Column:
+    """Each link with its target and whether that is on the page's host.
+
+    Done inside the array, so that filters on the target do not have it
+    resolved a second time.
+    """
+
+    def one(link):
+        dst = resolve_with(base, link["url"])
+        if canonicalize:
+            dst = drop_fragment(dst)
+
+        def judge(dst):
+            own = F.concat(base["origin"], F.lit("/"))
+            return record(
+                kind=link["kind"],
+                tag=link["tag"],
+                link=link["url"],
+                dst=dst,
+                same_host=F.coalesce(
+                    F.when(host.isNull(), F.lit(False))
+                    .when(dst.startswith(own) & base["origin"].endswith(host), host != "")
+                    .otherwise(url_host(dst) == host),
+                    F.lit(False),
+                ),
+            )
+
+        return let(dst, judge)
+
+    return F.transform(links, one)
+
+
 def resolve_links(
     pages: DataFrame,
     url: str = "url",
@@ -42,27 +75,28 @@ def resolve_links(
     base_mode: str = "directory",
     canonicalize: bool = False,
 ) -> DataFrame:
-    """``(src, pos, kind, tag, link, dst)``; ``dst`` is NULL for unresolvable links.
+    """``(src, pos, kind, tag, link, dst, same_host)``.
 
-    With ``mime`` the body is read as HTML or CSS by its type, and rows of
-    other types give nothing. The page URL is parsed once per page, below the
-    explode; the body ends at the explode and is never shuffled.
+    ``dst`` is NULL for unresolvable links. With ``mime`` the body is read as
+    HTML or CSS by its type, and rows of other types give nothing. The page URL
+    is parsed once per page; the body ends at the explode and is never shuffled.
     """
-    base = pages.select(
+    sheet = F.transform(
+        css_urls(body), lambda u: record(kind=F.lit("css"), tag=F.lit(""), url=u)
+    )
+    found = html_links(body)
+    if mime:
+        found = F.when(F.col(mime) == "text/html", found).when(F.col(mime) == "text/css", sheet)
+    parsed = pages.select(
         F.col(url).alias("src"),
-        F.col(body).alias("_body"),
+        found.alias("_links"),
         base_of(url, base_mode).alias("_base"),
-        *([F.col(mime).alias("_mime")] if mime else []),
+        url_host(url).alias("_host"),
+    )
+    targets = _with_targets(F.col("_links"), F.col("_base"), F.col("_host"), canonicalize)
+    return parsed.select("src", F.posexplode(targets).alias("pos", "_l")).select(
+        "src", F.col("pos").cast("bigint"), "_l.kind", "_l.tag", "_l.link", "_l.dst", "_l.same_host"
     )
-    html = base.where("_mime = 'text/html'") if mime else base
-    links = extract_links(html, "_body", ["src", "_base"])
-    if mime:
-        css = extract_css_links(base.where("_mime = 'text/css'"), "_body", ["src", "_base"])
-        links = links.unionByName(css)
-    dst = resolve_with("_base", "link")
-    if canonicalize:
-        dst = drop_fragment(dst)
-    return links.select("src", "pos", "kind", "tag", "link", dst.alias("dst"))
 
 
 def split_unresolvable(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +106,7 @@ def split_unresolvable(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def same_host_links(links: DataFrame) -> DataFrame:
     """Links whose target has the host and port of the page."""
-    return links.where(F.col("dst").isNotNull() & same_host("src", "dst"))
+    return links.where("same_host")
 
 
 def links_per_page(links: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webframe.functions.common import as_col, let
 from webframe.functions.headers import mime_extension
 from webframe.functions.paths import ancestors, dir_name, join_path, numbered_name
-from webframe.functions.urls import hostname, parse_url, percent_decode
+from webframe.functions.urls import hostname, is_plain, parse_url, percent_decode
 from webframe.operators.prefix import running
 from webframe.sources.staging import Workspace
 
@@ -51,7 +51,20 @@ def save_path(
             ),
         )
 
-    return F.coalesce(let(parse_url(url), cut), F.lit(""))
+    def plain(x):
+        path = x["path"]
+        index = F.concat(F.lit("index."), mime_extension(mime))
+        name = F.when(path == "", F.concat(F.lit("/"), index)).when(path.endswith("/"), index)
+        return join_path(parent, F.concat(x["host"], path, name.otherwise("")))
+
+    url = as_col(url)
+    parts = {
+        "host": hostname(F.regexp_extract(url, "://([^/?#]*)", 1)),
+        "path": let(F.regexp_extract(url, "://[^/?#]*([^?#]*)", 1), percent_decode),
+    }
+    return F.when(is_plain(url) & filename.isNull(), let(parts, plain)).otherwise(
+        F.coalesce(let(parse_url(url), cut), F.lit(""))
+    )
 
 
 def last_write_wins(files: DataFrame, order: str) -> DataFrame:
@@ -72,6 +85,38 @@ def resolve_dir_conflicts(files: DataFrame, path: str = "save_path") -> DataFram
     return flagged.withColumn(path, F.coalesce(moved, F.col(path))).drop("_dir", "_hit")
 
 
+def _skip_taken(rows: DataFrame, existing: DataFrame, name: str, bucket_size: int) -> DataFrame:
+    """Raises ``_n`` past the numbers of a name that are taken already.
+
+    With the taken numbers ``b0 < b1 < ...`` of a name, the row of rank ``r``
+    moves up once for every ``j`` with ``bj - j <= r``.
+    """
+    old = existing.select(F.col(name).alias("_old")).distinct()
+    parts = r"(?s)\A(.*)\(([1-9][0-9]{0,17})\)(\.[^./]*)?\z"
+    numbered = old.where(F.col("_old").rlike(parts)).select(
+        F.regexp_replace("_old", parts, "$1$3").alias(name),
+        F.regexp_extract("_old", parts, 2).cast("bigint").alias("_k"),
+        "_old",
+    )
+    # Only names that lead to just this one: "a(1)" is no number of "a.b(1)".
+    numbered = numbered.where(numbered_name(name, F.col("_k")) == F.col("_old")).drop("_old")
+    taken = old.select(F.col("_old").alias(name), F.lit(0).cast("bigint").alias("_k")).unionByName(numbered)
+    taken = taken.join(rows.select(name).distinct(), name, "left_semi")
+    counted = running(taken, [name], ["_k"], F.lit(1), "_j", F.floor(F.col("_k") / bucket_size))
+    marks = counted.select(name, (F.col("_k") - F.col("_j") + 1).alias("_at"), F.lit(0).alias("_row"))
+    both = rows.select("*", F.col("_rank").alias("_at"), F.lit(1).alias("_row")).unionByName(
+        marks, allowMissingColumns=True
+    )
+    shifted = running(
+        both, [name], ["_at", "_row"], 1 - F.col("_row"), "_up", F.floor(F.col("_at") / bucket_size)
+    )
+    return (
+        shifted.where("_row = 1")
+        .withColumn("_n", F.col("_rank") + F.col("_up"))
+        .drop("_at", "_row", "_up")
+    )
+
+
 def unique_names(
     names: DataFrame,
     existing: DataFrame | None = None,
@@ -86,7 +131,8 @@ def unique_names(
     All rows propose at once; a name goes to its first claimant and the others
     move on to their next candidate, until nobody is refused. With one common
     order that ends in the same assignment as going row by row. Rows of one name
-    start at their rank, so a round without refusals is the usual case.
+    start at their rank past the numbers taken before, so that a single round
+    without refusals is the usual case.
     """
     workspace = Workspace(names.sparkSession, "names")
     bucket = F.floor(F.col(order) / bucket_size)
@@ -95,6 +141,7 @@ def unique_names(
     taken = None
     if existing is not None:
         taken = existing.select(F.col(name).alias("_try")).distinct().withColumn(order, F.lit(None).cast("bigint"))
+        rows = _skip_taken(rows, existing, name, bucket_size)
     turn = 0
     while True:
         rows = rows.withColumn(

@@ -19,7 +19,7 @@ from webframe.operators import transfers as T
 from webframe.options import MirrorOptions
 from webframe.plans import views as V
 from webframe.plans.download import download
-from webframe.plans.site_mirror import in_scope, mirror
+from webframe.plans.site_mirror import mirror
 from webframe.sources.responses import fetch_join
 from webframe.sources.sinks import success_list
 from webframe.sources.staging import Workspace
@@ -412,7 +412,7 @@ def links_per_page(spark, sf):
 def link_outcomes(spark, sf):
     done = _site_mirror(spark, sf, rejects=SITE_REJECTS)
     results = done.results.where("keep IS NOT NULL").select("url", "error", "keep").distinct()
-    return crawl.link_outcomes(done.reached, done.links, results, in_scope())
+    return crawl.link_outcomes(done.reached, done.links, results)
 
 
 @query

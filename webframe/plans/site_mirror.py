@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.functions.paths import escapes_root
-from webframe.functions.urls import same_host
 from webframe.operators.crawl import closure, seed_host_edges
 from webframe.operators.extract import resolve_links, same_host_links
 from webframe.operators.filters import with_limits
@@ -132,8 +131,3 @@ def mirror(responses: DataFrame, seeds: DataFrame, options: MirrorOptions = Mirr
     body)`` has one row per requested URL.
     """
     return Mirror(responses, seeds, options)
-
-
-def in_scope():
-    """The same-host condition of a link, for outcome reports."""
-    return same_host("src", "dst")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.operators.prefix import running
-from webframe.sources.responses import with_headers
+from webframe.sources.responses import spread, with_headers
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def text(*parts) -> Column:
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages")
+    return spread(table(spark, sf, "pages"))
 
 
 def page_host(url: str = "url") -> Column:

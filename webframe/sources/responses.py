@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from webframe.functions import headers as H
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least one partition per core.
+
+    Reading links out of documents is far dearer than reading the documents, so
+    a table in fewer pieces than there are cores is dealt out first. A large
+    table has pieces enough and comes through without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def with_headers(df: DataFrame, headers: str = "headers") -> DataFrame:
     """Adds ``mime``, ``declared_length`` and ``filename`` from a header map."""
     return (
