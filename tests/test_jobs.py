@@ -48,6 +48,13 @@ def test_closure_is_bfs(spark, probe_min):
     assert len(rows) == len({(r.seed_id, r.url) for r in rows})
 
 
+def test_closure_of_nested_edges(spark):
+    edges = spark.createDataFrame([("a", ["b", "c"]), ("b", ["a"]), ("c", ["d"])], "src string, dsts array<string>")
+    seeds = spark.createDataFrame([(1, "a"), (2, "b")], "seed_id bigint, url string")
+    got = {(r.seed_id, r.url): r.depth for r in crawl.closure(edges, seeds).collect()}
+    assert got == bfs({"a": ["b", "c"], "b": ["a"], "c": ["d"]}, [(1, "a"), (2, "b")])
+
+
 def test_closure_depth_limit(spark):
     edges = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(9)], "src string, dst string")
     seeds = spark.createDataFrame([(1, "c0")], "seed_id bigint, url string")
@@ -109,7 +116,7 @@ def test_mirror_rejects_traverses_and_converts(spark, tmp_path):
     outcomes = {
         r.outcome: r.n_links
         for r in crawl.link_outcomes(
-            done.reached, done.links, done.results.where("keep IS NOT NULL").select("url", "error", "keep")
+            done.reached, done.nested, done.results.where("keep IS NOT NULL").select("url", "error", "keep")
         ).collect()
     }
     assert outcomes == {"saved": 6, "not_found": 1, "off_host": 1, "visited": 1, "rejected": 1, "short_body": 1}

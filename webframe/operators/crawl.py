@@ -23,7 +23,7 @@ _PROBE_MIN_ROWS = 50_000_000
 def seed_host_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges on the hosts of the seeds; all others can never be reached.
 
-    For edges that stay on their host. The host list is shuffled or broadcast
+    For edges that stay on their host, in either form. The host list is shuffled or broadcast
     by its size; a huge host is split by skew handling, its side being the left.
     """
     hosts = seeds.select(url_host("url").alias("_h")).distinct()
@@ -49,12 +49,15 @@ def closure(
 ) -> DataFrame:
     """``(seed_id, url, depth)`` of every URL requested when mirroring the seeds.
 
-    ``edges(src, dst)`` must only leave pages that are traversed. Each seed has
+    ``edges(src, dst)``, or ``(src, dsts)`` with the targets of a page in one
+    row, must only leave pages that are traversed. The second form is joined on
+    unique keys, so that a page with very many links is no skew. Each seed has
     its own visited set. Depth is the number of links from the seed.
     """
     spark = seeds.sparkSession
     workspace = Workspace(spark, "closure")
-    graph, _ = workspace.write(edges.select("src", "dst"), "edges")
+    target = F.explode("dsts") if "dsts" in edges.columns else F.col("dst")
+    graph, _ = workspace.write(edges, "edges")
     level = seeds.select(F.col("seed_id").cast("bigint"), "url").distinct()
     level = level.withColumn("depth", F.lit(0).cast("bigint"))
     frontier, n_frontier = workspace.write(level, "level-0")
@@ -64,7 +67,7 @@ def closure(
         visited = workspace.read(level.schema, names)
         candidates = (
             frontier.join(graph, F.col("url") == F.col("src"))
-            .select("seed_id", F.col("dst").alias("url"))
+            .select("seed_id", target.alias("url"))
             .distinct()
         )
         fresh = _unseen(candidates, visited, n_frontier, n_visited, workspace, depth, probe_min)
@@ -82,16 +85,20 @@ def unseen(frontier: DataFrame, visited: DataFrame, key: list[str] | None = None
     return frontier.select(*key).distinct().join(visited.select(*key).distinct(), key, "left_anti")
 
 
-def discovery_parents(reached: DataFrame, edges: DataFrame) -> DataFrame:
+def discovery_parents(reached: DataFrame, nested: DataFrame) -> DataFrame:
     """For each URL beyond the seeds the page and link that led to it first.
 
     First means the smallest page URL, then link position, one level above.
+    ``nested`` is the table of :func:`page_links`; pages are joined whole and
+    taken apart afterwards.
     """
     found = (
         reached.select("seed_id", F.col("url").alias("src"), "depth")
-        .join(edges.select("src", "dst", "pos"), "src")
-        .groupBy("seed_id", F.col("dst").alias("url"))
-        .agg(F.min(F.struct("depth", "src", "pos")).alias("_first"))
+        .join(nested, "src")
+        .select("seed_id", "depth", "src", F.posexplode("links").alias("pos", "_l"))
+        .where("_l.same_host")
+        .groupBy("seed_id", F.col("_l.dst").alias("url"))
+        .agg(F.min(F.struct("depth", "src", F.col("pos").cast("bigint").alias("pos"))).alias("_first"))
     )
     return (
         reached.where("depth > 0")
@@ -105,22 +112,23 @@ def link_status(links: DataFrame, results: DataFrame) -> DataFrame:
     return links.join(results.withColumnRenamed("url", "dst"), "dst", "left")
 
 
-def link_outcomes(reached: DataFrame, links: DataFrame, results: DataFrame) -> DataFrame:
+def link_outcomes(reached: DataFrame, nested: DataFrame, results: DataFrame) -> DataFrame:
     """``(seed_id, outcome, n_links)`` over every link met by the crawl.
 
-    ``results(url, error, keep)`` has one row per URL. Links are counted per
-    target before the join, so a popular target is one row: the first link to a
+    ``nested`` is the table of :func:`page_links`, ``results(url, error, keep)``
+    has one row per URL. Links are counted per target before the join, so a popular target is one row: the first link to a
     target has the target's outcome, the others find it already visited.
     """
     counted = (
         reached.select("seed_id", F.col("url").alias("src"))
-        .join(links, "src")
+        .join(nested, "src")
+        .select("seed_id", F.explode("links").alias("_l"))
         .select(
             "seed_id",
-            F.when(F.col("dst").isNull(), "unresolvable")
-            .when(~F.col("same_host"), "off_host")
+            F.when(F.col("_l.dst").isNull(), "unresolvable")
+            .when(~F.col("_l.same_host"), "off_host")
             .alias("drop_reason"),
-            "dst",
+            F.col("_l.dst").alias("dst"),
         )
         .select("seed_id", "drop_reason", F.when(F.col("drop_reason").isNull(), F.col("dst")).alias("url"))
         .groupBy("seed_id", "drop_reason", "url")

@@ -67,7 +67,7 @@ def _with_targets(links: Column, base: Column, host: Column, canonicalize: bool)
     return F.transform(links, one)
 
 
-def resolve_links(
+def page_links(
     pages: DataFrame,
     url: str = "url",
     body: str = "html",
@@ -75,11 +75,11 @@ def resolve_links(
     base_mode: str = "directory",
     canonicalize: bool = False,
 ) -> DataFrame:
-    """``(src, pos, kind, tag, link, dst, same_host)``.
+    """``(src, links ARRAY<STRUCT<kind, tag, link, dst, same_host>>)``, a row per page.
 
     ``dst`` is NULL for unresolvable links. With ``mime`` the body is read as
-    HTML or CSS by its type, and rows of other types give nothing. The page URL
-    is parsed once per page; the body ends at the explode and is never shuffled.
+    HTML or CSS by its type, and rows of other types have no links. Nothing is
+    shuffled, and the body ends here.
     """
     sheet = F.transform(
         css_urls(body), lambda u: record(kind=F.lit("css"), tag=F.lit(""), url=u)
@@ -94,11 +94,32 @@ def resolve_links(
         url_host(url).alias("_host"),
     )
     targets = _with_targets(F.col("_links"), F.col("_base"), F.col("_host"), canonicalize)
-    return parsed.select("src", F.posexplode(targets).alias("pos", "_l")).select(
+    return parsed.select("src", targets.alias("links"))
+
+
+def explode_links(nested: DataFrame) -> DataFrame:
+    """``(src, pos, kind, tag, link, dst, same_host)`` of :func:`page_links`."""
+    return nested.select("src", F.posexplode("links").alias("pos", "_l")).select(
         "src", F.col("pos").cast("bigint"), "_l.kind", "_l.tag", "_l.link", "_l.dst", "_l.same_host"
     )
 
 
+def resolve_links(pages: DataFrame, url: str = "url", body: str = "html", **options) -> DataFrame:
+    """One row per link with its target; options as in :func:`page_links`."""
+    return explode_links(page_links(pages, url, body, **options))
+
+
+def adjacency(nested: DataFrame) -> DataFrame:
+    """``(src, dsts)``: distinct targets on the host of each page.
+
+    A page's links are brought down to distinct ones inside its row, before
+    anything is shuffled.
+    """
+    own = F.filter("links", lambda x: x["same_host"])
+    dsts = F.array_distinct(F.transform(own, lambda x: x["dst"]))
+    return nested.select("src", dsts.alias("dsts")).where(F.size("dsts") > 0)
+
+
 def split_unresolvable(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Resolved links, and the side output of those that lead nowhere."""
     return links.where(F.col("dst").isNotNull()), links.where(F.col("dst").isNull())
@@ -109,15 +130,15 @@ def same_host_links(links: DataFrame) -> DataFrame:
     return links.where("same_host")
 
 
-def links_per_page(links: DataFrame) -> DataFrame:
+def links_per_page(nested: DataFrame) -> DataFrame:
     """Per page the number of links, of distinct links, and the list in order.
 
-    The list of a page is no longer than the page itself.
+    Out of :func:`page_links`, for pages with links; no shuffle.
     """
-    return links.groupBy("src").agg(
-        F.count(F.lit(1)).alias("n_links"),
-        F.count_distinct("link").alias("n_distinct"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "link"))), lambda x: x["link"]
-        ).alias("links"),
+    listed = nested.select("src", F.transform("links", lambda x: x["link"]).alias("links"))
+    return listed.where(F.size("links") > 0).select(
+        "src",
+        F.size("links").cast("bigint").alias("n_links"),
+        F.size(F.array_distinct("links")).cast("bigint").alias("n_distinct"),
+        "links",
     )

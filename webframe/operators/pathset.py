@@ -135,6 +135,7 @@ def unique_names(
     without refusals is the usual case.
     """
     workspace = Workspace(names.sparkSession, "names")
+    names, _ = workspace.write(names, "names")
     bucket = F.floor(F.col(order) / bucket_size)
     ranked = running(names, [name], [order], F.lit(1), "_rank", bucket)
     rows = ranked.withColumn("_rank", F.col("_rank") - 1).withColumn("_n", F.col("_rank"))

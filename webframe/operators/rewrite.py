@@ -7,24 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webframe.functions.common import record
 from webframe.functions.css import rewrite_css
 from webframe.functions.html import rewrite_html
 from webframe.functions.paths import relative_path
 
 
-def link_targets(links: DataFrame, saved: DataFrame, keep_fragment: bool = False) -> DataFrame:
+def link_pairs(nested: DataFrame) -> DataFrame:
+    """``(src, link, dst)``: each resolved link of a page once."""
+    resolved = F.filter("links", lambda x: x["dst"].isNotNull())
+    pairs = F.transform(resolved, lambda x: record(link=x["link"], dst=x["dst"]))
+    return nested.select("src", F.explode(F.array_distinct(pairs)).alias("_p")).select("src", "_p.link", "_p.dst")
+
+
+def link_targets(pairs: DataFrame, saved: DataFrame, keep_fragment: bool = False) -> DataFrame:
     """``(src, link, target)``: relative path of each link whose target was saved.
 
-    ``links(src, link, dst)`` and ``saved(url, save_path)``. Only keys and paths
-    are joined, each pair once; documents stay where they are.
+    ``pairs(src, link, dst)`` are distinct, ``saved(url, save_path)`` has unique
+    URLs. Only keys and paths are joined; documents stay where they are.
     """
-    pairs = links.where("dst IS NOT NULL").select("src", "link", "dst").distinct()
     here = saved.select(F.col("url").alias("src"), F.col("save_path").alias("_from"))
     there = saved.select(F.col("url").alias("dst"), F.col("save_path").alias("_to"))
     target = relative_path("_from", "_to")
     if keep_fragment:
         target = F.concat(target, F.regexp_extract("link", "(?s)#.*", 0))
-    return pairs.join(here, "src").join(there, "dst").select("src", "link", target.alias("target"))
+    return pairs.join(there, "dst").join(here, "src").select("src", "link", target.alias("target"))
 
 
 def link_maps(targets: DataFrame) -> DataFrame:
@@ -34,24 +41,20 @@ def link_maps(targets: DataFrame) -> DataFrame:
     )
 
 
-def _converted(docs: DataFrame, maps: DataFrame, url: str, body: str, out: str, splice) -> DataFrame:
-    joined = docs.join(maps.withColumnRenamed("src", url), url, "left")
-    new = F.when(F.col("links").isNull(), F.col(body)).otherwise(splice(F.col("links")))
-    return joined.withColumn(out, new).drop("links")
-
-
 def _lookup(links: Column) -> Callable[[Column], Column]:
     return lambda link: F.coalesce(F.try_element_at(links, link), link)
 
 
-def convert_html(pages: DataFrame, maps: DataFrame, url: str = "url", body: str = "html", out: str = "converted") -> DataFrame:
-    """Pages with their links replaced; pages without a map come through as they are."""
-    return _converted(
-        pages, maps, url, body, out,
-        lambda m: rewrite_html(body, lambda link, is_a: _lookup(m)(link)),
-    )
+def convert_html(docs: DataFrame, body: str = "html", links: str = "links", out: str = "converted") -> DataFrame:
+    """Adds the page with its links replaced by the map in ``links``.
+
+    Pages whose map is NULL come through as they are.
+    """
+    new = rewrite_html(body, lambda link, is_a: _lookup(F.col(links))(link))
+    return docs.withColumn(out, F.when(F.col(links).isNull(), F.col(body)).otherwise(new))
 
 
-def convert_css(sheets: DataFrame, maps: DataFrame, url: str = "url", body: str = "css", out: str = "converted") -> DataFrame:
-    """Style sheets with their links replaced."""
-    return _converted(sheets, maps, url, body, out, lambda m: rewrite_css(body, _lookup(m)))
+def convert_css(docs: DataFrame, body: str = "css", links: str = "links", out: str = "converted") -> DataFrame:
+    """Adds the style sheet with its links replaced, as :func:`convert_html` does."""
+    new = rewrite_css(body, _lookup(F.col(links)))
+    return docs.withColumn(out, F.when(F.col(links).isNull(), F.col(body)).otherwise(new))

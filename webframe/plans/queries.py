@@ -391,7 +391,7 @@ def link_status(spark, sf):
 @query
 def discovery_parent(spark, sf):
     done = _site_mirror(spark, sf)
-    return crawl.discovery_parents(done.reached, extract.same_host_links(done.links))
+    return crawl.discovery_parents(done.reached, done.nested)
 
 
 SITE_REJECTS = ("*5", "*.png")
@@ -404,7 +404,7 @@ def kept_pages(spark, sf):
 
 @query
 def links_per_page(spark, sf):
-    per_page = extract.links_per_page(extract.resolve_links(V.pages(spark, sf)))
+    per_page = extract.links_per_page(extract.page_links(V.pages(spark, sf)))
     return per_page.select("src", "n_links", "n_distinct", F.array_join("links", " ").alias("links"))
 
 
@@ -412,7 +412,7 @@ def links_per_page(spark, sf):
 def link_outcomes(spark, sf):
     done = _site_mirror(spark, sf, rejects=SITE_REJECTS)
     results = done.results.where("keep IS NOT NULL").select("url", "error", "keep").distinct()
-    return crawl.link_outcomes(done.reached, done.links, results)
+    return crawl.link_outcomes(done.reached, done.nested, results)
 
 
 @query

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from webframe.functions.paths import escapes_root
 from webframe.operators.crawl import closure, seed_host_edges
-from webframe.operators.extract import resolve_links, same_host_links
+from webframe.operators.extract import adjacency, explode_links, page_links
 from webframe.operators.filters import with_limits
 from webframe.operators.pathset import last_write_wins, resolve_dir_conflicts, save_path
-from webframe.operators.rewrite import convert_css, convert_html, link_maps, link_targets
+from webframe.operators.rewrite import convert_css, convert_html, link_maps, link_pairs, link_targets
 from webframe.options import MirrorOptions
 from webframe.sources.responses import fetch_error
 from webframe.sources.staging import Workspace
@@ -21,8 +21,8 @@ from webframe.sources.staging import Workspace
 class Mirror:
     """Results of one mirror job, worked out as they are asked for.
 
-    ``links(src, pos, kind, tag, link, dst)`` of every page that is followed,
-    ``reached(seed_id, url, depth)`` of every URL requested, ``results`` with
+    ``nested(src, links)`` and ``links(src, pos, kind, tag, link, dst,
+    same_host)`` of every page that is followed, ``reached(seed_id, url, depth)`` of every URL requested, ``results`` with
     the fetch result per reached URL, ``saved(url, save_path)`` of every kept
     one, ``files(save_path, url, n_urls)`` with the URL whose body each file
     holds. Each is a written table.
@@ -32,13 +32,17 @@ class Mirror:
         self.responses = responses
         self.options = options
         self._workspace = Workspace(seeds.sparkSession, "mirror")
-        self.links = self._write(followed_links(responses, options), "links")
-        edges = seed_host_edges(same_host_links(self.links), seeds)
+        self.nested = self._write(followed_links(responses, options), "links")
+        edges = seed_host_edges(adjacency(self.nested), seeds)
         self.reached = closure(edges, seeds, options.max_depth)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         return self._workspace.write(df, name)[0]
 
+    @property
+    def links(self) -> DataFrame:
+        return explode_links(self.nested)
+
     @cached_property
     def results(self) -> DataFrame:
         narrow = fetch_results(self.responses, self.options).select(
@@ -68,16 +72,19 @@ class Mirror:
     def files(self) -> DataFrame:
         return self._write(self._settled[1], "files")
 
-    def documents(self, mime: str) -> DataFrame:
-        """Bodies of the saved files of one type, one row per file."""
-        bodies = self.responses.where(F.col("mime") == mime).select("url", "body")
-        return bodies.join(self.files.select("url", "save_path"), "url")
-
     def converted(self) -> DataFrame:
-        """``(save_path, url, body)`` of the saved HTML and CSS, links rewritten."""
-        maps = link_maps(link_targets(self.links, self.saved, self.options.keep_fragment))
-        html = convert_html(self.documents("text/html"), maps, "url", "body")
-        css = convert_css(self.documents("text/css"), maps, "url", "body")
+        """``(save_path, url, body)`` of the saved HTML and CSS, links rewritten.
+
+        Paths and link maps, which are small, are joined first; bodies are
+        moved once, by the join with both.
+        """
+        pairs = link_pairs(self.nested)
+        maps = link_maps(link_targets(pairs, self.saved, self.options.keep_fragment))
+        wanted = self.files.select("url", "save_path").join(maps.withColumnRenamed("src", "url"), "url", "left")
+        bodies = self.responses.where(F.col("mime").isin("text/html", "text/css")).select("url", "mime", "body")
+        docs = bodies.join(wanted, "url")
+        html = convert_html(docs.where("mime = 'text/html'"), "body")
+        css = convert_css(docs.where("mime = 'text/css'"), "body")
         return html.unionByName(css).select("save_path", "url", F.col("converted").alias("body"))
 
     def manifest(self) -> DataFrame:
@@ -89,24 +96,25 @@ class Mirror:
 
 
 def fetch_results(responses: DataFrame, options: MirrorOptions) -> DataFrame:
-    """Per URL: ``status, mime, body_length, error, keep, traverse, raw_path``.
+    """Adds ``error, wanted, keep, traverse, raw_path`` to each response.
 
-    The body column is not read.
+    Worked out of the narrow columns; whoever does not select the body does not
+    read it.
     """
     path = save_path("url", "mime", "filename", options.save_path)
-    limited = with_limits(responses.drop("body"), options.rejects, options.excludes)
-    with_path = limited.withColumn("raw_path", path)
+    limited = with_limits(responses, options.rejects, options.excludes).withColumn("raw_path", path)
     error = fetch_error(options.allowed_status, F.col("wanted"), F.col("raw_path"))
-    return with_path.withColumn("error", error)
+    return limited.withColumn("error", error)
 
 
 def followed_links(responses: DataFrame, options: MirrorOptions) -> DataFrame:
-    """Resolved links of the HTML and CSS bodies that a mirror follows."""
-    ok = fetch_results(responses, options).where("error IS NULL AND traverse").select("url")
-    # Filters see the narrow columns only; the body joins what is left of them.
-    bodies = responses.where(F.col("mime").isin("text/html", "text/css"))
-    followed = bodies.join(ok, "url", "left_semi")
-    return resolve_links(followed, "url", "body", "mime", options.base_mode, options.canonicalize)
+    """:func:`page_links` of the HTML and CSS bodies that a mirror follows.
+
+    A filter on the row itself: bodies are neither joined nor shuffled.
+    """
+    documents = responses.where(F.col("mime").isin("text/html", "text/css"))
+    followed = fetch_results(documents, options).where("error IS NULL AND traverse")
+    return page_links(followed, "url", "body", "mime", options.base_mode, options.canonicalize)
 
 
 def settle_paths(kept: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
