@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,16 @@ def record(**fields: Column) -> Column:
     return F.named_struct(*[x for name, c in fields.items() for x in (F.lit(name), c)])
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are worked out once per row.
+
+    A filter on a computed column is pushed below it with the whole expression
+    in place of the name, which for a long one means working it out again for
+    the filter. The output of a generator is not replaced in that way.
+    """
+    return df.select("*", F.inline(F.array(record(**columns))))
+
+
 def memo(fn):
     """Builds the expression once per argument list of plain names.
 

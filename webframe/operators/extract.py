@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webframe.functions.common import let, record
+from webframe.functions.common import let, record, with_once
 from webframe.functions.css import css_urls
 from webframe.functions.html import html_links
 from webframe.functions.urls import base_of, drop_fragment, resolve_with, url_host
@@ -94,7 +94,7 @@ def page_links(
         url_host(url).alias("_host"),
     )
     targets = _with_targets(F.col("_links"), F.col("_base"), F.col("_host"), canonicalize)
-    return parsed.select("src", targets.alias("links"))
+    return with_once(parsed, links=targets).select("src", "links")
 
 
 def explode_links(nested: DataFrame) -> DataFrame:
@@ -135,10 +135,10 @@ def links_per_page(nested: DataFrame) -> DataFrame:
 
     Out of :func:`page_links`, for pages with links; no shuffle.
     """
-    listed = nested.select("src", F.transform("links", lambda x: x["link"]).alias("links"))
-    return listed.where(F.size("links") > 0).select(
+    listed = F.transform("links", lambda x: x["link"])
+    return nested.where(F.size("links") > 0).select(
         "src",
         F.size("links").cast("bigint").alias("n_links"),
-        F.size(F.array_distinct("links")).cast("bigint").alias("n_distinct"),
-        "links",
+        F.size(F.array_distinct(listed)).cast("bigint").alias("n_distinct"),
+        listed.alias("links"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webframe.functions.common import as_col
+from webframe.functions.common import as_col, with_once
 from webframe.functions.globs import should_exclude, should_reject
 from webframe.functions.urls import url_path
 
@@ -26,15 +26,11 @@ def with_limits(df: DataFrame, rejects=(), excludes=(), url: str = "url", mime:
     """
     path = F.col("_path")
     # An unparsable URL is kept out, like one that a pattern matches.
-    hit = should_reject(path, rejects) | should_exclude(path, excludes)
-    limited = path.isNull() | hit
+    limited = path.isNull() | should_reject(path, rejects) | should_exclude(path, excludes)
+    judged = with_once(with_once(df, _path=url_path(url)), keep=~limited)
     return (
-        df.withColumn("_path", url_path(url))
-        .withColumn("keep", ~limited)
-        .withColumn("wanted", (F.col(mime) == HTML) | F.col("keep"))
-        .withColumn(
-            "traverse", (F.col(mime) == HTML) | ((F.col(mime) == CSS) & F.col("keep"))
-        )
+        judged.withColumn("wanted", (F.col(mime) == HTML) | F.col("keep"))
+        .withColumn("traverse", (F.col(mime) == HTML) | ((F.col(mime) == CSS) & F.col("keep")))
         .drop("_path")
     )
 

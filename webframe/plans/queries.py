@@ -11,6 +11,7 @@ from webframe.functions import headers as H
 from webframe.functions import paths as P
 from webframe.functions import sizes as Z
 from webframe.functions import urls as U
+from webframe.functions.common import record, with_once
 from webframe.functions.css import css_url_tokens, css_urls, rewrite_css
 from webframe.functions.globs import compile_glob, should_exclude, should_reject
 from webframe.functions.html import html_links, rewrite_html
@@ -121,8 +122,9 @@ def _link_forms(spark, sf):
 
 def _resolved_forms(spark, sf):
     based = _link_forms(spark, sf).select("page_id", "url", "links", U.base_of("url").alias("base"))
-    return based.select("page_id", "url", "base", F.posexplode("links").alias("pos", "link")).select(
-        "page_id", "url", F.col("pos").cast("bigint"), "link", U.resolve_with("base", "link").alias("dst")
+    resolved = F.transform("links", lambda x: record(link=x, dst=U.resolve_with(F.col("base"), x)))
+    return based.select("page_id", "url", F.posexplode(resolved).alias("pos", "_l")).select(
+        "page_id", "url", F.col("pos").cast("bigint"), "_l.link", "_l.dst"
     )
 
 
@@ -298,7 +300,8 @@ def glob_compile(spark, sf):
 
 
 def _paths(spark, sf):
-    return _resolved_forms(spark, sf).where("dst IS NOT NULL").select("page_id", "pos", "dst", U.url_path("dst").alias("path"))
+    resolved = _resolved_forms(spark, sf).where("dst IS NOT NULL")
+    return with_once(resolved, path=U.url_path("dst")).select("page_id", "pos", "dst", "path")
 
 
 @query

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webframe.functions.common import with_once
 from webframe.functions.paths import escapes_root
 from webframe.operators.crawl import closure, seed_host_edges
 from webframe.operators.extract import adjacency, explode_links, page_links
@@ -102,7 +103,7 @@ def fetch_results(responses: DataFrame, options: MirrorOptions) -> DataFrame:
     read it.
     """
     path = save_path("url", "mime", "filename", options.save_path)
-    limited = with_limits(responses, options.rejects, options.excludes).withColumn("raw_path", path)
+    limited = with_once(with_limits(responses, options.rejects, options.excludes), raw_path=path)
     error = fetch_error(options.allowed_status, F.col("wanted"), F.col("raw_path"))
     return limited.withColumn("error", error)
 
