@@ -134,31 +134,28 @@ def link_outcomes(reached: DataFrame, nested: DataFrame, results: DataFrame) ->
         .groupBy("seed_id", "drop_reason", "url")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    dropped = counted.where("drop_reason IS NOT NULL").select(
-        "seed_id", F.col("drop_reason").alias("outcome"), "n"
-    )
+    # Every target of a counted link was reached; a seed is visited before any
+    # link to it, so none of its links is the first.
+    first = F.when(F.col("depth") > 0, 1).otherwise(0).cast("bigint")
     state = (
-        F.when(F.col("missing"), "not_found")
+        F.when(F.col("_hit").isNull(), "not_found")
         .when(F.col("error").isNotNull(), F.col("error"))
         .when(~F.col("keep"), "rejected")
         .otherwise("saved")
     )
-    targets = (
-        counted.where("drop_reason IS NULL")
-        .join(reached.select("seed_id", "url", "depth"), ["seed_id", "url"])
-        .join(results.select("url", "error", "keep", F.lit(False).alias("_hit")), "url", "left")
-        .withColumn("missing", F.col("_hit").isNull())
+    parts = F.when(
+        F.col("drop_reason").isNotNull(), F.array(F.struct(F.col("drop_reason").alias("outcome"), "n"))
+    ).otherwise(
+        F.array(
+            F.struct(state.alias("outcome"), first.alias("n")),
+            F.struct(F.lit("visited").alias("outcome"), (F.col("n") - first).alias("n")),
+        )
     )
-    # A seed is visited before any link to it.
-    first = targets.where("depth > 0").select("seed_id", state.alias("outcome"), F.lit(1).cast("bigint").alias("n"))
-    again = targets.select(
-        "seed_id",
-        F.lit("visited").alias("outcome"),
-        (F.col("n") - F.when(F.col("depth") > 0, 1).otherwise(0)).alias("n"),
-    ).where("n > 0")
     return (
-        dropped.unionByName(first)
-        .unionByName(again)
+        counted.join(reached.select("seed_id", "url", "depth"), ["seed_id", "url"], "left")
+        .join(results.select("url", "error", "keep", F.lit(True).alias("_hit")), "url", "left")
+        .select("seed_id", F.inline(parts))
+        .where("n > 0")
         .groupBy("seed_id", "outcome")
         .agg(F.sum("n").alias("n_links"))
     )

@@ -31,29 +31,25 @@ def running(
     bucket of one key fits a task.
     """
     agg, combine = _COMBINE[how]
-    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    # One struct as key: NULLs in it are equal, and the join and the window
+    # below it share a single shuffle of the rows.
+    rows = df.withColumn("_key", F.struct(*keys, bucket.alias("_bucket"))).withColumn("_value", value)
+    earlier = (
+        Window.partitionBy(*[F.col("_key")[k] for k in keys])
+        .orderBy(F.col("_key._bucket"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     whole = (
-        rows.groupBy(*keys, "_bucket")
+        rows.groupBy("_key")
         .agg(agg("_value").alias("_total"))
-        .withColumn(
-            "_before",
-            agg("_total").over(
-                Window.partitionBy(*keys)
-                .orderBy("_bucket")
-                .rowsBetween(Window.unboundedPreceding, -1)
-            ),
-        )
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), "_before")
+        .select("_key", agg("_total").over(earlier).alias("_before"))
     )
-    same = F.col("_bucket").eqNullSafe(F.col("_b"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = (
-        Window.partitionBy(*keys, "_bucket")
+        Window.partitionBy("_key")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = rows.join(whole, same, "left")
+    joined = rows.join(whole, "_key", "left")
     return joined.withColumn(out, combine(F.col("_before"), agg("_value").over(inside))).select(
         *df.columns, out
     )

@@ -45,16 +45,19 @@ def _lookup(links: Column) -> Callable[[Column], Column]:
     return lambda link: F.coalesce(F.try_element_at(links, link), link)
 
 
-def convert_html(docs: DataFrame, body: str = "html", links: str = "links", out: str = "converted") -> DataFrame:
-    """Adds the page with its links replaced by the map in ``links``.
+def convert_documents(
+    docs: DataFrame, body: str = "body", mime: str = "mime", links: str = "links", out: str = "converted"
+) -> DataFrame:
+    """Adds HTML and CSS bodies with their links replaced by the map in ``links``.
 
-    Pages whose map is NULL come through as they are.
+    Documents of other types, or without a map, come through as they are.
     """
-    new = rewrite_html(body, lambda link, is_a: _lookup(F.col(links))(link))
-    return docs.withColumn(out, F.when(F.col(links).isNull(), F.col(body)).otherwise(new))
-
-
-def convert_css(docs: DataFrame, body: str = "css", links: str = "links", out: str = "converted") -> DataFrame:
-    """Adds the style sheet with its links replaced, as :func:`convert_html` does."""
-    new = rewrite_css(body, _lookup(F.col(links)))
-    return docs.withColumn(out, F.when(F.col(links).isNull(), F.col(body)).otherwise(new))
+    lookup = _lookup(F.col(links))
+    html = rewrite_html(body, lambda link, is_a: lookup(link))
+    new = (
+        F.when(F.col(links).isNull(), F.col(body))
+        .when(F.col(mime) == "text/html", html)
+        .when(F.col(mime) == "text/css", rewrite_css(body, lookup))
+        .otherwise(F.col(body))
+    )
+    return docs.withColumn(out, new)

@@ -13,7 +13,7 @@ from webframe.operators.crawl import closure, seed_host_edges
 from webframe.operators.extract import adjacency, explode_links, page_links
 from webframe.operators.filters import with_limits
 from webframe.operators.pathset import last_write_wins, resolve_dir_conflicts, save_path
-from webframe.operators.rewrite import convert_css, convert_html, link_maps, link_pairs, link_targets
+from webframe.operators.rewrite import convert_documents, link_maps, link_pairs, link_targets
 from webframe.options import MirrorOptions
 from webframe.sources.responses import fetch_error
 from webframe.sources.staging import Workspace
@@ -84,9 +84,7 @@ class Mirror:
         wanted = self.files.select("url", "save_path").join(maps.withColumnRenamed("src", "url"), "url", "left")
         bodies = self.responses.where(F.col("mime").isin("text/html", "text/css")).select("url", "mime", "body")
         docs = bodies.join(wanted, "url")
-        html = convert_html(docs.where("mime = 'text/html'"), "body")
-        css = convert_css(docs.where("mime = 'text/css'"), "body")
-        return html.unionByName(css).select("save_path", "url", F.col("converted").alias("body"))
+        return convert_documents(docs).select("save_path", "url", F.col("converted").alias("body"))
 
     def manifest(self) -> DataFrame:
         """``(url, save_path, status, mime, escapes_root)`` of every saved URL."""
@@ -114,6 +112,9 @@ def followed_links(responses: DataFrame, options: MirrorOptions) -> DataFrame:
     A filter on the row itself: bodies are neither joined nor shuffled.
     """
     documents = responses.where(F.col("mime").isin("text/html", "text/css"))
+    if options.allowed_status is not None:
+        # Part of the error below already; said on its own it reaches the scan.
+        documents = documents.where(F.col("status").isin(*options.allowed_status))
     followed = fetch_results(documents, options).where("error IS NULL AND traverse")
     return page_links(followed, "url", "body", "mime", options.base_mode, options.canonicalize)
 
