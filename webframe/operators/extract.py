@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webframe.functions.common import let, record, with_once
+from webframe.functions.common import let, memo, record, with_once
 from webframe.functions.css import css_urls
 from webframe.functions.html import html_links
 from webframe.functions.urls import base_of, drop_fragment, resolve_with, url_host
@@ -35,12 +35,14 @@ def extract_css_links(sheets: DataFrame, css: str = "css", keep: list[str] | Non
     )
 
 
-def _with_targets(links: Column, base: Column, host: Column, canonicalize: bool) -> Column:
+@memo
+def _with_targets(links: str, base: str, host: str, canonicalize: bool) -> Column:
     """Each link with its target and whether that is on the page's host.
 
     Done inside the array, so that filters on the target do not have it
     resolved a second time.
     """
+    base, host = F.col(base), F.col(host)
 
     def one(link):
         dst = resolve_with(base, link["url"])
@@ -93,7 +95,7 @@ def page_links(
         base_of(url, base_mode).alias("_base"),
         url_host(url).alias("_host"),
     )
-    targets = _with_targets(F.col("_links"), F.col("_base"), F.col("_host"), canonicalize)
+    targets = _with_targets("_links", "_base", "_host", canonicalize)
     return with_once(parsed, links=targets).select("src", "links")
 
 
