@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry_points
 from check import duck, rows
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+from webframe.plans.oracles import ORACLES
+from webframe.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,7 @@ def con(sf):
 
 def test_every_query_has_an_oracle():
     assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
