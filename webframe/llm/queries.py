@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webframe.llm.common import table
 from webframe.llm.exact_dedup import exact_dedup
+from webframe.llm.jaccard_join import ngram_jaccard_join
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
 }
