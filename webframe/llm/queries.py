@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webframe.llm.common import table
+from webframe.llm.decontaminate import contaminated_pairs
 from webframe.llm.exact_dedup import exact_dedup
 from webframe.llm.jaccard_join import ngram_jaccard_join
 
@@ -17,7 +18,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
