@@ -10,6 +10,7 @@ digest takes part in the decision.
 A round counts (group, block) with map-side combining and joins the counts back.
 Counts have unique keys, so a group that holds most rows is one row there and
 many rows on the other side, which Spark splits when the partition is skewed.
+The counts grow with the input, so they are never broadcast.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def exact_dedup(
     rows = base.select(
         "_id", F.monotonically_increasing_id().alias("_row"), F.sha2("_text", 256).alias("_sha"), rest
     ).select("*", *_digit("_rest", first_block))
-    joined = rows.join(shared, ["_digit", "_ended"], "left")
+    joined = rows.join(shared.hint("merge"), ["_digit", "_ended"], "left")
     state = joined.select(
         "_id",
         "_row",
@@ -92,7 +93,7 @@ def _split(scratch: Scratch, open_rows: DataFrame, level: int, size: int) -> Dat
     )
     # Row ids are unique over the whole job, so the first row's names the group.
     counts = scratch.save(counts.where("_n > 1"), f"groups-{level}")
-    joined = rows.join(counts, ["_group", "_digit", "_ended"], "left")
+    joined = rows.join(counts.hint("merge"), ["_group", "_digit", "_ended"], "left")
     alone = F.col("_n").isNull()
     on = ~alone & ~F.col("_ended")
     return joined.select(
