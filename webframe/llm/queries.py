@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from webframe.llm.common import table
 from webframe.llm.decontaminate import contaminated_pairs
 from webframe.llm.exact_dedup import exact_dedup
 from webframe.llm.jaccard_join import ngram_jaccard_join
+from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    found = encode_pieces(docs.select("doc_id", sha.alias("text_sha256"), "text")).drop("text")
+    found = found.withColumn("ids", F.col("pieces")).transform(decode_pieces)
+    same = F.sha2("decoded", 256) == F.col("text_sha256")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "text_sha256", same.alias("lossless"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -24,6 +35,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
