@@ -9,6 +9,7 @@ from webframe.llm.common import table
 from webframe.llm.decontaminate import contaminated_pairs
 from webframe.llm.exact_dedup import exact_dedup
 from webframe.llm.jaccard_join import ngram_jaccard_join
+from webframe.llm.language_id import held_out, identify_language
 from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 
 
@@ -29,6 +30,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    found = identify_language(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")))
+    return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), "lang_spans")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,5 +44,6 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
