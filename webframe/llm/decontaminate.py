@@ -35,9 +35,10 @@ UNITS = (
 
 def template(text: Column) -> Column:
     """Template tokens of a text: an array of lower-case words and placeholders."""
-    out = F.regexp_replace(_plain(text), r"(?<=[\p{L}\p{N},;:] )\p{Lu}\p{Ll}++(?![\p{L}\p{N}])", NAME)
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}])(\p{{N}}++) ?+(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}")
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])\p{N}++", NUMBER)
+    # Each expression begins with what is rare, so that most places fail at once.
+    out = F.regexp_replace(_plain(text), r"\p{Lu}(?<=[\p{L}0-9,;:] \p{Lu})\p{Ll}++(?![\p{L}0-9])", NAME)
+    out = F.regexp_replace(out, rf"(?=[0-9])(?<![\p{{L}}0-9])([0-9]++) ?+(?:{'|'.join(UNITS)})(?![\p{{L}}0-9])", f"$1 {UNIT}")
+    out = F.regexp_replace(out, r"(?=[0-9])(?<![\p{L}0-9])[0-9]++(?!\p{L})", NUMBER)
     return _tokens(out)
 
 
@@ -49,27 +50,27 @@ def values(text: Column) -> Column:
 def _plain(text: Column) -> Column:
     """Numbers without separators, and apart from letters that follow them."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}]", " ")
-    out = F.regexp_replace(out, r"(?<=\p{N})[.,](?=\p{N})", "")
-    return F.regexp_replace(out, r"(?<=(?<![\p{L}\p{N}])\p{N}{1,20})(?=\p{L})", " ")
+    out = F.regexp_replace(out, r"[.,](?<=[0-9][.,])(?=[0-9])", "")
+    return F.regexp_replace(out, r"(?=[0-9])(?<![\p{L}0-9])([0-9]++)(?=\p{L})", "$1 ")
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}\p{{M}}{NAME}{NUMBER}{UNIT}]++"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{M}}0-9{NAME}{NUMBER}{UNIT}]++"), "")
 
 
 def _windows(tokens: Column, width: int, step: int) -> Column:
-    """(position, hash) of windows; ``tokens`` must hold at least ``width``."""
+    """(position, hash) of the windows of an array; null if it is shorter than ``width``."""
     last = F.floor((F.size(tokens) - width) / step).cast("int")
-    return F.transform(
+    found = F.transform(
         F.sequence(F.lit(0), last),
         lambda i: F.struct((i * step).alias("at"), F.xxhash64(F.slice(tokens, i * step + 1, width)).alias("key")),
     )
+    return F.when(F.size(tokens) >= width, found)
 
 
 def _spread(df: DataFrame, width: int, step: int) -> DataFrame:
-    """One row for each window of the column ``tokens``."""
-    kept = df.where(F.size("tokens") >= width)
-    return kept.select(*[c for c in df.columns if c != "tokens"], F.inline(_windows(F.col("tokens"), width, step)))
+    """One row for each window of the column ``tokens``. No filter on it: that would work the column out twice."""
+    return df.select(*[c for c in df.columns if c != "tokens"], F.inline(_windows(F.col("tokens"), width, step)))
 
 
 def contaminated_pairs(
