@@ -10,6 +10,7 @@ from webframe.llm.decontaminate import contaminated_pairs
 from webframe.llm.exact_dedup import exact_dedup
 from webframe.llm.jaccard_join import ngram_jaccard_join
 from webframe.llm.language_id import held_out, identify_language
+from webframe.llm.line_dedup import fuzzy_line_groups
 from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 
 
@@ -40,10 +41,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_line_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
