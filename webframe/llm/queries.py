@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webframe.llm.chat_format import format_conversations, read_back
 from webframe.llm.common import table
 from webframe.llm.decontaminate import contaminated_pairs
 from webframe.llm.exact_dedup import exact_dedup
 from webframe.llm.jaccard_join import ngram_jaccard_join
 from webframe.llm.language_id import held_out, identify_language
+from webframe.llm.license_scan import scan_licenses
 from webframe.llm.line_dedup import fuzzy_line_groups
 from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 
@@ -31,6 +33,17 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     found = identify_language(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")))
@@ -49,6 +62,8 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_chat_format": op4_chat_format,
+    "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_line_dedup": op10_line_dedup,
