@@ -9,6 +9,7 @@ from webframe.llm.chat_format import format_conversations, read_back
 from webframe.llm.common import table
 from webframe.llm.decontaminate import contaminated_pairs
 from webframe.llm.exact_dedup import exact_dedup
+from webframe.llm.html_extract import extract_text
 from webframe.llm.jaccard_join import ngram_jaccard_join
 from webframe.llm.language_id import held_out, identify_language
 from webframe.llm.license_scan import scan_licenses
@@ -54,6 +55,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_line_groups(table(spark, sf_dir, "documents"))
 
@@ -66,5 +72,6 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
 }
