@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webframe.llm.common import Scratch
+
 #: Tokens of a tile, and the fewest literal (not placeholder) tokens in one.
 WIDTH, LITERALS = 6, 3
 #: A pair counts when so many aligned tokens agree, or that share of the item.
@@ -98,7 +100,7 @@ def contaminated_pairs(
     for (n,) in lengths.collect():  # at most ``short`` lengths
         own = items.where(F.size("item") == n).select("item_id", F.col("item").alias("tokens")).where(literal >= LITERALS)
         hits = hits.unionByName(_meet(_spread(tokens, n, 1), _spread(own, n, n)))
-    hits = hits.distinct()
+    hits = Scratch(docs.sparkSession, "decontaminate").save(hits.distinct(), "hits")
     asked = hits.select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     found = rows.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left_semi")
     found = found.dropDuplicates(["id", "text_key"]).select(

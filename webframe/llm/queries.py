@@ -15,6 +15,7 @@ from webframe.llm.language_id import held_out, identify_language
 from webframe.llm.license_scan import scan_licenses
 from webframe.llm.line_dedup import fuzzy_line_groups
 from webframe.llm.merge_dropout import decode_pieces, encode_pieces
+from webframe.llm.pii import find_personal_data
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(turns.unionByName(extra)))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_chat_format": op4_chat_format,
+    "op5_personal_data": op5_personal_data,
     "op6_license_scan": op6_license_scan,
     "op7_language_id": op7_language_id,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
