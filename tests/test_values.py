@@ -30,16 +30,9 @@ def test_content_length(evaluate):
 
 def test_disposition(evaluate):
     rows = [
-        ('attachment; filename="my_document.pdf"', "my_document.pdf"),
-        ("attachment; filename=my_document.pdf", "my_document.pdf"),
-        ('attachment; filename=" document with spaces.pdf "', " document with spaces.pdf "),
-        ('attachment; filename = " document with spaces.pdf " ', " document with spaces.pdf "),
-        ('attachment; FILENAME="my_document.pdf"', "my_document.pdf"),
-        ("attachment", None),
-        ("", None),
-        ("attachment; filename", None),
-        ('attachment; filename="file-with_special-chars!.pdf"', "file-with_special-chars!.pdf"),
-        ('attachment; filename="文件.pdf"', "文件.pdf"),
+        ('inline; filename="bill 7.pdf"', "bill 7.pdf"), ("inline;FileName=bill.pdf; size=3", "bill.pdf"),
+        ('inline; filename  =  " kept "  ', " kept "), ("inline; filename=  a b ", "a b "), ('inline; filename="ü-1!.txt', "ü-1!.txt"),
+        ("inline", None), ("", None), ("inline; filename", None), ('inline; filename=""', None),
     ]
     got = evaluate([({"Content-Disposition": [r[0]]},) for r in rows], ["h"], lambda: H.disposition_filename("h"), [MAP])
     assert got == [r[1] for r in rows]
@@ -52,17 +45,16 @@ def test_extension(evaluate):
 
 def test_parse_rate(evaluate):
     rows = [
-        ("20k", 20_000), ("20M", 20_000_000), ("2", 2), ("1KB", 0), ("k", 0), ("M", 0), ("", 0),
-        ("200000000000M", 200_000_000_000_000_000), ("1000k", 1_000_000), ("1.0", 1), ("14.5", 14), ("15.5k", 15_000),
-        ("123.56M", 123_000_000), ("7 ", 7), ("7 k", 0), ("-1.5", -2), ("1e3", 1000), ("1_0", 0), ("x7", 0),
+        ("7k", 7_000), ("7M", 7_000_000), ("7", 7), ("7KB", 0), ("M", 0), ("k", 0), ("", 0), ("90000000000M", 90_000_000_000_000_000),
+        ("2.9", 2), ("2.9k", 2_000), ("31.07M", 31_000_000), ("7 ", 7), ("7 k", 0), ("-1.5", -2), ("1e3", 1000), ("1_0", 0), ("x7", 0),
     ]
     assert evaluate([r[:1] for r in rows], ["t"], lambda: Z.parse_rate("t")) == [r[1] for r in rows]
 
 
 def test_format_size(evaluate):
     rows = [
-        (1023, "1023 B"), (0, "0 B"), (1024, "1.00 KiB"), (2048, "2.00 KiB"), (1048575, "1024.00 KiB"), (1048576, "1.00 MiB"),
-        (2097152, "2.00 MiB"), (1073741823, "1024.00 MiB"), (1073741824, "1.00 GiB"), (2147483648, "2.00 GiB"), (-1, "--.- B"),
+        (0, "0 B"), (1, "1 B"), (3 << 10, "3.00 KiB"), (5 << 20, "5.00 MiB"), (7 << 30, "7.00 GiB"), ((1 << 20) - 1, "1024.00 KiB"),
+        ((1 << 30) - 1, "1024.00 MiB"), (-1, "--.- B"),
         (1500, "1.46 KiB"), (1152, "1.12 KiB"), (1408, "1.38 KiB"),
     ]
     assert evaluate([r[:1] for r in rows], ["n"], lambda: Z.format_size("n"), ["n bigint"]) == [r[1] for r in rows]

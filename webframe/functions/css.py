@@ -23,14 +23,14 @@ _STRING = rf'(?:{_DQ}(?:"|\z)|{_SQ}(?:\'|\z))'
 _ANY_STRING = rf'(?:{_DQ}(?:["\n\f\r]|\z)|{_SQ}(?:[\'\n\f\r]|\z))'
 _UNQUOTED = rf"(?:[^\"'()\\\x00-\x20\x7F]++|{_ESC})*+"
 _GOOD_URL = rf"(?i:url)\({_WS}*+(?:{_STRING}|(?![\"']){_UNQUOTED}){_WS}*+(?:\)|\z)"
-_BAD_URL = rf"(?i:url)\({_WS}*+{_ANY_STRING}?+(?:[^)\\]++|\\.)*+(?:\)|\z)"
+_BAD_URL = rf"(?i:url)\({_WS}*+{_ANY_STRING}?+(?:[^)\\]++|\\(?:.|\z))*+(?:\)|\z)"
 _COMMENT = r"/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)"
 _WORD = rf"(?!(?i:url)\()[@#]?+(?:[-\w]|[^\x00-\x7F]|{_ESC})++"
 _OTHER = r"[^-\w\"'\\/@#\u0080-\x{10FFFF}]++|/(?!\*)|[@#\\]"
 _SKIP = rf"(?:{_COMMENT}|{_ANY_STRING}|{_WORD}|{_OTHER})++"
 
 _TOKENS = rf"(?s){_SKIP}|({_GOOD_URL})|{_BAD_URL}"
-# Inside a URL token: text before, opening, the URL, the rest.
+# Fixed value, as it decides which URL a token links to: text before and opening, the URL, the rest.
 _INNER = (
     r"(?s)\A(.*?url[ \t\n\f\r]*\([ \t\n\f\r]*['\"`]?)([^'\"`]*)"
     r"(['\"`]?[ \t\n\f\r]*\)[ \t\n\f\r]*.*)\z"

@@ -28,6 +28,7 @@ def compile_glob(pattern: str, is_reject: bool) -> str | None:
         at = m.end()
     out += _SPECIAL.sub(r"\\\g<0>", pattern[at:])
     if out == pattern:
+        # How a plain word is anchored.
         out = f".*{pattern}$" if is_reject else f"^/?{pattern}.*"
     try:
         re.compile(out)

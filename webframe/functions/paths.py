@@ -142,3 +142,12 @@ def output_path(url: Column | str, save_path: str = "", output_file: str | None
 def escapes_root(path: Column | str) -> Column:
     """True where a relative path climbs above its start."""
     return clean_path(as_col(path)).rlike(r"\A\.\.(?:/|\z)")
+
+
+def leaves_folder(path: Column | str, folder: Column | str) -> Column:
+    """True where a cleaned path does not lie below the folder it was meant for."""
+    inside = let(clean_path(as_col(folder)), lambda f: F.when(f.isin("", "."), "").when(f == "/", f).otherwise(F.concat(f, F.lit("/"))))
+    return let(
+        {"path": clean_path(as_col(path)), "inside": inside},
+        lambda x: ~x["path"].startswith(x["inside"]) | (x["path"] == x["inside"]) | ((x["inside"] == "") & escapes_root(x["path"])),
+    )

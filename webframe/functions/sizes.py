@@ -89,6 +89,7 @@ def format_time(ts: Column | str) -> Column:
 
 def status_lines(kind: Column, ts: Column, status: Column, length: Column, path: Column, url: Column) -> Column:
     """One line of text per transfer event, without terminal codes."""
+    # The texts that a user reads.
     return (
         F.when(kind == "start", F.concat(F.lit("start at "), format_time(ts)))
         .when(

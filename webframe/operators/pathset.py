@@ -76,14 +76,37 @@ def last_write_wins(files: DataFrame, order: str) -> DataFrame:
     )
 
 
+_INDEX = r"(?:/index\.html)+\z"
+
+
+def _stem(path: str | Column) -> tuple[Column, Column]:
+    """A path without the ``/index.html`` it ends in, and how many of them it had."""
+    path = as_col(path)
+    stem = F.regexp_replace(path, _INDEX, "")
+    return stem, F.floor((F.length(path) - F.length(stem)) / len("/index.html"))
+
+
 def resolve_dir_conflicts(files: DataFrame, path: str = "save_path") -> DataFrame:
-    """Files that another file needs as a directory move to ``index.html`` in it."""
-    needed = files.select(F.explode(ancestors(path)).alias("_dir")).distinct()
-    flagged = files.join(
-        needed.withColumn("_hit", F.lit(True)), F.col(path) == F.col("_dir"), "left"
-    )
-    moved = F.when(F.col("_hit"), F.concat(F.col(path), F.lit("/index.html")))
-    return flagged.withColumn(path, F.coalesce(moved, F.col(path))).drop("_dir", "_hit")
+    """Files that another file needs as a directory move to ``index.html`` in it.
+
+    That may be needed as a directory too, and so on. Directories come with all
+    their parents, so the free one lies past the deepest that is needed.
+    """
+    needed = files.select(F.explode(ancestors(path)).alias("_dir"))
+    stem, depth = _stem("_dir")
+    deepest = needed.groupBy(stem.alias("_stem")).agg(F.max(depth).alias("_deepest"))
+    stem, depth = _stem(path)
+    joined = files.join(deepest, stem == F.col("_stem"), "left")
+    more = F.greatest(F.col("_deepest") + 1 - depth, F.lit(0)).cast("int")
+    moved = F.concat(F.col(path), F.repeat(F.lit("/index.html"), more))
+    return joined.withColumn(path, F.coalesce(moved, F.col(path))).drop("_stem", "_deepest")
+
+
+def numbered(rows: DataFrame, by: str, out: str) -> DataFrame:
+    """Adds ``out``: numbers that rise with ``by``, with gaps; for any column that can be sorted."""
+    workspace = Workspace(rows.sparkSession, "numbered")
+    in_order = rows.repartitionByRange(by).sortWithinPartitions(by)
+    return workspace.write(in_order.withColumn(out, F.monotonically_increasing_id()), "rows")[0]
 
 
 def _skip_taken(rows: DataFrame, existing: DataFrame, name: str, bucket_size: int) -> DataFrame:

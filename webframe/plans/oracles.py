@@ -286,8 +286,11 @@ ORACLES["glob_compile"] = (
 # Crawl ---------------------------------------------------------------------
 
 
-def site(rejected: str = "false", seeds: str = "") -> str:
-    """CTEs of the linked site: nodes, links with targets, and reached URLs."""
+def site(rejected: str = "false", seed: str = "min(page_id)", seeds: str = "") -> str:
+    """CTEs of the linked site: nodes, links with targets, and reached URLs.
+
+    The walk keeps one row for each seed and URL, the one it met first, so it ends by itself at any depth.
+    """
     return f"""
 WITH RECURSIVE num AS (
     SELECT page_id, h, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n, html FROM (SELECT *, {HOST} AS h FROM pages)),
@@ -314,11 +317,12 @@ followed AS (
     SELECT l.* FROM links l JOIN res ON l.src = res.url WHERE res.error IS NULL AND res.mime IN ('text/html', 'text/css')
         AND (res.mime = 'text/html' OR res.keep)),
 edges AS (SELECT DISTINCT src, dst FROM followed WHERE same),
-seeds AS (SELECT min(page_id) AS seed_id, 'http://' || h || '/p/1' AS url FROM num GROUP BY h {seeds}),
-walk(seed_id, url, depth) AS (
+seeds AS (SELECT {seed} AS seed_id, 'http://' || h || '/p/1' AS url FROM num GROUP BY h {seeds}),
+walk(seed_id, url, depth) USING KEY (seed_id, url) AS (
     SELECT seed_id, url, 0::BIGINT FROM seeds
-    UNION SELECT w.seed_id, e.dst, w.depth + 1 FROM walk w JOIN edges e ON w.url = e.src WHERE w.depth < 16),
-reached AS (SELECT seed_id, url, min(depth) AS depth FROM walk GROUP BY seed_id, url),
+    UNION SELECT w.seed_id, e.dst, min(w.depth) + 1 FROM walk w JOIN edges e ON w.url = e.src
+        LEFT JOIN recurring.walk r ON r.seed_id = w.seed_id AND r.url = e.dst WHERE r.url IS NULL GROUP BY w.seed_id, e.dst),
+reached AS (SELECT seed_id, url, depth FROM walk),
 results AS (
     SELECT r.*, res.status, res.mime, res.keep, CASE WHEN res.url IS NULL THEN 'not_found' ELSE res.error END AS error
     FROM reached r LEFT JOIN res USING (url))"""
@@ -337,7 +341,7 @@ FROM (SELECT DISTINCT dst FROM links WHERE same AND src LIKE '%/p/%') f LEFT JOI
 ORACLES["mirror_closure"] = SITE + " SELECT seed_id, url, depth FROM reached"
 ORACLES["mirror_depth"] = SITE + " SELECT depth, count(*) AS n_urls FROM reached GROUP BY depth"
 ORACLES["multi_seed_mirror"] = (
-    site(seeds="UNION ALL SELECT min(page_id) + 1000000000, 'http://' || h || '/p/2' FROM num GROUP BY h")
+    site(seed="min(page_id) * 2", seeds="UNION ALL SELECT min(page_id) * 2 + 1, 'http://' || h || '/p/2' FROM num GROUP BY h")
     + """ SELECT seed_id, count(*) AS n_requested, count_if(error IS NULL)::BIGINT AS n_ok, max(depth) AS max_depth
 FROM results GROUP BY seed_id"""
 )
@@ -417,9 +421,9 @@ ORACLES["output_path"] = f"""
 SELECT page_id, {LAST.format("url")} AS name, '/d' || CASE WHEN url LIKE '%/' THEN '' ELSE '/' || {LAST.format("url")} END AS path FROM pages"""
 ORACLES["unique_names"] = (
     FORMS
-    + f""", names AS (SELECT page_id * 10000 + pos AS ordinal, {LAST.format("dst")} AS name FROM resolved WHERE dst IS NOT NULL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal) - 1 AS k FROM names)
-SELECT ordinal, name, CASE WHEN k = 0 OR name = '' THEN name
+    + f""", names AS (SELECT page_id, pos, {LAST.format("dst")} AS name FROM resolved WHERE dst IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY page_id, pos) - 1 AS k FROM names)
+SELECT page_id, pos, name, CASE WHEN k = 0 OR name = '' THEN name
     ELSE regexp_replace(name, '\\.[^.]*$', '') || '(' || k || ')' || regexp_extract(name, '\\.[^.]*$') END AS unique_name FROM ranked"""
 )
 ORACLES["path_ancestors"] = (
@@ -436,7 +440,7 @@ ORACLES["clean_path"] = (
 )
 ORACLES["path_collisions"] = (
     SAVED
-    + """ SELECT save_path, arg_max(dst, page_id * 10000 + pos) AS url, count(*) AS n_urls FROM saved GROUP BY save_path HAVING count(*) > 1"""
+    + """ SELECT save_path, arg_max(dst, (page_id, pos)) AS url, count(*) AS n_urls FROM saved GROUP BY save_path HAVING count(*) > 1"""
 )
 ORACLES["dir_conflicts"] = (
     SAVED
@@ -518,8 +522,7 @@ ORACLES["stream_links"] = PLAIN + " SELECT url AS src, pos, link, dst FROM resol
 ORACLES["stream_visited"] = PLAIN + " SELECT DISTINCT h AS site, dst AS url FROM resolved WHERE dst IS NOT NULL"
 ORACLES["stream_rate"] = (
     TICKS
-    + """ SELECT transfer_id, strftime(second, '%Y-%m-%d %H:%M:%S') AS second, rate FROM ticks
-WHERE second + INTERVAL 1 SECOND <= (SELECT max(ts) FROM events) - INTERVAL 10 SECONDS"""
+    + """ SELECT transfer_id, strftime(second, '%Y-%m-%d %H:%M:%S') AS second, rate FROM ticks"""
 )
 ORACLES["stream_status"] = (
     TICKS

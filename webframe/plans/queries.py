@@ -27,7 +27,7 @@ from webframe.sources.staging import Workspace
 from webframe.sources.url_list import mirror_seeds, read_url_list, seed_union
 from webframe.streaming.links import first_sightings, stream_links
 from webframe.streaming.rates import stream_rate, stream_status
-from webframe.streaming.runs import admit, run_available
+from webframe.streaming.runs import admit, last_updates, run_available
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -377,7 +377,8 @@ def mirror_depth(spark, sf):
 def multi_seed_mirror(spark, sf):
     """Each host from its first page and from its second, as two seeds."""
     seeds = V.site_seeds(spark, sf)
-    second = seeds.select((F.col("seed_id") + 1_000_000_000).alias("seed_id"), F.regexp_replace("url", "/p/1$", "/p/2").alias("url"))
+    second = seeds.select((F.col("seed_id") * 2 + 1).alias("seed_id"), F.regexp_replace("url", "/p/1$", "/p/2").alias("url"))
+    seeds = seeds.withColumn("seed_id", F.col("seed_id") * 2)
     done = mirror(V.site(spark, sf), seeds.unionByName(second))
     ok = F.count_if(F.col("error").isNull())
     return done.results.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n_requested"), ok.alias("n_ok"), F.max("depth").alias("max_depth"))
@@ -497,9 +498,10 @@ def output_path(spark, sf):
 @query
 def unique_names(spark, sf):
     names = _resolved_forms(spark, sf).where("dst IS NOT NULL").select(
-        (F.col("page_id") * 10_000 + F.col("pos")).alias("ordinal"), P.output_path("dst").alias("name")
+        F.struct("page_id", "pos").alias("at"), P.output_path("dst").alias("name")
     )
-    return pathset.unique_names(names).select("ordinal", "name", "unique_name")
+    numbered = pathset.numbered(names, "at", "ordinal")
+    return pathset.unique_names(numbered).select("at.page_id", "at.pos", "name", "unique_name")
 
 
 def _saved(spark, sf):
@@ -527,7 +529,7 @@ def clean_path(spark, sf):
 
 @query
 def path_collisions(spark, sf):
-    files = _saved(spark, sf).select("url", "save_path", (F.col("page_id") * 10_000 + F.col("pos")).alias("fetch_order"))
+    files = _saved(spark, sf).select("url", "save_path", F.struct("page_id", "pos").alias("fetch_order"))
     return pathset.last_write_wins(files, "fetch_order").where("n_urls > 1")
 
 
@@ -653,11 +655,11 @@ def status_report(spark, sf):
 
 
 def _page_stream(spark, sf, **limits):
-    return admit(spark, sf, V.pages(spark, sf).schema, "pages.parquet", **limits)
+    return admit(spark, f"{sf}/pages.parquet", V.pages(spark, sf).schema, **limits)
 
 
 def _event_stream(spark, sf):
-    t = admit(spark, sf, V.table(spark, sf, "events").schema, "events.parquet", max_files=1)
+    t = admit(spark, f"{sf}/events.parquet", V.table(spark, sf, "events").schema)
     return t.select(
         F.col("user_id").alias("transfer_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
         F.round(F.col("value") * 100).cast("bigint").alias("bytes"), F.col("event_type").alias("kind"),
@@ -680,8 +682,9 @@ def stream_visited(spark, sf):
 
 @query
 def stream_rate_query(spark, sf):
-    rates = run_available(stream_rate(_event_stream(spark, sf)), "stream-rate")
-    return rates.select("transfer_id", Z.format_time("second").alias("second"), "rate")
+    """The last state of each second, those still open at the end included."""
+    rates = run_available(stream_rate(_event_stream(spark, sf)), "stream-rate", "update")
+    return last_updates(rates, ["transfer_id", "second"]).select("transfer_id", Z.format_time("second").alias("second"), "rate")
 
 
 
@@ -690,7 +693,7 @@ def stream_status_query(spark, sf):
     """Last state of each transfer; ticks are summed per second first."""
     ticks = T.rate_per_second(V.transfers(spark, sf))
     space = Workspace(spark, "ticks")
-    ticks.repartitionByRange(8, "second").write.parquet(f"{space.path}/ticks")
+    ticks.repartitionByRange("second").write.parquet(f"{space.path}/ticks")
     stream = stream_status(admit(spark, f"{space.path}/ticks", ticks.schema))
     states = run_available(stream, "stream-status", "update")
     return states.groupBy("transfer_id").agg(

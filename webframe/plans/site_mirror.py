@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.functions.common import with_once
-from webframe.functions.paths import escapes_root
+from webframe.functions.paths import join_path, leaves_folder
+from webframe.functions.urls import hostname, url_host
 from webframe.operators.crawl import closure, seed_host_edges
 from webframe.operators.extract import adjacency, explode_links, page_links
 from webframe.operators.filters import with_limits
@@ -86,11 +87,22 @@ class Mirror:
         docs = bodies.join(wanted, "url")
         return convert_documents(docs).select("save_path", "url", F.col("converted").alias("body"))
 
+    def saved_site(self) -> DataFrame:
+        """``(save_path, url, body)`` of every file of the saved site.
+
+        HTML and CSS have their links converted unless ``convert_links`` is off; all else is as it was fetched.
+        """
+        documents = F.col("mime").isin("text/html", "text/css")
+        plain = self.responses if not self.options.convert_links else self.responses.where(~documents | F.col("mime").isNull())
+        rest = plain.select("url", "body").join(self.files.select("url", "save_path"), "url").select("save_path", "url", "body")
+        return rest.unionByName(self.converted()) if self.options.convert_links else rest
+
     def manifest(self) -> DataFrame:
         """``(url, save_path, status, mime, escapes_root)`` of every saved URL."""
         facts = self.responses.select("url", "status", "mime")
+        own = join_path(F.lit(self.options.save_path), hostname(url_host("url")))
         return self.saved.join(facts, "url").select(
-            "url", "save_path", "status", "mime", escapes_root("save_path").alias("escapes_root")
+            "url", "save_path", "status", "mime", leaves_folder("save_path", own).alias("escapes_root")
         )
 
 

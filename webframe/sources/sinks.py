@@ -8,18 +8,26 @@ from pyspark.sql import functions as F
 from webframe.functions.paths import escapes_root
 
 
-def write_saved(df: DataFrame, target: str, partition: str | None = "host") -> None:
-    """One row per saved file; rows whose path leaves the root are refused.
+def write_saved(df: DataFrame, target: str, partition: str | None = "host", spread: int | None = None) -> DataFrame:
+    """Writes one row per saved file and returns the refused rows, with their bodies left out.
 
-    Rows of one host are spread over several files by their path, so a large
-    host is not written by one task.
+    Refused are empty paths, paths that climb above their start, and rows whose
+    column ``escapes_root``, if there is one, is true (see ``Mirror.manifest``).
+    Rows of one host are dealt to ``spread`` files by their path, as many as the
+    session has shuffle partitions unless told otherwise, so a large host is not written by one task.
     """
-    safe = df.where(~escapes_root("save_path") & (F.col("save_path") != ""))
+    bad = escapes_root("save_path") | (F.col("save_path") == "")
+    if "escapes_root" in df.columns:
+        bad = bad | F.col("escapes_root")
+    bad = F.coalesce(bad, F.lit(True))
+    safe = df.where(~bad)
     if partition is None:
         safe.write.mode("overwrite").parquet(target)
-        return
-    salted = safe.repartition(F.col(partition), F.pmod(F.xxhash64("save_path"), F.lit(64)))
-    salted.write.mode("overwrite").partitionBy(partition).parquet(target)
+    else:
+        n = spread or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salted = safe.repartition(F.col(partition), F.pmod(F.xxhash64("save_path"), F.lit(n)))
+        salted.write.mode("overwrite").partitionBy(partition).parquet(target)
+    return df.where(bad).drop("body")
 
 
 def success_list(results: DataFrame) -> DataFrame:

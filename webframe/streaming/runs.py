@@ -3,36 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webframe.sources.staging import Workspace
 
 
 def admit(
     spark: SparkSession,
-    folder: str,
+    path: str,
     schema,
-    glob: str = "*.parquet",
     max_bytes: str | None = None,
     max_files: int | None = None,
 ) -> DataFrame:
-    """Stream of Parquet files, so many bytes or files per micro-batch.
+    """Stream of a Parquet table, a file or a folder of part files, so many bytes or files per micro-batch.
 
     With a processing-time trigger of one second ``max_bytes`` bounds the bytes
-    taken in per second.
+    taken in per second. Files come in the order they were written, which need
+    not be the order of event time: limits together with a watermark need a
+    delay that covers the files of several batches.
     """
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+    reader = spark.readStream.schema(schema)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(folder)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        # A stream reads folders; of the one this file lies in it takes just the file.
+        return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").parquet(path)
+
+
+class LateRows(RuntimeError):
+    """Rows came after the watermark had passed them, so the result is not whole."""
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all data there is, and read what it wrote.
 
     Output goes to Parquet files in the shared folder, nothing through the
-    driver. Batches of an update stream are kept apart by ``batch_id``.
+    driver. Batches of an update stream are kept apart by ``batch_id``. Rows
+    dropped as late are an error, not a smaller result.
     """
     spark = stream.sparkSession
     space = Workspace(spark, name)
@@ -47,4 +59,17 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
 
         query = writer.outputMode(mode).foreachBatch(save).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target) if mode == "append" else spark.read.parquet(target)
+    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    if late:
+        raise LateRows(f"{name}: {late} rows were late")
+    kept = [T.StructField(f.name, f.dataType) for f in stream.schema]
+    if mode != "append":
+        kept.append(T.StructField("batch_id", T.LongType()))
+    return spark.read.schema(T.StructType(kept)).parquet(target)
+
+
+def last_updates(updates: DataFrame, key: list[str]) -> DataFrame:
+    """The last row of each key of an update stream, open windows included."""
+    rest = [c for c in updates.columns if c not in (*key, "batch_id")]
+    last = updates.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch_id").alias("_last"))
+    return last.select(*key, "_last.*")
