@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import cycle, islice
-from operator import getitem
+from operator import add, getitem
 from zlib import crc32
 
 import numpy as np
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from webframe.llm.words import chunks
 
-#: Segmentations of one text part that occur, and entries of a cache before it is emptied.
-VARIANTS, CACHE_UNITS, CACHE_PARTS = 4, 60_000, 120_000
+#: Segmentations of one text part that occur with one seed, and entries of a cache before it is emptied.
+VARIANTS, CACHE_UNITS, CACHE_PARTS = 2, 150_000, 400_000
 SPACE = "▁"
 _M = (1 << 64) - 1
 
@@ -105,6 +105,9 @@ class Encoder:
         """Segments one part by working off the agenda of candidate merges, best first, left to right."""
         ids, scores, limit = self.pieces.ids, self.pieces.scores, self.limit
         n = len(part)
+        if n == 1:
+            p = ids.get(part)
+            return np.array([p] if p is not None else [self.pieces.bytes[b] for b in part.encode()], np.int32).tobytes()
         starts, ends, before, after = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
@@ -112,17 +115,14 @@ class Encoder:
             if p is not None:
                 agenda.append((-scores[p], i, i + 1, i + 2, p))
         heapify(agenda)
-        key = crc32(part.encode(), salt)
+        key = crc32(part.encode(), salt) << 16
         while agenda:
             _, i, j, end, p = heappop(agenda)
             if ends[i] != j or j >= n or ends[j] != end or starts[i] < 0 or starts[j] < 0:
                 continue
-            if limit:
-                x = (key ^ (i * 0x9E3779B97F4A7C15) ^ (p * 0xD6E8FEB86659FD93) ^ (end << 40)) & _M
-                x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & _M
-                x = ((x ^ (x >> 32)) * 0x94D049BB133111EB) & _M
-                if x >> 32 < limit:
-                    continue
+            # Keyed by seed and variant (salt), text, place and piece; the upper bits of a product are well mixed.
+            if limit and ((key + i * 0x9E3779B1 + p * 0x85EBCA77 + end * 0xC2B2AE3D) * 0x9E3779B97F4A7C15 & _M) >> 32 < limit:
+                continue
             # The piece at j joins the one at i.
             ends[i], starts[j] = end, -1
             following = after[i] = after[j]
@@ -154,16 +154,16 @@ class _Units(dict):
 
     def __missing__(self, unit: str) -> bytes:
         joined, parts, out, start = self.encoder.joined, self.parts, [], 0
-        for k in range(1, len(unit) + 1):
-            if k == len(unit) or unit[k - 1 : k + 1] not in joined:
-                part = unit[start:k]
-                found = parts.get(part)
-                if found is None:
-                    if len(parts) >= CACHE_PARTS:
-                        parts.clear()
-                    found = parts[part] = self.encoder.merge(part, self.salt)
-                out.append(found)
-                start = k
+        cuts = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in joined]
+        for k in [*cuts, len(unit)]:
+            part = unit[start:k]
+            found = parts.get(part)
+            if found is None:
+                if len(parts) >= CACHE_PARTS:
+                    parts.clear()
+                found = parts[part] = self.encoder.merge(part, self.salt)
+            out.append(found)
+            start = k
         if len(self) >= CACHE_UNITS:
             self.clear()
         result = self[unit] = b"".join(out)
