@@ -1,7 +1,7 @@
 """Fuzzy duplicates of lines: SimHash, pigeonhole blocks, edit similarity, one occurrence per connected group.
 
-Lines are normalised (lower case, only letters and digits, numbers as 0, single
-spaces) and made distinct. The SimHash of a distinct line has 64 bits, each the
+Lines are normalised (lower case, no ASCII signs, numbers as 0, single spaces) and
+made distinct. The SimHash of a distinct line has 64 bits, each the
 majority of that bit over the hashes of its words. Two lines are candidates
 when at most DISTANCE bits differ. Then of PARTS parts of the bits at least
 PARTS - DISTANCE agree, so lines meet on one of the C(PARTS, DISTANCE) choices of so
@@ -23,40 +23,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webframe.functions.common import with_once
 from webframe.llm.common import Scratch
 from webframe.llm.components import components
 
 DISTANCE, PARTS = 3, 5
+#: Bits of the filter for texts that are read again.
+FILTER_BITS = 26
 #: Largest edit distance over words, as a share of the longer line.
 MOST_EDITS = 0.25
 
 
 def normal_line(line: Column) -> Column:
-    line = F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]++", " ")
-    return F.trim(F.regexp_replace(line, r"\p{N}++", "0"))
+    """Lower case, runs of ASCII signs and white space as one space, numbers as 0."""
+    line = F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", " ")
+    return F.trim(F.regexp_replace(line, r"[0-9]++", "0"))
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every line of every document with the digest of its normal form, null for one without letters or digits."""
+    """Every line of every document with its normal form and a key of that, null for a line without letters or digits."""
     lines = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("text_key"),
         F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"),
     )
-    return lines.withColumn("norm", F.nullif(normal_line(F.col("line")), F.lit("")))
+    lines = with_once(lines, norm=F.nullif(normal_line(F.col("line")), F.lit("")))
+    key = F.struct(F.xxhash64("norm").alias("x"), F.hash("norm").alias("y"))
+    return lines.withColumn("key", F.when(F.col("norm").isNotNull(), key))
 
 
 def _simhash(lines: DataFrame) -> DataFrame:
-    """(line, sim) of (line, norm): two bits are counted in one sum, 32 bits apart."""
-    words = lines.select("line", F.explode(F.split("norm", " ")).alias("w")).select("line", F.xxhash64("w").alias("h"))
+    """(key, sim, words) of (key, norm), where equal lines may come several times: that changes no majority.
+
+    Two bits are counted in one sum, 32 bits apart. A line is summed up where it is read, only the sums are shuffled.
+    """
+    words = lines.select("key.x", "key.y", F.explode(F.split("norm", " ")).alias("w")).select("x", "y", F.xxhash64("w").alias("h"))
     pair = F.lit(0x100000001)
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"s{k}") for k in range(32)]
-    counted = words.groupBy("line").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counted = words.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), *sums)
     sim = F.lit(0).cast("long")
     for k in range(32):
         for shift, count in ((k, F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(f"s{k}", 32))):
             sim = sim + F.when(count * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), shift)).otherwise(0)
-    return counted.select("line", sim.alias("sim"))
+    return counted.select(F.struct("x", "y").alias("key"), sim.alias("sim"))
 
 
 def _places(sims: DataFrame, distance: int, parts: int) -> DataFrame:
@@ -80,15 +89,39 @@ def _symbols(text: str) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(text, " "), code), "")), "UTF-16BE")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _some(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose key may be among ``wanted`` (line, key), by a bitmap of fixed size that is made from all of them.
+
+    The bitmap has at most 2^(FILTER_BITS - 15) rows of 4 KB, so it can be broadcast. It keeps the text of other
+    lines out of the shuffle; what it lets through by chance is sorted out by the join that follows.
+    """
+    bit = lambda key: F.pmod(key, F.lit(1 << FILTER_BITS)) + 1
+    marked = wanted.select(bit(F.col("key.x")).alias("bit"))
+    maps = marked.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")
+    )
+    at = F.bitmap_bit_position(bit(F.col("key.x")))
+    octet = F.conv(F.hex(F.substring(F.col("map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    here = lines.join(F.broadcast(maps), F.bitmap_bucket_number(bit(F.col("key.x"))) == F.col("bucket"))
+    return here.where(F.shiftright(octet, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).drop("bucket", "map")
+
+
+def _coded(pairs: DataFrame, lines: DataFrame, every: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(line, code) for the lines of the pairs (a, b), read again from the documents."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
+    wanted = scratch.save(ends.join(lines.select("line", "key"), "line"), f"wanted-{name}")
+    found = _some(every.where("key is not null").select("key", "norm"), wanted).join(wanted, "key").dropDuplicates(["line"])
+    return scratch.save(found.select("line", _symbols("norm").alias("code")), f"codes-{name}")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, every: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose lines are similar by edit distance over words."""
-    left = lines.select(F.col("line").alias("a"), F.col("norm").alias("x"))
-    right = lines.select(F.col("line").alias("b"), F.col("norm").alias("y"))
-    both = pairs.distinct().join(left, "a").join(right, "b")
-    coded = both.select("a", "b", F.inline(F.array(F.struct(_symbols("x").alias("u"), _symbols("y").alias("v")))))
+    pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
+    codes = _coded(pairs, lines, every, scratch, name)
+    both = pairs.join(codes.toDF("a", "u"), "a").join(codes.toDF("b", "v"), "b")
     most = F.floor(F.greatest(F.length("u"), F.length("v")) * MOST_EDITS).cast("int")
     near = (F.abs(F.length("u") - F.length("v")) <= most) & (F.levenshtein("u", "v") <= most)
-    return coded.where(near).select("a", "b")
+    return scratch.save(both.where(near).select("a", "b"), f"links-{name}")
 
 
 def fuzzy_line_groups(
@@ -107,10 +140,9 @@ def fuzzy_line_groups(
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     every = _occurrences(docs, id_col, text_col)
-    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "line_no")
-    lines = every.where("norm is not null").groupBy("norm").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("line"), "norm", "first", "n"), "lines")
-    sims = _simhash(lines)
+    lines = _simhash(every.where("key is not null").select("key", "norm"))
+    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("line"), "key", "sim"), "lines")
+    sims = lines.select("line", "sim")
     place = Window.partitionBy("place")
     in_order = place.orderBy("sim", "line")
     met = _places(sims, distance, parts).select(
@@ -122,7 +154,7 @@ def fuzzy_line_groups(
     met = scratch.save(met, "met")
     ends = met.where("p is not null").select("line", "sim", F.explode(F.array("f", "p")).alias("o"))
     ends = ends.select(F.col("line").alias("a"), F.col("o.line").alias("b"), "sim", F.col("o.sim").alias("other"))
-    links = scratch.save(_verified(ends.where(_near("sim", "other", distance)).select("a", "b"), lines), "links-1")
+    links = _verified(ends.where(_near("sim", "other", distance)).select("a", "b"), lines, every, scratch, "first")
     first = components(links, "a", "b", scratch, "first")
 
     # Places of three or more lines whose lines are not all in one group.
@@ -135,21 +167,21 @@ def fuzzy_line_groups(
     a = rows.select("place", F.col("line").alias("a"), F.col("sim").alias("sa"), F.col("g").alias("ga"))
     b = rows.select("place", F.col("line").alias("b"), F.col("sim").alias("sb"), F.col("g").alias("gb"))
     across = a.join(b, "place").where((F.col("ga") < F.col("gb")) & _near("sa", "sb", distance)).select("a", "b")
-    rest = scratch.save(_verified(across, lines), "links-2")
+    rest = _verified(across, lines, every, scratch, "rest")
     final = components(links.unionByName(rest), "a", "b", scratch, "final")
 
-    named = lines.join(final.withColumnRenamed("node", "line"), "line", "left").select(
-        F.md5("norm").alias("digest"), F.coalesce("root", "line").alias("group_id"), "first", "n"
-    )
-    groups = named.groupBy("group_id").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"))
-    named = named.select("digest", "group_id").join(groups, "group_id")
-    own = every.select("id", "text_key", "line_no", F.md5("norm").alias("digest"))
-    out = own.join(named, "digest", "left")
-    is_first = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "line_no").eqNullSafe(F.col("first"))
-    return out.select(
+    # Only lines that came several times or are linked need to know their group.
+    own = every.select("id", "text_key", "line_no", "key")
+    named = lines.select("line", "key").join(final.withColumnRenamed("node", "line"), "line", "left")
+    named = named.select("key", F.coalesce("root", "line").alias("group_id"))
+    placed = scratch.save(own.join(named, "key", "left").select("id", "text_key", "line_no", "group_id"), "placed")
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "line_no")
+    groups = placed.where("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    groups = groups.where("n > 1")
+    is_first = F.col("n").isNull() | order.eqNullSafe(F.col("first"))
+    return placed.join(groups, "group_id", "left").select(
         F.col("id").alias(id_col), "text_key", "line_no", "group_id",
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("digest").isNull() | is_first).alias("kept"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), is_first.alias("kept"),
     )
 
 
