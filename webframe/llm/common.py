@@ -46,3 +46,10 @@ class Scratch(Workspace):
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def with_text(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns ``kept`` of a table and the place of the text among what is sent on, which holds it only once."""
+    if text_col in kept:
+        return docs.select(*kept), kept.index(text_col)
+    return docs.select(*kept, F.col(text_col).alias("_text")), len(kept)

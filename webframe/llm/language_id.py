@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webframe.llm.common import with_text
 from webframe.llm.words import chunks
 
 UNKNOWN = "und"
@@ -189,21 +190,22 @@ def identify_language(
     shared = docs.sparkSession.sparkContext.broadcast(train(labelled, text_col, lang_col))
     added = ["lang_pred", "lang_score", "lang_spans"]
     kept = [c for c in docs.columns if c not in added]
+    fed, at = with_text(docs, kept, text_col)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, grams, written = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            for row, data, offsets in chunks(batch.column(0), _CHUNK):
+            for row, data, offsets in chunks(batch.column(at), _CHUNK):
                 names, share, spans = _label(data, offsets, langs, grams, written, switch)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(row, len(names)).columns[1:], pa.array(names, pa.string()), pa.array(share, pa.float64()), pa.array(spans, kind)],
+                    [*batch.slice(row, len(names)).columns[: len(kept)], pa.array(names, pa.string()), pa.array(share, pa.float64()), pa.array(spans, kind)],
                     [*kept, *added],
                 )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
     schema = ", ".join([*fields, "lang_pred string, lang_score double, lang_spans array<struct<start:int,end:int,lang:string>>"])
-    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(label, schema)
+    return fed.mapInArrow(label, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from webframe.llm.common import with_text
 from webframe.llm.words import chunks
 
 #: The base phrases and their labels.
@@ -153,16 +153,17 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     names = [n for n, _, _ in _FIELDS]
     kept = [c for c in docs.columns if c not in names]
+    fed, at = with_text(docs, kept, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton()
         for batch in batches:
-            for row, data, offsets in chunks(batch.column(0)):
+            for row, data, offsets in chunks(batch.column(at)):
                 raw, ends = data.tobytes(), np.asarray(offsets).tolist()
                 rows = [scan(raw[a:b], found) for a, b in zip(ends, ends[1:])]
                 columns = [pa.array(c, kind) for c, (_, kind, _) in zip(zip(*rows), _FIELDS)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(rows)).columns[1:], *columns], [*kept, *names])
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, len(rows)).columns[: len(kept)], *columns], [*kept, *names])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
     schema = ", ".join([*fields, *(f"{n} {t}" for n, _, t in _FIELDS)])
-    return docs.select(F.col(text_col).alias("_text"), *kept).mapInArrow(run, schema)
+    return fed.mapInArrow(run, schema)

@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webframe.llm.common import with_text
 from webframe.llm.words import chunks
 
 #: Segmentations of one text part that occur with one seed, and entries of a cache before it is emptied.
-VARIANTS, CACHE_UNITS, CACHE_PARTS = 2, 150_000, 400_000
+VARIANTS, CACHE_UNITS, CACHE_PARTS = 2, 60_000, 200_000
 SPACE = "▁"
 _M = (1 << 64) - 1
 
@@ -188,19 +189,20 @@ def encode_pieces(
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Pieces.load(model or default_model()))
     kept = [c for c in docs.columns if c != out_col]
-    fed = docs.select(F.xxhash64(id_col).alias("_key"), F.col(text_col).alias("_text"), *kept)
+    fed, at = with_text(docs, kept, text_col)
+    fed = fed.withColumn("_key", F.xxhash64(id_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, dropout, seed)
         for batch in batches:
-            for row, _, offsets in chunks(batch.column(1)):
+            for row, _, offsets in chunks(batch.column(at)):
                 part = batch.slice(row, len(offsets) - 1)
-                found = [encoder.encode(t or "", k) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                found = [encoder.encode(t or "", k) for k, t in zip(part.column("_key").to_pylist(), part.column(at).to_pylist())]
                 ends = np.zeros(len(found) + 1, np.int32)
                 np.cumsum([len(x) // 4 for x in found], out=ends[1:])
                 ids = pa.array(np.frombuffer(b"".join(found), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[2:], pa.ListArray.from_arrays(pa.array(ends), ids)], [*kept, out_col]
+                    [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(ends), ids)], [*kept, out_col]
                 )
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
