@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter, deque
 from datetime import datetime, timedelta
 
@@ -124,8 +125,10 @@ def test_mirror_rejects_traverses_and_converts(spark, tmp_path):
     write_saved(kept, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 7
     bad = kept.limit(1).withColumn("save_path", F.lit("../../x"))
-    write_saved(bad, str(tmp_path / "bad"), None)
-    assert spark.read.parquet(str(tmp_path / "bad")).count() == 0
+    refused = write_saved(bad, str(tmp_path / "bad"), None)
+    assert spark.read.parquet(str(tmp_path / "bad")).count() == 0 and refused.count() == 1
+    site = done.saved_site().collect()
+    assert {r.save_path for r in site} == {r.save_path for r in done.files.select("save_path").collect()} and all(r.body is not None for r in site)
 
 
 def name(base, k):
@@ -250,3 +253,30 @@ def test_download_keeps_duplicates(spark):
     snapshot = spark.createDataFrame([("http://h/a.txt", 200, -1, 5)], "url string, status int, declared_length bigint, body_length bigint")
     got = download(seeds, snapshot, MirrorOptions(mirror=False, save_path="d")).orderBy("ordinal").collect()
     assert [(r.save_path, r.error) for r in got] == [("d/a.txt", None), ("d/a(1).txt", None), ("d/gone", "not_found")]
+
+
+def test_streams_over_unordered_part_files(spark, sf, tmp_path):
+    """Any number of files in a table folder gives the rows of the one file, every byte included."""
+    from webframe.plans.queries import QUERIES
+
+    for name in ("pages", "events"):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        df.repartition(4, F.xxhash64(df.columns[0])).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_links", "stream_rate", "stream_admission"):
+        whole, parts = QUERIES[name](spark, sf), QUERIES[name](spark, str(tmp_path))
+        assert sorted(whole.collect()) == sorted(parts.collect()) != []
+    total = spark.read.parquet(f"{sf}/events.parquet").agg(F.sum(F.round(F.col("value") * 100).cast("bigint"))).first()[0]
+    assert QUERIES["stream_rate"](spark, str(tmp_path)).agg(F.sum("rate")).first()[0] == total
+
+
+def test_late_rows_are_an_error(spark, tmp_path):
+    from webframe.streaming.rates import stream_rate
+    from webframe.streaming.runs import LateRows, admit, run_available
+
+    for k, second in enumerate(("2024-01-01 00:10:00", "2024-01-01 00:20:00", "2024-01-01 00:00:00")):
+        row = spark.sql(f"select 1L as transfer_id, timestamp'{second}' as ts, 5L as bytes").coalesce(1)
+        row.write.mode("append").parquet(str(tmp_path / "t"))
+        time.sleep(1.1)
+    stream = admit(spark, str(tmp_path / "t"), row.schema, max_files=1)
+    with pytest.raises(LateRows):
+        run_available(stream_rate(stream), "late")
