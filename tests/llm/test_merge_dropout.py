@@ -63,3 +63,27 @@ def test_table(spark):
     by = {(r.doc_id, r.text): r.pieces for r in got.collect()}
     assert by[(2, None)] == [] and by[(3, "")] == []
     assert encode_pieces(df.limit(0)).count() == 0 and decode_pieces(got.limit(0)).count() == 0
+
+
+def test_every_occurrence_is_segmented_anew(pieces):
+    """As many segmentations of a word as dropout gives, each as often as with merges worked off one by one."""
+    word, n = "▁international", 4000
+    encoder = Encoder(pieces, 0.3, 5)
+    one = [tuple(ids(encoder, "international", k)) for k in range(n)]
+    rng = random.Random(1)
+
+    def draw():
+        gap = 0
+        while rng.random() >= 0.3:
+            gap += 1
+        return gap
+
+    plain = Counter(tuple(np.frombuffer(encoder.merge(word, draw(), draw)[0], np.int32).tolist()) for _ in range(n))
+    got = Counter(one)
+    assert len(got) > 20 and abs(len(got) - len(plain)) < 0.3 * len(plain)
+    for x, times in plain.most_common(5):
+        assert abs(got[x] - times) < 5 * (2 * times) ** 0.5
+    again = ids(encoder, "international " * 500, 1)
+    assert again == ids(Encoder(pieces, 0.3, 5), "international " * 500, 1)
+    starts = [i for i, p in enumerate(again) if pieces.texts[p].startswith(b" ")] + [len(again)]
+    assert len({tuple(again[a:b]) for a, b in zip(starts, starts[1:])}) > 20

@@ -2,10 +2,13 @@
 
 A BPE model merges the best-scored pair of neighbouring pieces until none is
 left. With merge-dropout each candidate that comes up from the agenda is skipped
-with a given probability. Here a keyed hash of (seed, variant, text, place,
-piece) decides, so a run can be repeated exactly, on any number of executors.
-Successive occurrences of a word take successive variants, starting at one that
-follows from the document's key, so a word is segmented in several ways.
+with a given probability, each for itself. A keyed hash of (seed, document, place
+of the word in it, number of the draw) tells how many candidates pass before the
+next one is skipped, so every occurrence of a word is segmented anew, and a run can
+be repeated exactly, on any number of executors.
+
+What a part of a text becomes follows from the part and the numbers of its skipped
+candidates. Such results are kept in caches of fixed size, which changes nothing.
 
 Pieces never cross from a character to a following space, nor over two
 characters that no piece of the vocabulary has side by side. Texts are cut
@@ -17,11 +20,12 @@ for characters outside the vocabulary and for a literal U+2581.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
-from itertools import cycle, islice
-from operator import add, getitem
+from itertools import count
+from operator import add
 from zlib import crc32
 
 import numpy as np
@@ -30,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.llm.common import with_text
-from webframe.llm.words import chunks
-
-#: Segmentations of one text part that occur with one seed, and entries of a cache before it is emptied.
-VARIANTS, CACHE_UNITS, CACHE_PARTS = 2, 60_000, 200_000
+from webframe.llm.words import chunks, mixed
+
+#: Entries of a cache before it is emptied, and the longest part whose segmentations with skips are kept.
+CACHE_UNITS, CACHE_PARTS, LONG = 100_000, 300_000, 32
+#: Most entries of the table of gaps; what is beyond takes another draw.
+GAPS = 1 << 16
+#: More candidates than any part has.
+NEVER = 1 << 40
 SPACE = "▁"
-_M = (1 << 64) - 1
+_M, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
 def default_model() -> str:
@@ -76,11 +84,16 @@ class Pieces:
 class Encoder:
     """Encodes texts; made once per task."""
 
-    def __init__(self, pieces: Pieces, dropout: float, seed: int, variants: int = VARIANTS):
+    def __init__(self, pieces: Pieces, dropout: float, seed: int):
         self.pieces, self.limit = pieces, round(dropout * (1 << 32))
         self.joined = {a + b for p in pieces.ids for a, b in zip(p, p[1:])}
-        self.salts = [crc32(f"{seed}:{k}".encode()) for k in range(variants)]
-        self.caches = [_Units(self, salt) for salt in self.salts]
+        self.salt = _mixed(crc32(str(seed).encode()))
+        # A hash h lets as many candidates pass as there are bounds not above it: k or more with probability (1-p)^k.
+        passed, bounds = 1 - self.limit / (1 << 32), []
+        while self.limit and len(bounds) < GAPS and (not bounds or bounds[-1] < 1 << 32):
+            bounds.append((1 << 32) - int(passed ** (len(bounds) + 1) * (1 << 32)))
+        self.bounds, self.bound_array = bounds, np.array(bounds, np.uint64)
+        self.cache = _Units(self)
         # A line break that is in no piece is a place to cut as well.
         if any("\n" in p for p in pieces.ids):
             self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
@@ -92,23 +105,73 @@ class Encoder:
         """The ids, as 4 bytes each in native order."""
         if not text:
             return b""
-        first = key % len(self.caches)
-        turns = islice(cycle(self.caches), first, None)
-        out = []
+        base, at, out, cache = _mixed(key & _M ^ self.salt), 0, [], self.cache
         for k, part in enumerate(text.split(SPACE)):
             if k:
                 out.append(self.literal)
             part = part.replace(" ", SPACE)
-            out.append(b"".join(map(getitem, turns, self.units(part if k else SPACE + part))))
+            units = self.units(part if k else SPACE + part)
+            if self.limit:
+                states = np.uint64(base) + np.arange(at + 1, at + 1 + len(units), dtype=np.uint64) * np.uint64(_STEP)
+                gaps = self._first_gaps(mixed(states)).tolist()
+                for unit, gap, state in zip(units, gaps, states.tolist()):
+                    found = cache[unit]
+                    out.append(found[0] if gap >= found[1] else self._dropped(found[2], gap, state))
+            else:
+                out += [cache[unit][0] for unit in units]
+            at += len(units)
+        return b"".join(out)
+
+    def _gap(self, h: int) -> int:
+        """How many candidates pass before one is skipped."""
+        bounds, total = self.bounds, 0
+        while True:
+            gap = bisect_right(bounds, h >> 32)
+            total += gap
+            if gap < len(bounds) or total >= NEVER:
+                return total
+            h = _mixed(h)
+
+    def _first_gaps(self, hashes: np.ndarray) -> np.ndarray:
+        gaps = np.searchsorted(self.bound_array, hashes >> np.uint64(32), "right")
+        for i in np.flatnonzero(gaps == len(self.bounds)).tolist():
+            gaps[i] = self._gap(int(hashes[i]))
+        return gaps
+
+    def _dropped(self, nodes: list[tuple], gap: int, state: int) -> bytes:
+        """A unit at one place in a text. ``gap`` candidates pass before the first is skipped, more gaps are drawn."""
+        key, turn, out, children = _mixed(state), 0, [], self.cache.children
+
+        def draw() -> int:
+            nonlocal turn
+            turn += 1
+            return self._gap(_mixed(key + turn * _STEP))
+
+        for node in nodes:
+            part, taken = node[3], []
+            if gap < node[1] and len(part) > LONG:
+                found, gap = self.merge(part, gap, draw)
+                out.append(found)
+                continue
+            while gap < node[1]:
+                taken.append(gap)
+                child = children.get(node[2] << 8 | gap)
+                node = child or self.cache.child(node, part, taken)
+                gap = draw()
+            gap -= node[1]
+            out.append(node[0])
         return b"".join(out)
 
-    def merge(self, part: str, salt: int) -> bytes:
-        """Segments one part by working off the agenda of candidate merges, best first, left to right."""
-        ids, scores, limit = self.pieces.ids, self.pieces.scores, self.limit
+    def merge(self, part: str, gap: int, draw: Callable[[], int]) -> tuple[bytes, int]:
+        """Segments one part by working off the agenda of candidate merges, best first, left to right.
+
+        ``gap`` candidates pass, one is skipped, then ``draw()`` gives the next gap; what is left of a gap is returned.
+        """
+        ids, scores = self.pieces.ids, self.pieces.scores
         n = len(part)
         if n == 1:
             p = ids.get(part)
-            return np.array([p] if p is not None else [self.pieces.bytes[b] for b in part.encode()], np.int32).tobytes()
+            return np.array([p] if p is not None else [self.pieces.bytes[b] for b in part.encode()], np.int32).tobytes(), gap
         starts, ends, before, after = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
@@ -116,14 +179,14 @@ class Encoder:
             if p is not None:
                 agenda.append((-scores[p], i, i + 1, i + 2, p))
         heapify(agenda)
-        key = crc32(part.encode(), salt) << 16
         while agenda:
             _, i, j, end, p = heappop(agenda)
             if ends[i] != j or j >= n or ends[j] != end or starts[i] < 0 or starts[j] < 0:
                 continue
-            # Keyed by seed and variant (salt), text, place and piece; the upper bits of a product are well mixed.
-            if limit and ((key + i * 0x9E3779B1 + p * 0x85EBCA77 + end * 0xC2B2AE3D) * 0x9E3779B97F4A7C15 & _M) >> 32 < limit:
+            if not gap:
+                gap = draw()
                 continue
+            gap -= 1
             # The piece at j joins the one at i.
             ends[i], starts[j] = end, -1
             following = after[i] = after[j]
@@ -143,33 +206,56 @@ class Encoder:
             p = ids.get(piece)
             out += [p] if p is not None else [self.pieces.bytes[b] for b in piece.encode()]
             i = ends[i]
-        return np.array(out, np.int32).tobytes()
+        return np.array(out, np.int32).tobytes(), gap
 
 
 class _Units(dict):
-    """Encoded units of one variant; a unit is cut where no piece can reach across, its parts are kept apart."""
+    """(ids, candidates, nodes of its parts) of units without skips; a unit is cut where no piece can reach across.
 
-    def __init__(self, encoder: Encoder, salt: int):
+    A node is (ids, candidates, number, part): what a part becomes if nothing more is skipped, and how many candidates
+    come up in that. ``children`` has the nodes that follow from one more skip, by number of the node and gap.
+    """
+
+    def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder, self.salt, self.parts = encoder, salt, {}
+        self.encoder, self.parts, self.children, self.numbers = encoder, {}, {}, count()
 
-    def __missing__(self, unit: str) -> bytes:
-        joined, parts, out, start = self.encoder.joined, self.parts, [], 0
+    def __missing__(self, unit: str) -> tuple:
+        joined, nodes, start = self.encoder.joined, [], 0
         cuts = [k for k, pair in enumerate(map(add, unit, unit[1:]), 1) if pair not in joined]
         for k in [*cuts, len(unit)]:
             part = unit[start:k]
-            found = parts.get(part)
+            found = self.parts.get(part)
             if found is None:
-                if len(parts) >= CACHE_PARTS:
-                    parts.clear()
-                found = parts[part] = self.encoder.merge(part, self.salt)
-            out.append(found)
+                if len(self.parts) >= CACHE_PARTS:
+                    self.parts.clear()
+                found = self.parts[part] = self._node(part, [])
+            nodes.append(found)
             start = k
         if len(self) >= CACHE_UNITS:
             self.clear()
-        result = self[unit] = b"".join(out)
+        result = self[unit] = (b"".join(n[0] for n in nodes), sum(n[1] for n in nodes), nodes)
         return result
 
+    def child(self, node: tuple, part: str, taken: list[int]) -> tuple:
+        if len(self.children) >= CACHE_PARTS:
+            self.children.clear()
+        found = self.children[node[2] << 8 | taken[-1]] = self._node(part, taken)
+        return found
+
+    def _node(self, part: str, taken: list[int]) -> tuple:
+        gaps = iter([*taken, NEVER])
+        found, left = self.encoder.merge(part, next(gaps), gaps.__next__)
+        return found, NEVER - left, next(self.numbers), part
+
+
+def _mixed(h: int) -> int:
+    """``mixed`` of one number."""
+    h &= _M
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD & _M
+    h = (h ^ h >> 33) * 0xC4CEB9FE1A85EC53 & _M
+    return h ^ h >> 33
+
 
 def encode_pieces(
     docs: DataFrame,
