@@ -51,3 +51,21 @@ def test_table(spark):
     assert [r.labels for r in got] == ["apache", "gpl,mit", "", "", "apache", "apache", "reserved"]
     assert got[1].expressions == ["gpl or mit"] and got[2].score == 0 and all(0 <= r.score <= 1 for r in got)
     assert scan_licenses(spark.createDataFrame([], "text string, score int")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("<!-- SPDX-License-Identifier: MIT -->", ["mit"]),
+        ("<!--SPDX-License-Identifier: MIT-->", ["mit"]),
+        ("{# SPDX-License-Identifier: (MIT OR ISC) #}", ["isc or mit"]),
+        ("SPDX-License-Identifier: GPL-2.0+ Copyright by us SPDX-License-Identifier: MIT. And so on", ["gpl", "mit"]),
+        ("/* SPDX-License-Identifier: MIT OR */", ["mit"]),
+        ("SPDX-License-Identifier: (MIT) AND (ISC", ["mit"]),
+        ("<p>SPDX-License-Identifier: MIT</p>) SPDX-License-Identifier: MIT)", ["mit", "mit"]),
+        ("SPDX-License-Identifier: MIT\nand ISC", ["mit"]),
+        ("SPDX-License-Identifier: (MIT", []), ("SPDX-License-Identifier: -- MIT", []), ("SPDX-License-Identifier:", []),
+    ],
+)
+def test_what_follows_an_expression(text, want):
+    assert scan(text.encode(), automaton())[7] == want

@@ -41,8 +41,34 @@ IDENTIFIERS = (
 OTHER = "other"
 _RANK = {"or": 1, "and": 2, "with": 3}
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-_EXPRESSION = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t:=]*([^\n\r*>;\"']*)", re.ASCII)
+_EXPRESSION = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t:=]*", re.ASCII)
 _TOKEN = re.compile(r"[()]|[^\s()]+")
+_NEXT = re.compile(r"[^\S\n\r]*([()]|[0-9a-z][0-9a-z.+:_-]*)", re.ASCII)
+
+
+def leading(text: str, at: int) -> str:
+    """The longest well-formed expression that begins at a place of a lower-case text; it ends with the line at the latest."""
+    tokens, best, depth, operand = [], 0, 0, False
+    while m := _NEXT.match(text, at):
+        at, token = m.end(), m[1]
+        if token == "(":
+            fits, depth = not operand, depth + 1
+        elif token == ")":
+            fits, depth = operand and depth > 0, depth - 1
+        elif token in _RANK:
+            fits, operand = operand, False
+        else:
+            fits, operand = not operand, True
+        if not fits:
+            break
+        # Signs at the end of an identifier belong to what follows it.
+        bare = token.rstrip(".:_-")
+        tokens.append(bare)
+        if operand and not depth:
+            best = len(tokens)
+        if bare != token:
+            break
+    return " ".join(tokens[:best])
 
 
 def postfix(expression: str) -> list[str] | None:
@@ -124,8 +150,9 @@ def scan(text: bytes, found) -> tuple:
             labels.add(NOTICES[phrase][0])
             unsure *= 1 - NOTICES[phrase][1]
     if tagged:
-        for m in _EXPRESSION.finditer(text.decode().translate(_LOWER)):
-            offered = choices(m[1])
+        low = text.decode().translate(_LOWER)
+        for m in _EXPRESSION.finditer(low):
+            offered = choices(leading(low, m.end()))
             if offered:
                 labels |= frozenset().union(*offered)
                 unsure *= 1 - TAG_SURE
@@ -148,8 +175,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     ``n_words``; of the base phrases ``n_base`` (all places), ``first_word`` and ``last_word`` (words from 0; null if
     none) and ``base_labels``; ``labels`` of these, further notices and licence expressions; ``score`` from 0 (none) to
-    1; ``expressions``, the choices behind each tag. Null and empty texts have no words and labels "". Expressions
-    that are not well-formed give nothing.
+    1; ``expressions``, the choices behind each tag, of the longest well-formed expression there, whatever follows it. Null
+    and empty texts have no words and labels "". A tag without such an expression gives nothing.
     """
     names = [n for n, _, _ in _FIELDS]
     kept = [c for c in docs.columns if c not in names]
