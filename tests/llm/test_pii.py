@@ -61,3 +61,13 @@ def test_patterns_discover_identifiers(spark):
     assert got[20].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[1].spans == brute(docs[1][1])[-1]
     assert all(r.spans == brute(dict(docs)[r.doc_id])[-1] for r in run(spark, docs, least_seeds=100))
+
+
+def test_later_generations(spark):
+    """Values found behind one phrase make the next phrase trusted, which finds further values, and so on."""
+    old, new, last = ([f"{c}-4{k}-77" for k in range(6)] for c in "XYZ")
+    texts = [f"here my badge is a{k}@mail.example.com" for k in range(8)] + [f"here my badge is {v}" for v in old]
+    texts += [f"the member number {v}" for v in old + new] + [f"her holder code {v}" for v in new + last]
+    texts += [f"bought article size {v}" for v in ("Q-11-22", "Q-11-23", "Q-11-24")]
+    got = {t: r.spans for t, r in zip(texts, sorted(run(spark, list(enumerate(texts))), key=lambda r: r.doc_id))}
+    assert {t for t, spans in got.items() if "id:" in spans} == {t for t in texts if t.split()[-1] in old + new + last}

@@ -5,8 +5,9 @@ each other thing that looks like an identifier, has a lexical pattern, the two w
 before it. Patterns and values form a graph. Round by round a pattern scores the mean score
 of its values and a value the score of its best pattern, seeds staying at 1. Patterns
 that end above a threshold and hold enough different seeds are trusted, and
-values that stand behind them, but are no seeds, are reported as kind "id". All of
-it is DataFrame expressions; the graph is joined and aggregated, never gathered.
+values that stand behind them, but are no seeds, are reported as kind "id". These
+are seeds of the next generation, which starts again from all seeds, until no
+pattern is added. All of it is DataFrame expressions; the graph is joined and aggregated, never gathered.
 """
 
 from __future__ import annotations
@@ -114,20 +115,39 @@ def _identifiers(text: Column) -> Column:
 def trusted_patterns(
     occurrences: DataFrame, scratch: Scratch, rounds: int = ROUNDS, trust: float = TRUST, least_seeds: int = LEAST_SEEDS
 ) -> DataFrame:
-    """(pattern, score, seeds) of the patterns that end with a score of ``trust`` and hold ``least_seeds`` seed values."""
+    """(pattern, score, seeds) of the patterns that end with a score of ``trust`` and hold ``least_seeds`` seed values.
+
+    Values behind a trusted pattern are seeds of the next generation; the last one adds no pattern. Trusted patterns stay
+    trusted, as more seeds lower no score, so there are at most as many generations as trusted patterns, and one more.
+    """
     edges = occurrences.where("pattern != ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    edges = scratch.save(edges, "edges")
+    edges, generation, known = scratch.save(edges, "edges-0"), 0, 0
+    while True:
+        found = scratch.save(_generation(edges, scratch, generation, rounds, trust, least_seeds), f"trusted-{generation}")
+        n = found.count()
+        if n == known:
+            return found
+        known, generation = n, generation + 1
+        behind = edges.join(found, "pattern", "left_semi").select("value").distinct().withColumn("behind", F.lit(True))
+        seed = (F.col("seed") | F.col("behind").isNotNull()).alias("seed")
+        edges = scratch.save(edges.join(behind, "value", "left").select("pattern", "value", seed), f"edges-{generation}")
+        scratch.drop(f"edges-{generation - 1}")
+
+
+def _generation(
+    edges: DataFrame, scratch: Scratch, generation: int, rounds: int, trust: float, least_seeds: int
+) -> DataFrame:
     values = edges.groupBy("value").agg(F.max("seed").cast("double").alias("v"))
     for k in range(rounds):
         patterns = edges.join(values, "value").groupBy("pattern").agg(
             (F.sum("v") / F.count(F.lit(1))).alias("p"), F.count_if("seed").alias("seeds")
         )
-        patterns = scratch.save(patterns, f"patterns-{k}")
+        patterns = scratch.save(patterns, f"patterns-{generation}-{k}")
         own = F.when(F.col("seeds") >= least_seeds, F.col("p")).otherwise(0.0)
         best = edges.join(patterns, "pattern").groupBy("value").agg(
             F.greatest(F.max("seed").cast("double"), F.max(own)).alias("v")
         )
-        values = scratch.save(best, f"values-{k}")
+        values = scratch.save(best, f"values-{generation}-{k}")
     return patterns.where((F.col("p") >= trust) & (F.col("seeds") >= least_seeds)).select("pattern", F.col("p").alias("score"), "seeds")
 
 
