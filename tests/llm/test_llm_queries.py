@@ -14,7 +14,7 @@ def test_against_sql(spark, sf, name):
 
 
 def test_names_and_stages():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, len(QUERIES) + 1)) and len(QUERIES) >= 10
     assert len(corpus_pipeline.STAGES) == 5
 
 

@@ -16,6 +16,7 @@ from webframe.llm.license_scan import scan_licenses
 from webframe.llm.line_dedup import fuzzy_line_groups
 from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 from webframe.llm.pii import find_personal_data
+from webframe.llm.prefix_bpe import decode_bpe, encode_bpe
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_line_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode_bpe(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    found = decode_bpe(found.withColumn("n_tokens", F.size("ids").cast("long")))
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -80,4 +87,5 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
+    "op11_bpe": op11_bpe,
 }
