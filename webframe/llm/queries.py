@@ -17,6 +17,7 @@ from webframe.llm.line_dedup import fuzzy_line_groups
 from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 from webframe.llm.pii import find_personal_data
 from webframe.llm.prefix_bpe import decode_bpe, encode_bpe
+from webframe.llm.run_detect import find_runs
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,40 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _with_periodic_words(docs: DataFrame) -> DataFrame:
+    """One of ten documents repeats its words from a place on, which its id tells; the others are as they were."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = docs.withColumn("_g", F.when(h % 10 == 0, F.floor(h / 10)))
+    words = F.when(F.col("_g").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.withColumn("_words", words).withColumn("_n", F.size("_words"))
+    start = F.col("_g") % F.col("_n")
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, start))
+    docs = docs.withColumn("_p", F.floor((F.col("_n") - F.col("_a")) / (F.col("_g") % 8 + 3)) + 1)
+
+    def word(i):
+        return F.get("_words", F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p")).cast("int"))
+
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), word), " ")
+    return docs.select("doc_id", F.when(F.col("_p").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_with_periodic_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return found.select(
+        "doc_id", "n_runs", (-F.col("_best.start")).alias("start"), F.col("_best.length").alias("length"),
+        (-F.col("_best.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -88,4 +123,5 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
     "op11_bpe": op11_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }
