@@ -18,6 +18,7 @@ from webframe.llm.merge_dropout import decode_pieces, encode_pieces
 from webframe.llm.pii import find_personal_data
 from webframe.llm.prefix_bpe import decode_bpe, encode_bpe
 from webframe.llm.run_detect import find_runs
+from webframe.llm.treap_search import lexical_search
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _with_periodic_words(docs: DataFrame) -> DataFrame:
     """One of ten documents repeats its words from a place on, which its id tells; the others are as they were."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -123,5 +128,6 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_line_dedup": op10_line_dedup,
     "op11_bpe": op11_bpe,
+    "op12_lexical_search": op12_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
