@@ -30,8 +30,8 @@ def bfs(edges, seeds):
     return out
 
 
-@pytest.mark.parametrize("probe_min", [50_000_000, 0])
-def test_closure_is_bfs(spark, probe_min):
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_closure_is_bfs(spark, buckets):
     rng = random.Random(5)
     # One page holds a third of all links, and one target gets a third of them.
     pairs = [("hub", f"p{rng.randrange(400)}") for _ in range(600)]
@@ -43,12 +43,41 @@ def test_closure_is_bfs(spark, probe_min):
     for a, b in pairs:
         graph.setdefault(a, []).append(b)
     edges = spark.createDataFrame(pairs, "src string, dst string")
-    got = crawl.closure(edges, spark.createDataFrame(seeds, "seed_id bigint, url string"), probe_min=probe_min)
+    got = crawl.closure(edges, spark.createDataFrame(seeds, "seed_id bigint, url string"), buckets=buckets)
     rows = got.collect()
     assert {(r.seed_id, r.url): r.depth for r in rows} == bfs(graph, set(seeds))
     assert len(rows) == len({(r.seed_id, r.url) for r in rows})
 
 
+def test_closure_moves_only_the_frontier(spark):
+    """No exchange above the scan of the graph or of the visited set; the frontier and its targets are dealt."""
+    edges = spark.createDataFrame([(f"p{i}", [f"p{i * 7 % 50}", f"p{i + 1}"]) for i in range(50)], "src string, dsts array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        level = crawl.Closure(edges, spark.createDataFrame([(1, "p1"), (2, "p3")], "seed_id bigint, url string"))
+        while level.added:
+            plan = level.fresh()._jdf.queryExecution().executedPlan().toString().splitlines()
+            exchanges = [k for k, line in enumerate(plan) if "Exchange " in line]
+            scans = {name: k for k, line in enumerate(plan) for name in ("_graph", "_visited") if "Bucketed: true" in line and name in line}
+            assert len(exchanges) == 2 and len(scans) == 2, plan
+            # What stands above a line has less indent; an exchange above would be further out on the way up.
+            for at in scans.values():
+                indent = lambda line: len(line) - len(line.lstrip(" :+-"))
+                depth = indent(plan[at])
+                above = []
+                for line in reversed(plan[:at]):
+                    if indent(line) < depth:
+                        above.append(line)
+                        depth = indent(line)
+                joins = [k for k, line in enumerate(above) if "SortMergeJoin" in line]
+                assert not any("Exchange " in line for line in above[: joins[0]]), above
+            level.step()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert level.depth > 5 and level.reached.count() > 60
+
+
 def test_closure_of_nested_edges(spark):
     edges = spark.createDataFrame([("a", ["b", "c"]), ("b", ["a"]), ("c", ["d"])], "src string, dsts array<string>")
     seeds = spark.createDataFrame([(1, "a"), (2, "b")], "seed_id bigint, url string")

@@ -1,9 +1,10 @@
 """Site closure: all pages reachable from many seeds at once.
 
-The link graph is read from a written edge table. Each level is one job that
-joins the frontier (keys only) to the edges, drops duplicate targets with
-map-side aggregation, removes what was seen and writes the new frontier. Levels
-are written tables, so a lost executor costs one level's work at most.
+The adjacency lists and the visited keys lie in tables that are bucketed by the keys they are joined on, with as
+many buckets as the session has shuffle partitions. Each level is one job: the frontier (keys only) is dealt by URL
+to the lists, its targets are brought down to distinct ones with map-side aggregation and dealt by key to the
+visited set, and what is new is added there. Neither the graph nor the visited set is shuffled. Levels are
+committed writes, so a lost executor costs one level's work at most.
 """
 
 from __future__ import annotations
@@ -11,72 +12,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webframe.functions.urls import url_host
+from webframe.operators.skew import salted_join
 from webframe.sources.staging import Workspace
 
-# A frontier this many times smaller than the visited set is checked by a
-# semi join from the visited side, which can broadcast the candidates.
-_PROBE_RATIO = 16
-_PROBE_MIN_ROWS = 50_000_000
+KEY = ["seed_id", "url"]
 
 
-def seed_host_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Edges on the hosts of the seeds; all others can never be reached.
+class Closure:
+    """A crawl in progress; :meth:`step` adds one level."""
 
-    For edges that stay on their host, in either form. The host list is shuffled or broadcast
-    by its size; a huge host is split by skew handling, its side being the left.
-    """
-    hosts = seeds.select(url_host("url").alias("_h")).distinct()
-    keyed = edges.withColumn("_h", url_host("src"))
-    return keyed.join(hosts, "_h", "left_semi").drop("_h")
-
-
-def _unseen(candidates, visited, n_frontier, n_visited, workspace, name, probe_min):
-    key = ["seed_id", "url"]
-    if n_visited < max(probe_min, _PROBE_RATIO * n_frontier):
-        return candidates.join(visited, key, "left_anti")
-    # Candidates are few: find those already seen without moving the visited set.
-    written, _ = workspace.write(candidates, f"candidates-{name}")
-    hits = visited.select(*key).join(written, key, "left_semi")
-    return written.join(hits, key, "left_anti")
-
-
-def closure(
-    edges: DataFrame,
-    seeds: DataFrame,
-    max_depth: int | None = None,
-    probe_min: int = _PROBE_MIN_ROWS,
-) -> DataFrame:
+    def __init__(self, edges: DataFrame, seeds: DataFrame, buckets: int | None = None):
+        self._spark = seeds.sparkSession
+        self._space = Workspace(self._spark, "closure")
+        self._buckets = buckets or int(self._spark.conf.get("spark.sql.shuffle.partitions"))
+        if "dst" in edges.columns:
+            edges = edges.groupBy("src").agg(F.collect_set("dst").alias("dsts"))
+        self._space.keyed(edges.select("src", "dsts"), "graph", ["src"], self._buckets)
+        self.depth = 0
+        self.added = self._add(seeds.select(F.col("seed_id").cast("bigint"), "url").distinct())
+
+    def _add(self, keys: DataFrame) -> int:
+        level = keys.select(*KEY, F.lit(self.depth).cast("bigint").alias("depth"))
+        return self._space.keyed(level, "visited", KEY, self._buckets, ("depth",))
+
+    @property
+    def reached(self) -> DataFrame:
+        return self._space.table("visited")
+
+    def fresh(self) -> DataFrame:
+        """The keys one link beyond the last level that were not reached before."""
+        visited = self.reached
+        frontier = visited.where(F.col("depth") == self.depth).select(*KEY)
+        met = frontier.join(self._space.table("graph"), F.col("url") == F.col("src"))
+        candidates = met.select("seed_id", F.explode("dsts").alias("url")).distinct()
+        return candidates.join(visited.select(*KEY), KEY, "left_anti")
+
+    def step(self) -> int:
+        """Adds the next level; returns the number of its keys."""
+        fresh = self.fresh()
+        self.depth += 1
+        self.added = self._add(fresh)
+        return self.added
+
+
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, buckets: int | None = None) -> DataFrame:
     """``(seed_id, url, depth)`` of every URL requested when mirroring the seeds.
 
     ``edges(src, dst)``, or ``(src, dsts)`` with the targets of a page in one
-    row, must only leave pages that are traversed. The second form is joined on
-    unique keys, so that a page with very many links is no skew. Each seed has
+    row, must only leave pages that are traversed. Each seed has
     its own visited set. Depth is the number of links from the seed.
     """
-    spark = seeds.sparkSession
-    workspace = Workspace(spark, "closure")
-    target = F.explode("dsts") if "dsts" in edges.columns else F.col("dst")
-    graph, _ = workspace.write(edges, "edges")
-    level = seeds.select(F.col("seed_id").cast("bigint"), "url").distinct()
-    level = level.withColumn("depth", F.lit(0).cast("bigint"))
-    frontier, n_frontier = workspace.write(level, "level-0")
-    names, n_visited, depth = ["level-0"], n_frontier, 0
-    while n_frontier and (max_depth is None or depth < max_depth):
-        depth += 1
-        visited = workspace.read(level.schema, names)
-        candidates = (
-            frontier.join(graph, F.col("url") == F.col("src"))
-            .select("seed_id", target.alias("url"))
-            .distinct()
-        )
-        fresh = _unseen(candidates, visited, n_frontier, n_visited, workspace, depth, probe_min)
-        fresh = fresh.select("seed_id", "url", F.lit(depth).cast("bigint").alias("depth"))
-        name = f"level-{depth}"
-        frontier, n_frontier = workspace.write(fresh, name)
-        names.append(name)
-        n_visited += n_frontier
-    return workspace.read(level.schema, names)
+    crawl = Closure(edges, seeds, buckets)
+    while crawl.added and (max_depth is None or crawl.depth < max_depth):
+        crawl.step()
+    return crawl.reached
 
 
 def unseen(frontier: DataFrame, visited: DataFrame, key: list[str] | None = None) -> DataFrame:
@@ -108,8 +97,11 @@ def discovery_parents(reached: DataFrame, nested: DataFrame) -> DataFrame:
 
 
 def link_status(links: DataFrame, results: DataFrame) -> DataFrame:
-    """Links with the result of their target; NULL columns where there is none."""
-    return links.join(results.withColumnRenamed("url", "dst"), "dst", "left")
+    """Links with the result of their target; NULL columns where there is none.
+
+    A target with a large share of the links is dealt over several tasks.
+    """
+    return salted_join(links, results.withColumnRenamed("url", "dst"), "dst", "left")
 
 
 def link_outcomes(reached: DataFrame, nested: DataFrame, results: DataFrame) -> DataFrame:

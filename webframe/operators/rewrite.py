@@ -11,6 +11,7 @@ from webframe.functions.common import record
 from webframe.functions.css import rewrite_css
 from webframe.functions.html import rewrite_html
 from webframe.functions.paths import relative_path
+from webframe.operators.skew import salted_join
 
 
 def link_pairs(nested: DataFrame) -> DataFrame:
@@ -24,14 +25,15 @@ def link_targets(pairs: DataFrame, saved: DataFrame, keep_fragment: bool = False
     """``(src, link, target)``: relative path of each link whose target was saved.
 
     ``pairs(src, link, dst)`` are distinct, ``saved(url, save_path)`` has unique
-    URLs. Only keys and paths are joined; documents stay where they are.
+    URLs. Only keys and paths are joined; documents stay where they are. A target that very many pages link to is
+    dealt over several tasks.
     """
     here = saved.select(F.col("url").alias("src"), F.col("save_path").alias("_from"))
     there = saved.select(F.col("url").alias("dst"), F.col("save_path").alias("_to"))
     target = relative_path("_from", "_to")
     if keep_fragment:
         target = F.concat(target, F.regexp_extract("link", "(?s)#.*", 0))
-    return pairs.join(there, "dst").join(here, "src").select("src", "link", target.alias("target"))
+    return salted_join(pairs, there, "dst").join(here, "src").select("src", "link", target.alias("target"))
 
 
 def link_maps(targets: DataFrame) -> DataFrame:

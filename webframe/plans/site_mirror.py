@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webframe.functions.common import with_once
 from webframe.functions.paths import join_path, leaves_folder
 from webframe.functions.urls import hostname, url_host
-from webframe.operators.crawl import closure, seed_host_edges
+from webframe.operators.crawl import closure
 from webframe.operators.extract import adjacency, explode_links, page_links
 from webframe.operators.filters import with_limits
 from webframe.operators.pathset import last_write_wins, resolve_dir_conflicts, save_path
@@ -35,8 +35,7 @@ class Mirror:
         self.options = options
         self._workspace = Workspace(seeds.sparkSession, "mirror")
         self.nested = self._write(followed_links(responses, options), "links")
-        edges = seed_host_edges(adjacency(self.nested), seeds)
-        self.reached = closure(edges, seeds, options.max_depth)
+        self.reached = closure(adjacency(self.nested), seeds, options.max_depth)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         return self._workspace.write(df, name)[0]
