@@ -11,15 +11,16 @@ long it is.
 
 Texts are cut into words as the tokenizers library does with the files of this
 kind: added tokens as they are written, then NFC, lower case, and a pattern of
-letters, single digits and the rest. A character that Python's tables may class
-otherwise than the library's is tried out with the library once, and texts that hold
-one classed otherwise are cut by the library.
+letters, single digits and the rest. Each character outside ASCII is tried out with the
+library once; texts that hold one which Python's tables class otherwise, control
+characters that are white space to Python alone, or added tokens are cut by the library.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,11 +35,11 @@ from pyspark.sql import functions as F
 from webframe.llm.common import with_text
 from webframe.llm.words import chunks
 
-#: Entries of a cache before it is emptied, and the longest word that is kept in one.
-CACHE_WORDS, CACHE_PAIRS, LONG = 300_000, 1_000_000, 48
+#: Entries of a cache before it is emptied, the longest word that is kept in one, and the bytes of a kept beginning.
+CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS, LONG, HEAD = 200_000, 500_000, 100_000, 48, 6
 #: How the pattern of the tokenizer file is written, and the same for Python's expressions.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|[_\x1c-\x1f])+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 NEVER = 1 << 40
 
 
@@ -208,16 +209,27 @@ class Pairs(dict):
         return a < 0 or (self.crossing(a, b) == token and self.whole(a) and self.whole(b))
 
 
+def lowered(text: str) -> str:
+    """NFC and lower case, each letter for itself: a sigma at the end of a word is one like any other."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class _Kept(dict):
-    """Ids of words or of what stands between two spaces, as 4 bytes each; long ones are worked out anew."""
+    """Ids of what stands between white space, or of words in it, as 4 bytes each; long ones are worked out anew.
+
+    When full it becomes the older of two halves, and what is asked for again moves to the newer one.
+    """
 
     def __init__(self, work):
-        self.work = work
+        self.work, self.older = work, {}
 
     def __missing__(self, part: str) -> bytes:
-        found = self.work(part)
+        found = self.older.get(part)
+        if found is None:
+            found = self.work(part)
         if len(part) <= LONG:
             if len(self) >= CACHE_WORDS:
+                self.older = self.copy()
                 self.clear()
             self[part] = found
         return found
@@ -229,66 +241,100 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         v = self.vocabulary = vocabulary
         self.first, self.last = v.first.tolist(), v.last.tolist()
-        self.moves = dict(zip(v.keys.tolist(), v.targets.tolist()))
-        self.link, self.length, self.token, self.above = (x.tolist() for x in (v.link, v.length, v.token, v.above))
+        self.link, self.length = v.link.tolist(), v.length.tolist()
+        self.moves: list[dict[int, int]] = [{} for _ in self.link]
+        for key, to in zip(v.keys.tolist(), v.targets.tolist()):
+            self.moves[key >> 16][key & 0xFFFF] = to
+        #: For each state the tokens that end there with their lengths, longest first; states share them.
+        self.ending: list[tuple] = [()] * len(self.link)
+        for state in np.argsort(v.length, kind="stable").tolist():
+            above = self.ending[v.above[state]] if v.above[state] >= 0 else ()
+            own = ((int(v.token[state]), self.length[state]),) if v.token[state] >= 0 else ()
+            self.ending[state] = own + above if own else above
         self.compatible = Pairs(v.left, v.right)
-        self.words, self.parts = _Kept(lambda word: np.array(self.word(word), "<u4").tobytes()), _Kept(self.part)
+        self.heads: dict[bytes, tuple[list[int], int, int]] = {}
+        self.parts = _Kept(self.part)
         self.symbols = dict(zip(v.token[v.token >= 0].tolist(), v.length[v.token >= 0].tolist()))
+        self.odd = re.compile("[\x1c-\x1f]|" + "|".join(map(re.escape, v.added)))
         self.added = re.compile("(" + "|".join(map(re.escape, v.added)) + ")")
         self.known: dict[str, bool] = {}
         self.usual: set[str] = set()
         self._library = None
 
     def word(self, word: str) -> list[int]:
-        """The ids of one word: the last token of every prefix, then back from the end."""
+        """The ids of one word: the last token of every prefix, then back from the end.
+
+        What is stored for a prefix holds for every word that goes on from there, so it is kept for common beginnings.
+        """
         data = word.encode()
-        symbols = [self.first[b] for b in data[:-1]] + [self.last[data[-1]]]
-        moves, link, length, token, above, fits = self.moves, self.link, self.length, self.token, self.above, self.compatible
-        ends, state, size = [-1], 0, 0
-        for i, c in enumerate(symbols, 1):
-            while (to := moves.get(state << 16 | c)) is None:
+        if len(data) > HEAD:
+            head = data[:HEAD]
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) >= CACHE_HEADS:
+                    self.heads.clear()
+                known = self.heads[head] = self.follow([self.first[b] for b in head], [-1], 0, 0)
+            ends, state, size = known[0].copy(), known[1], known[2]
+            symbols = [self.first[b] for b in data[HEAD:-1]]
+        else:
+            ends, state, size = [-1], 0, 0
+            symbols = [self.first[b] for b in data[:-1]]
+        symbols.append(self.last[data[-1]])
+        self.follow(symbols, ends, state, size)
+        out, i, lengths = [], len(data), self.symbols
+        while i:
+            out.append(ends[i])
+            i -= lengths[ends[i]]
+        return out[::-1]
+
+    def follow(self, symbols: list[int], ends: list[int], state: int, size: int) -> tuple[list[int], int, int]:
+        """Goes on with ``symbols`` from a state of the automaton and the ``size`` of what it has matched there."""
+        moves, link, length, ending, fits = self.moves, self.link, self.length, self.ending, self.compatible
+        for i, c in enumerate(symbols, len(ends)):
+            out = moves[state]
+            while c not in out:
                 state = link[state]
                 size = length[state]
-            state, size = to, size + 1
-            at = state if token[state] >= 0 and length[state] == size else above[state]
-            while True:
-                t = token[at]
-                before = ends[i - length[at]]
+                out = moves[state]
+            state, size = out[c], size + 1
+            for t, n in ending[state if length[state] == size else link[state]]:
+                before = ends[i - n]
                 if before < 0 or fits[before << 32 | t]:
+                    ends.append(t)
                     break
-                at = above[at]
-            ends.append(t)
-        out, i = [], len(symbols)
-        while i:
-            out.append(ends[i])
-            i -= self.symbols[ends[i]]
-        return out[::-1]
+        return ends, state, size
+
+    def packed(self, word: str) -> bytes:
+        ids = self.word(word)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text, as little-endian unsigned 32-bit integers. No token reaches over a space."""
-        return b"".join(map(self.parts.__getitem__, text.split(" ")))
+        """The ids of a text, as little-endian unsigned 32-bit integers."""
+        if self.odd.search(text) or not (text.isascii() or self.usual >= (letters := set(text)) or all(map(self.is_usual, letters))):
+            return self.unlike(text)
+        return b"".join(map(self.parts.__getitem__, lowered(text).split()))
 
-    def part(self, part: str) -> bytes:
+    def unlike(self, text: str) -> bytes:
+        """The ids of a text with added tokens, or with characters that only the library cuts right."""
         out = []
-        for k, piece in enumerate(self.added.split(part)):
+        for k, piece in enumerate(self.added.split(text)):
             if k % 2:
-                out.append(np.array([self.vocabulary.added[piece]], "<u4").tobytes())
+                out.append(struct.pack("<I", self.vocabulary.added[piece]))
             else:
-                out += map(self.words.__getitem__, self.cut(piece))
+                out += map(self.packed, self.library(piece))
         return b"".join(out)
 
-    def cut(self, text: str) -> list[str]:
-        if not text.isascii():
-            letters = set(text)
-            if not letters <= self.usual and not all(map(self.is_usual, letters)):
-                return self.library(text)
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return WORDS.findall(text.lower())
+    def part(self, part: str) -> bytes:
+        """The ids of what stands between white space, lower case already."""
+        if part.isalpha():
+            return self.packed(part)
+        cut = WORDS.findall(part)
+        return self.packed(part) if len(cut) == 1 else b"".join(map(self.parts.__getitem__, cut))
 
     def is_usual(self, c: str) -> bool:
         """Whether the library lowers and classes a character as Python does."""
         if c not in self.known:
-            lower = unicodedata.normalize("NFC", c).lower()
+            lower = lowered(c)
             tried = [before + lower * 2 for before in ("a", "1", "!", "'")]
             same = self.library(c, cut=False) in (lower, " " if lower.isspace() else lower)
             self.known[c] = same and all(self.library(t) == WORDS.findall(t) for t in tried)
