@@ -1,6 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from models import disposition, rate
+
 from webframe.functions import globs as G
 from webframe.functions import headers as H
 from webframe.functions import sizes as Z
@@ -10,15 +14,15 @@ MAP = "h map<string,array<string>>"
 
 
 def test_mime_type(evaluate):
-    rows = [
-        ({"Content-Type": ["text/html; charset=utf-8"]}, "text/html"),
-        ({"Content-Type": ["application/json"]}, "application/json"),
-        ({"content-type": ["text/plain", "text/html"]}, "text/plain"),
-        ({"Content-Type": ["  text/xml ; charset=utf-8  "]}, "text/xml"),
-        ({}, ""),
-        ({"Content-Type": [""]}, ""),
-        ({"Content-Type": []}, ""),
-    ]
+    """Types, blanks and parameters put together at random; only the first value of the header counts."""
+    rng, rows = random.Random(2), []
+    for _ in range(300):
+        kind = f"{rng.choice(['font', 'model', 'x-own', 'Image'])}/{rng.choice(['a', 'b+zip', 'vnd.c.d', 'E'])}"
+        pad = ["".join(rng.choices(" \t", k=rng.randrange(3))) for _ in range(2)]
+        rest = "".join(f";{rng.choice([' ', ''])}{k}={rng.randrange(9)}" for k in rng.sample("pqr", rng.randrange(3)))
+        others = [f"other/{k}" for k in range(rng.randrange(3))]
+        rows.append(({rng.choice(["Content-Type", "CONTENT-type"]): [pad[0] + kind + pad[1] + rest, *others]}, kind))
+    rows += [({"X-Type": ["font/a"]}, ""), ({"Content-Type": [" ; p=1"]}, ""), ({"content-type": []}, "")]
     assert evaluate([r[:1] for r in rows], ["h"], lambda: H.mime_type("h"), [MAP]) == [r[1] for r in rows]
 
 
@@ -29,13 +33,17 @@ def test_content_length(evaluate):
 
 
 def test_disposition(evaluate):
-    rows = [
-        ('inline; filename="bill 7.pdf"', "bill 7.pdf"), ("inline;FileName=bill.pdf; size=3", "bill.pdf"),
-        ('inline; filename  =  " kept "  ', " kept "), ("inline; filename=  a b ", "a b "), ('inline; filename="ü-1!.txt', "ü-1!.txt"),
-        ("inline", None), ("", None), ("inline; filename", None), ('inline; filename=""', None),
-    ]
-    got = evaluate([({"Content-Disposition": [r[0]]},) for r in rows], ["h"], lambda: H.disposition_filename("h"), [MAP])
-    assert got == [r[1] for r in rows]
+    """Values of random parts against a model that tries all readings."""
+    rng = random.Random(11)
+    parts = [*["filename"] * 6, "FileName", "FILENAME", *["="] * 8, "name", " ", "  ", "\t", '"', ";", "; ", "report", "7.csv", "é", "*", "\\", "%20", "\n", "attachment"]
+    values = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(20_000)]
+    values += [f"{w}filename{a}={b}{c}" for w in ("", "x;") for a in ("", " ") for b in ("", " ", "\t ") for c in ("", '"', ";", '"";filename=z', "; filename=z", "filename=z")]
+    want = list(map(disposition, values))
+    assert len({w for w in want if w}) > 900 and want.count(None) > 1000
+    got = evaluate([(v,) for v in values], ["d"], lambda: H.filename_of("d"))
+    assert [(v, g) for v, g in zip(values, got)] == list(zip(values, want))
+    maps = [({"Content-DISPOSITION": [values[-1], "filename=no"]},), ({"Content-Disposition": []},)]
+    assert evaluate(maps, ["h"], lambda: H.disposition_filename("h"), [MAP]) == [disposition(values[-1]), None]
 
 
 def test_extension(evaluate):
@@ -44,10 +52,12 @@ def test_extension(evaluate):
 
 
 def test_parse_rate(evaluate):
-    rows = [
-        ("7k", 7_000), ("7M", 7_000_000), ("7", 7), ("7KB", 0), ("M", 0), ("k", 0), ("", 0), ("90000000000M", 90_000_000_000_000_000),
-        ("2.9", 2), ("2.9k", 2_000), ("31.07M", 31_000_000), ("7 ", 7), ("7 k", 0), ("-1.5", -2), ("1e3", 1000), ("1_0", 0), ("x7", 0),
-    ]
+    rng, rows = random.Random(5), []
+    for _ in range(500):
+        whole, digits = rng.randrange(10 ** rng.randrange(1, 9)), "".join(rng.choices("0123456789", k=rng.randrange(4)))
+        unit = rng.choice(["", "k", "M", " ", "K", "m", "kB", "G", "%"])
+        rows.append((f"{whole}{'.' * bool(digits)}{digits}{unit}", rate(whole, digits, unit)))
+    rows += [("-1.5", -2), ("1e3", 1000), ("1_0", 0), ("x8", 0), ("8 k", 0), (".5k", 0), ("8..1", 0), ("９", 0), ("9" * 30, 0)]
     assert evaluate([r[:1] for r in rows], ["t"], lambda: Z.parse_rate("t")) == [r[1] for r in rows]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,8 +11,16 @@ from pyspark.sql import functions as F
 from webframe.functions.common import as_col
 from webframe.functions.paths import base_name, dir_name
 
-_WILD = re.compile(r"\*|\?|\[.*\]")
-_SPECIAL = re.compile(r"[\\.+*?()|\[\]{}^$]")
+# What the wildcards stand for, and how a word without special characters is anchored.
+_WILD = {"*": ".*", "?": ".?"}
+_SUFFIX, _PREFIX = ".*{}$", "^/?{}.*"
+#: A bracket up to the last closing one of the line, or one character that is special in an expression.
+_SPECIAL = re.compile(r"\[.*\]|[\\.+*?()|\[\]{}^$]")
+
+
+def _translated(m: re.Match) -> str:
+    part = m.group()
+    return part if len(part) > 1 else _WILD.get(part, "\\" + part)
 
 
 def compile_glob(pattern: str, is_reject: bool) -> str | None:
@@ -20,18 +29,13 @@ def compile_glob(pattern: str, is_reject: bool) -> str | None:
     A pattern without special characters is a suffix of the name (reject) or a
     prefix of the directory (exclude); any other is searched for anywhere.
     """
-    wild = {"*": ".*", "?": ".?"}
-    out, at = "", 0
-    for m in _WILD.finditer(pattern):
-        out += _SPECIAL.sub(r"\\\g<0>", pattern[at : m.start()])
-        out += wild.get(m.group(), m.group())
-        at = m.end()
-    out += _SPECIAL.sub(r"\\\g<0>", pattern[at:])
+    out = _SPECIAL.sub(_translated, pattern)
     if out == pattern:
-        # How a plain word is anchored.
-        out = f".*{pattern}$" if is_reject else f"^/?{pattern}.*"
+        out = (_SUFFIX if is_reject else _PREFIX).format(pattern)
     try:
-        re.compile(out)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            re.compile(out)
     except re.error:
         return None
     return out

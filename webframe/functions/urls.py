@@ -436,6 +436,7 @@ def validate_url(url: Column | str) -> Column:
             | (host.startswith("[") & ~host.contains("]"))
             | ~userinfo.rlike(_USER_OK)
         )
+        # The names of the errors, which results show.
         error = (
             F.when(raw.startswith("/"), "relative path")
             .when(unparsable, "invalid URL")
