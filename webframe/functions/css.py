@@ -30,6 +30,9 @@ _OTHER = r"[^-\w\"'\\/@#\u0080-\x{10FFFF}]++|/(?!\*)|[@#\\]"
 _SKIP = rf"(?:{_COMMENT}|{_ANY_STRING}|{_WORD}|{_OTHER})++"
 
 _TOKENS = rf"(?s){_SKIP}|({_GOOD_URL})|{_BAD_URL}"
+#: The two usual forms of a token.
+_BARE = r"\Aurl\([^'\"`() \t\n\f\r]*+\)\z"
+_QUOTED = r"\Aurl\((?:'[^'\"`()]*+'|\"[^'\"`()]*+\")\)\z"
 _BLANKS, _QUOTES = " \t\n\f\r", ("'", '"', "`")
 
 
@@ -63,7 +66,13 @@ def _address(tail: Column) -> Column:
 
 
 def _inner(token: Column) -> Column:
-    """``STRUCT<start, url>`` of the address a token links to: behind the first ``url`` that has one, which may lie in a string."""
+    """``STRUCT<start, url>`` of the address a token links to: behind the first ``url`` that has one, which may lie in a string.
+
+    Most tokens hold an address and at most a pair of quotes; what these link to follows from their length.
+    """
+    size = F.length(token)
+    bare = record(start=F.lit(4), url=F.substring(token, F.lit(5), size - 5))
+    quoted = record(start=F.lit(5), url=F.substring(token, F.lit(6), size - 7))
     places = F.size(F.split(token, "url")) - 1
 
     def behind(k):
@@ -72,7 +81,8 @@ def _inner(token: Column) -> Column:
         return found
 
     found = F.transform(F.sequence(F.lit(2), places + 1), behind)
-    return F.when(places > 0, F.get(F.filter(found, lambda a: a["url"].isNotNull()), F.lit(0)))
+    any_ = F.when(places > 0, F.get(F.filter(found, lambda a: a["url"].isNotNull()), F.lit(0)))
+    return F.when(token.rlike(_BARE), bare).when(token.rlike(_QUOTED), quoted).otherwise(any_)
 
 
 def css_url_tokens(css: Column | str) -> Column:
