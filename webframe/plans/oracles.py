@@ -524,8 +524,36 @@ ORACLES["stream_rate"] = (
     TICKS
     + """ SELECT transfer_id, strftime(second, '%Y-%m-%d %H:%M:%S') AS second, rate FROM ticks"""
 )
-ORACLES["stream_status"] = (
-    TICKS
-    + " SELECT transfer_id, count_if(rate > 0)::BIGINT AS n, CAST(sum(rate) AS BIGINT) AS downloaded FROM ticks GROUP BY transfer_id"
-)
+ORACLES["stream_status"] = f"""
+WITH {TR}, msg AS (
+    SELECT * REPLACE (CASE kind WHEN 'signup' THEN 'start' WHEN 'view' THEN 'length' WHEN 'click' THEN 'progress'
+        WHEN 'purchase' THEN 'finished' ELSE 'failed' END AS kind) FROM tr),
+mark AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS now FROM msg),
+seen AS (SELECT *, epoch_us(ts) AS us FROM msg, mark WHERE epoch_us(ts) <= now),
+cut AS (
+    SELECT *, CASE WHEN lag(us) OVER o IS NULL OR us - lag(us) OVER o > 86400000000 THEN 'gap'
+        WHEN lag(kind) OVER o IN ('finished', 'failed') THEN 'next' WHEN kind = 'start' THEN 'again' END AS opens
+    FROM seen WINDOW o AS (PARTITION BY transfer_id ORDER BY ts, event_id)),
+part AS (
+    SELECT *, count(opens) OVER (PARTITION BY transfer_id ORDER BY ts, event_id) AS attempt FROM cut),
+tick AS (
+    SELECT transfer_id, attempt, us // 1000000 AS second, sum(bytes)::BIGINT AS rate FROM part WHERE kind = 'progress' GROUP BY ALL),
+mean AS (
+    SELECT transfer_id, attempt, list_reduce(list({{'a': rate, 'n': 1::BIGINT}} ORDER BY second) FILTER (rate > 0),
+        lambda x, y: {{'a': CAST(trunc((x.a::DOUBLE * x.n + y.a) / (x.n + 1)) AS BIGINT), 'n': x.n + 1}}) AS f
+    FROM tick GROUP BY ALL),
+whole AS (
+    SELECT transfer_id, attempt, min(us) AS a, max(us) AS b, any_value(now) AS now, arg_max(kind, (ts, event_id)) AS last_kind,
+        arg_min(opens, (ts, event_id)) AS opened,
+        coalesce(arg_max(bytes, (ts, event_id)) FILTER (kind = 'length'), -1)::BIGINT AS told,
+        coalesce(sum(bytes) FILTER (kind = 'progress'), 0)::BIGINT AS downloaded
+    FROM part GROUP BY ALL),
+next AS (SELECT *, lead(opened) OVER (PARTITION BY transfer_id ORDER BY attempt) AS after FROM whole)
+SELECT transfer_id, strftime(make_timestamp(a), '%Y-%m-%d %H:%M:%S') AS started, strftime(make_timestamp(b), '%Y-%m-%d %H:%M:%S') AS ended,
+    CASE WHEN last_kind IN ('finished', 'failed') THEN last_kind WHEN after = 'again' THEN 'abandoned'
+        WHEN after = 'gap' OR now - b > 86400000000 THEN 'stalled' ELSE last_kind END AS phase,
+    CASE WHEN last_kind = 'finished' AND told = -1 THEN downloaded ELSE told END AS total, downloaded, coalesce(f.n, 0) AS n,
+    CASE WHEN last_kind = 'finished' AND coalesce(f.a, 0) = 0 THEN downloaded ELSE coalesce(f.a, 0) END AS avg_rate,
+    (b - a) // 1000000 AS seconds
+FROM next LEFT JOIN mean USING (transfer_id, attempt)"""
 ORACLES["stream_admission"] = "SELECT page_id, url, strlen(html) AS n_bytes FROM pages"

@@ -26,8 +26,9 @@ from webframe.sources.sinks import success_list
 from webframe.sources.staging import Workspace
 from webframe.sources.url_list import mirror_seeds, read_url_list, seed_union
 from webframe.streaming.links import first_sightings, stream_links
-from webframe.streaming.rates import stream_rate, stream_status
-from webframe.streaming.runs import admit, last_updates, run_available
+from webframe.streaming.rates import stream_rate
+from webframe.streaming.runs import ROCKSDB, Run, admit, last_updates, run_available
+from webframe.streaming.transfers import last_states, transfer_states
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -675,9 +676,18 @@ def stream_links_query(spark, sf):
 
 @query
 def stream_visited(spark, sf):
-    links = stream_links(_page_stream(spark, sf)).where("dst IS NOT NULL")
-    keys = links.select(V.page_host("src").alias("site"), F.col("dst").alias("url"))
-    return run_available(first_sightings(keys, ["site", "url"]), "stream-visited")
+    """First sightings of URLs; the run is stopped after its first batch and goes on from what it has written."""
+    space, run = Workspace(spark, "arrivals"), Run("stream-visited", store=ROCKSDB)
+    pages, files = V.pages(spark, sf), 4
+    pages.repartition(2 * files).write.parquet(f"{space.path}/pages")
+
+    def sightings():
+        links = stream_links(admit(spark, f"{space.path}/pages", pages.schema, max_files=files)).where("dst IS NOT NULL")
+        keys = links.select(V.page_host("src").alias("site"), F.col("dst").alias("url"))
+        return first_sightings(keys, ["site", "url"])
+
+    run.run(sightings(), stop_after=1)
+    return Run("stream-visited", folder=run.folder, store=ROCKSDB).run(sightings())
 
 
 @query
@@ -690,15 +700,16 @@ def stream_rate_query(spark, sf):
 
 @query
 def stream_status_query(spark, sf):
-    """Last state of each transfer; ticks are summed per second first."""
-    ticks = T.rate_per_second(V.transfers(spark, sf))
-    space = Workspace(spark, "ticks")
-    ticks.repartitionByRange("second").write.parquet(f"{space.path}/ticks")
-    stream = stream_status(admit(spark, f"{space.path}/ticks", ticks.schema))
-    states = run_available(stream, "stream-status", "update")
-    return states.groupBy("transfer_id").agg(
-        F.max("n").alias("n"), F.max("downloaded").alias("downloaded")
-    )
+    """Last state of each attempt, from messages that come in several batches."""
+    space, files = Workspace(spark, "messages"), 8
+    messages = V.messages(spark, sf)
+    parts = V.time_slices(messages, 4)
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(f"{space.path}/messages")
+    stream = transfer_states(admit(spark, f"{space.path}/messages", messages.schema, max_files=files))
+    states = last_states(run_available(stream, "stream-status", "update", ROCKSDB))
+    at = [Z.format_time(c).alias(c) for c in ("started", "ended")]
+    return states.select("transfer_id", *at, "phase", "total", "downloaded", "n", "avg_rate", "seconds")
 
 
 

@@ -178,3 +178,19 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("bigint").alias("bytes"),
         F.col("event_type").alias("kind"),
     )
+
+
+def messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as messages of transfers: starts, lengths, progress, ends and failures."""
+    kinds = {"signup": "start", "view": "length", "click": "progress", "purchase": "finished", "error": "failed"}
+    table = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return transfers(spark, sf).withColumn("kind", F.try_element_at(table, F.col("kind")))
+
+
+def time_slices(df: DataFrame, n: int, ts: str = "ts") -> list[DataFrame]:
+    """The rows in ``n`` parts of equal time, one after another."""
+    first, last = df.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    if first is None:
+        return [df]
+    part = F.least(F.floor((F.unix_micros(ts) - first) * n / (last - first + 1)), F.lit(n - 1))
+    return [df.where(part == k) for k in range(n)]

@@ -1,15 +1,9 @@
-"""Rates and states of running transfers."""
+"""Rates of running transfers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from webframe.operators.transfers import next_average
 
 
 def stream_rate(transfers: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -20,31 +14,3 @@ def stream_rate(transfers: DataFrame, delay: str = "10 seconds") -> DataFrame:
         .agg(F.sum("bytes").alias("rate"))
         .select("transfer_id", F.col("_w.start").alias("second"), "rate")
     )
-
-
-_STATUS = "transfer_id bigint, n bigint, avg_rate bigint, downloaded bigint"
-_STATE = "n bigint, avg_rate bigint, downloaded bigint"
-
-
-def _advance(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, average, downloaded = state.get if state.exists else (0, 0, 0)
-    ticks = pd.concat(list(batches)).sort_values("second")
-    for rate in ticks["rate"]:
-        downloaded += int(rate)
-        if rate > 0:
-            average = next_average(average, int(rate), n)
-            n += 1
-    state.update((n, average, downloaded))
-    yield pd.DataFrame([(key[0], n, average, downloaded)], columns=["transfer_id", "n", "avg_rate", "downloaded"])
-
-
-def stream_status(ticks: DataFrame) -> DataFrame:
-    """Number of ticks, mean rate and bytes of each transfer, at every change.
-
-    ``ticks(transfer_id, second, rate)`` come in order of time, one row per
-    second of a transfer, so a key has few rows in a batch however many events
-    it has.
-    """
-    return ticks.groupBy("transfer_id").applyInPandasWithState(
-        _advance, _STATUS, _STATE, "update", GroupStateTimeout.NoTimeout
-    )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from webframe.sources.staging import Workspace
 
@@ -39,33 +44,90 @@ class LateRows(RuntimeError):
     """Rows came after the watermark had passed them, so the result is not whole."""
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data there is, and read what it wrote.
+@dataclass
+class Progress:
+    """What the batches of a run have reported, each counted once, however many there are."""
+
+    batches: dict[int, dict] = field(default_factory=dict)
+
+    def note(self, query: StreamingQuery) -> None:
+        for p in query.recentProgress:
+            states = p.stateOperators
+            self.batches[p.batchId] = {
+                "rows": p.numInputRows, "late": sum(s.numRowsDroppedByWatermark for s in states),
+                "kept": sum(s.numRowsTotal for s in states), "removed": sum(s.numRowsRemoved for s in states),
+            }
+
+    def total(self, what: str) -> int:
+        return sum(b[what] for b in self.batches.values())
+
 
-    Output goes to Parquet files in the shared folder, nothing through the
-    driver. Batches of an update stream are kept apart by ``batch_id``. Rows
-    dropped as late are an error, not a smaller result.
+#: State in files of the executors and the shared folder instead of the memory of the executors.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_POLL = 0.1
+
+
+class Run:
+    """A stream run over all data there is, into Parquet files of the shared folder.
+
+    Progress, state and output lie in one folder, so a run that was stopped goes on where it was when ``folder`` is given
+    again, on other executors too; the output of a batch that was not finished is replaced. With ``store=ROCKSDB`` state
+    may outgrow the memory of the executors.
     """
-    spark = stream.sparkSession
-    space = Workspace(spark, name)
-    target = f"{space.path}/out"
-    writer = stream.writeStream.option("checkpointLocation", f"{space.path}/progress")
-    if mode == "append":
-        query = writer.format("parquet").outputMode("append").trigger(availableNow=True).start(target)
-    else:
-
-        def save(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
-        query = writer.outputMode(mode).foreachBatch(save).trigger(availableNow=True).start()
-    query.awaitTermination()
-    late = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
-    if late:
-        raise LateRows(f"{name}: {late} rows were late")
-    kept = [T.StructField(f.name, f.dataType) for f in stream.schema]
-    if mode != "append":
-        kept.append(T.StructField("batch_id", T.LongType()))
-    return spark.read.schema(T.StructType(kept)).parquet(target)
+
+    def __init__(self, name: str, mode: str = "append", folder: str | None = None, store: str | None = None):
+        self.name, self.mode, self.folder, self.store, self.progress = name, mode, folder, store, Progress()
+
+    def run(self, stream: DataFrame, stop_after: int | None = None) -> DataFrame:
+        """Runs until the data ends, or until so many batches are done; returns what is written so far.
+
+        Nothing goes through the driver. Batches of an update stream are kept apart by ``batch_id``. Rows
+        dropped as late are an error, not a smaller result.
+        """
+        spark = stream.sparkSession
+        self.folder = self.folder or Workspace(spark, self.name).path
+        target = f"{self.folder}/out"
+        writer = stream.writeStream.option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True)
+        with _setting(spark, "spark.sql.streaming.stateStore.providerClass", self.store):
+            if self.mode == "append":
+                query = writer.format("parquet").outputMode("append").start(target)
+            else:
+
+                def save(batch: DataFrame, batch_id: int) -> None:
+                    batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+                query = writer.outputMode(self.mode).foreachBatch(save).start()
+            before = len(self.progress.batches)
+            while not query.awaitTermination(_POLL):
+                self.progress.note(query)
+                if stop_after is not None and len(self.progress.batches) - before >= stop_after:
+                    query.stop()
+        self.progress.note(query)
+        if late := self.progress.total("late"):
+            raise LateRows(f"{self.name}: {late} rows were late")
+        return self.output(spark, stream.schema)
+
+    def output(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        kept = [T.StructField(f.name, f.dataType) for f in schema]
+        if self.mode != "append":
+            kept.append(T.StructField("batch_id", T.LongType()))
+        return spark.read.schema(T.StructType(kept)).parquet(f"{self.folder}/out")
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str | None) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    if value is not None:
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def run_available(stream: DataFrame, name: str, mode: str = "append", store: str | None = None) -> DataFrame:
+    """Run a stream over all data there is, and read what it wrote; see :class:`Run`."""
+    return Run(name, mode, store=store).run(stream)
 
 
 def last_updates(updates: DataFrame, key: list[str]) -> DataFrame:
