@@ -9,6 +9,8 @@ committed writes, so a lost executor costs one level's work at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,16 +57,24 @@ class Closure:
         return self.added
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, buckets: int | None = None) -> DataFrame:
+def closure(
+    edges: DataFrame,
+    seeds: DataFrame,
+    max_depth: int | None = None,
+    buckets: int | None = None,
+    progress: Callable[[dict], None] = lambda event: None,
+) -> DataFrame:
     """``(seed_id, url, depth)`` of every URL requested when mirroring the seeds.
 
     ``edges(src, dst)``, or ``(src, dsts)`` with the targets of a page in one
     row, must only leave pages that are traversed. Each seed has
-    its own visited set. Depth is the number of links from the seed.
+    its own visited set. Depth is the number of links from the seed. ``progress`` hears of each level.
     """
     crawl = Closure(edges, seeds, buckets)
+    progress({"step": "level", "depth": 0, "urls": crawl.added})
     while crawl.added and (max_depth is None or crawl.depth < max_depth):
         crawl.step()
+        progress({"step": "level", "depth": crawl.depth, "urls": crawl.added})
     return crawl.reached
 
 

@@ -35,16 +35,7 @@ def with_limits(df: DataFrame, rejects=(), excludes=(), url: str = "url", mime:
     )
 
 
-def dispatch(df: DataFrame, mime: str = "mime") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """HTML rows, CSS rows, and leaves."""
-    kind = F.coalesce(F.col(mime), F.lit(""))
-    return (
-        df.where(kind == HTML),
-        df.where(kind == CSS),
-        df.where(~kind.isin(HTML, CSS)),
-    )
-
-
 def mime_class(mime: Column | str) -> Column:
+    """``html``, ``css`` or ``leaf``; no type is a leaf."""
     mime = as_col(mime)
     return F.when(mime == HTML, "html").when(mime == CSS, "css").otherwise("leaf")

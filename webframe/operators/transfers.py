@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,28 +40,24 @@ def throttle_schedule(transfers: DataFrame, limit: int) -> DataFrame:
     return done.withColumn("done_second", second.cast("bigint"))
 
 
-def rate_per_second(transfers: DataFrame, zero_fill: bool = False) -> DataFrame:
-    """``(transfer_id, second, rate)``: bytes in each one-second tick.
+def rate_per_second(transfers: DataFrame, zero_fill: bool = False, tick: str = "1 second") -> DataFrame:
+    """``(transfer_id, second, rate)``: bytes in each tick, named by its start.
 
     ``zero_fill`` adds the ticks without bytes between a transfer's first and
-    last; hours are laid out first, so that no row holds a long array.
+    last; they are laid out in runs of an hour of ticks, so that no row holds a long array. ``tick`` is a
+    whole number of seconds that divides a day.
     """
-    second = F.window("ts", "1 second")["start"]
+    second = F.window("ts", tick)["start"]
     rates = transfers.groupBy("transfer_id", second.alias("second")).agg(F.sum("bytes").alias("rate"))
     if not zero_fill:
         return rates
-    span = transfers.groupBy("transfer_id").agg(
-        F.date_trunc("second", F.min("ts")).alias("a"), F.date_trunc("second", F.max("ts")).alias("b")
-    )
-    hours = span.select(
-        "transfer_id", "a", "b",
-        F.explode(F.sequence(F.date_trunc("hour", "a"), "b", F.expr("INTERVAL 1 HOUR"))).alias("h"),
-    )
-    last = F.least("b", F.col("h") + F.expr("INTERVAL 3599 SECONDS"))
-    ticks = hours.select(
-        "transfer_id",
-        F.explode(F.sequence(F.greatest("a", "h"), last, F.expr("INTERVAL 1 SECOND"))).alias("second"),
-    )
+    length = F.unix_seconds(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {tick}"))
+    at = F.floor(F.unix_seconds("ts") / length)
+    span = transfers.groupBy("transfer_id").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    run = F.explode(F.sequence(F.floor(F.col("a") / 3600), F.floor(F.col("b") / 3600))).alias("h")
+    first, last = F.greatest("a", F.col("h") * 3600), F.least("b", F.col("h") * 3600 + 3599)
+    ticks = span.select("transfer_id", "a", "b", run).select("transfer_id", F.explode(F.sequence(first, last)).alias("t"))
+    ticks = ticks.select("transfer_id", F.timestamp_seconds(F.col("t") * length).alias("second"))
     return ticks.join(rates, ["transfer_id", "second"], "left").withColumn("rate", F.coalesce("rate", F.lit(0)))
 
 
@@ -74,38 +70,48 @@ def average_rates(rates: DataFrame) -> DataFrame:
     """``(transfer_id, n, avg_rate)``: running mean, truncated at every step.
 
     Each step depends on the truncated one before, so a transfer is followed in
-    order; ``rates`` has at most one row per second of it. Rows stream through
-    sorted partitions and only one running mean is held.
+    order. All that does not depend on it is done apart, by as many tasks as there are hours of transfers: rates are sorted and
+    packed into one row an hour. What is left for the one that follows a transfer is a row an hour, and one division a second.
     """
-    ordered = (
+    hours = (
         rates.where("rate > 0")
-        .select("transfer_id", "second", "rate")
-        .repartition("transfer_id")
-        .sortWithinPartitions("transfer_id", "second")
+        .groupBy("transfer_id", F.floor(F.unix_seconds("second") / 3600).alias("hour"))
+        .agg(F.sort_array(F.collect_list(F.struct("second", "rate"))).alias("ticks"))
+        .select("transfer_id", "hour", F.transform("ticks", lambda t: t["rate"]).alias("rates"))
     )
+    ordered = hours.repartition("transfer_id").sortWithinPartitions("transfer_id", "hour").select("transfer_id", "rates")
 
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, average, n = None, 0, 0
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*done)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["transfer_id", "n", "avg_rate"])
+
         for batch in batches:
             done = []
-            for k, rate in zip(batch["transfer_id"], batch["rate"]):
+            lists = batch.column(1)
+            ends, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
+            for k, a, b in zip(batch.column(0).to_pylist(), ends, ends[1:]):
                 if k != key:
                     if n:
                         done.append((key, n, average))
                     key, average, n = k, 0, 0
-                average = next_average(average, rate, n)
-                n += 1
-            yield pd.DataFrame(done, columns=["transfer_id", "n", "avg_rate"])
+                for rate in flat[a:b]:
+                    average = next_average(average, rate, n)
+                    n += 1
+            yield rows(done)
         if n:
-            yield pd.DataFrame([(key, n, average)], columns=["transfer_id", "n", "avg_rate"])
+            yield rows([(key, n, average)])
 
-    return ordered.mapInPandas(follow, "transfer_id bigint, n bigint, avg_rate bigint")
+    return ordered.mapInArrow(follow, "transfer_id bigint, n bigint, avg_rate bigint")
 
 
-def final_status(transfers: DataFrame, averages: DataFrame, failed_kind: str = "error") -> DataFrame:
-    """One row per transfer: outcome, bytes, whole seconds and mean rate.
+def final_status(transfers: DataFrame, averages: DataFrame, totals: DataFrame, failed_kind: str = "error") -> DataFrame:
+    """One row per transfer: outcome, bytes, total, whole seconds and mean rate.
 
-    A transfer whose last event is ``failed_kind`` failed. Without a rate, the
+    A transfer whose last event is ``failed_kind`` failed. ``totals(transfer_id, total)`` are the declared lengths, -1 where unknown.
+    A finished transfer has a total, its bytes if none was declared. Without a rate, the
     bytes themselves stand for it: the transfer took less than a second.
     """
     last = transfers.groupBy("transfer_id").agg(
@@ -116,10 +122,14 @@ def final_status(transfers: DataFrame, averages: DataFrame, failed_kind: str = "
     )
     seconds = F.floor((F.unix_micros("ended") - F.unix_micros("started")) / 1_000_000)
     rate = F.coalesce(F.nullif(F.col("avg_rate"), F.lit(0)), F.col("downloaded"))
-    return last.join(averages.select("transfer_id", "avg_rate"), "transfer_id", "left").select(
+    failed, declared = F.col("last_kind") == failed_kind, F.coalesce("total", F.lit(-1))
+    total = F.when((declared == -1) & ~failed, F.col("downloaded")).otherwise(declared)
+    facts = last.join(averages.select("transfer_id", "avg_rate"), "transfer_id", "left")
+    return facts.join(totals.select("transfer_id", "total"), "transfer_id", "left").select(
         "transfer_id",
-        (F.col("last_kind") == failed_kind).alias("failed"),
+        failed.alias("failed"),
         "downloaded",
+        total.cast("bigint").alias("total"),
         seconds.cast("bigint").alias("seconds"),
         rate.alias("avg_rate"),
     )

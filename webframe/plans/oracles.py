@@ -396,6 +396,35 @@ SELECT url, {PATH} AS save_path, md5('<link rel="stylesheet" href="../s/' || n |
     || '">r</a><a href="1">up</a><a href="' || CASE WHEN l THEN '' ELSE '/p/' END || (2 * n)
     || '">l again</a><a href="http://other.example.org/x">off</a><a href="mailto:x@' || h || '">mail</a>' || html) AS body_md5 FROM p"""
 )
+ORACLES["saved_site"] = (
+    ORACLES["convert_links_html"]
+    + " UNION ALL SELECT url, save_path, md5(body) FROM ("
+    + ORACLES["convert_links_css"].removeprefix(SITE)
+    + f") UNION ALL SELECT url, {PATH}, md5(CASE WHEN url LIKE '%.css' THEN 'a{{b:url(''/i/' || n || '.png'')}} c{{d:url(/s/' || (n + 1) || '.css)}}' ELSE 'png' END)"
+    + " FROM results JOIN nodes USING (url) WHERE results.error IS NULL AND results.mime = 'image/png'"
+)
+ORACLES["latest_responses"] = f"""
+WITH {RESP}, crawls AS (
+    SELECT url, page_id, html, unnest(list_filter([0, CASE WHEN page_id % 3 = 0 THEN 1 END, CASE WHEN page_id % 4 = 1 THEN 2 END],
+        lambda c: c IS NOT NULL))::BIGINT AS crawl FROM resp)
+SELECT url, crawl, page_id, md5('<!-- ' || crawl || ' -->' || html) AS body_md5 FROM crawls
+QUALIFY row_number() OVER (PARTITION BY url ORDER BY crawl DESC, page_id DESC) = 1"""
+ORACLES["redirects"] = f"""
+WITH RECURSIVE num AS (
+    SELECT h, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n FROM (SELECT *, {HOST} AS h FROM pages)),
+hop AS (
+    SELECT h, n, CASE WHEN n % 3 = 0 THEN n // 3 WHEN n % 10 = 5 THEN n + 5 WHEN n % 10 = 0 THEN n - 5 WHEN n % 2 = 1 THEN n + 6 END AS t FROM num),
+hops AS (SELECT * FROM hop WHERE t IS NOT NULL),
+walk(h, n, goal, k) AS (
+    SELECT h, n, t, 1::BIGINT FROM hops
+    UNION ALL SELECT w.h, w.n, x.t, w.k + 1 FROM walk w JOIN hops x ON x.h = w.h AND x.n = w.goal WHERE w.k <= 10),
+ended AS (SELECT w.* FROM walk w LEFT JOIN hops x ON x.h = w.h AND x.n = w.goal WHERE x.n IS NULL AND w.k <= 10)
+SELECT 'http://' || o.h || '/p/' || o.n AS url, 'http://' || e.h || '/p/' || e.goal AS final_url, e.k AS n_hops,
+    CASE WHEN e.n IS NULL THEN 'too_many_redirects' END AS error FROM hops o LEFT JOIN ended e USING (h, n)"""
+ORACLES["binary_scan"] = f"""
+WITH p AS (SELECT page_id, {HOST} AS h, html FROM pages),
+f AS (SELECT h, string_agg(html || chr(10), '' ORDER BY page_id) AS body FROM p GROUP BY h)
+SELECT 'http://' || h || '/' AS url, 'text/html' AS mime, 'utf-8' AS charset, strlen(body) AS body_length, md5(body) AS body_md5 FROM f"""
 ORACLES["frontier_dedup"] = (
     FORMS
     + """, c AS (SELECT page_id, page_id % 5 AS seed_id, dst AS url FROM resolved WHERE dst IS NOT NULL)
@@ -470,10 +499,19 @@ SIZE = """CASE WHEN {n} >= 1073741824 THEN printf('%.2f GiB', {n} / 1073741824.0
 DURATION = """(CASE WHEN {s} >= 3600 THEN ({s} // 3600) || 'h' ELSE '' END || CASE WHEN {s} >= 60 THEN ({s} % 3600 // 60) || 'm' ELSE '' END
     || ({s} % 60) || 's')"""
 
-ORACLES["mirror_summary"] = f"""
-WITH {TR}, t AS (SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes,
-    (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds FROM tr)
+ORACLES["mirror_summary"] = (
+    SITE
+    + f""", size AS (
+    SELECT 'http://' || h || '/p/' || n AS url, strlen('<link rel="stylesheet" href="/s/' || n || '.css"><a href="/p/' || (2 * n) || '">l</a><a href="/p/'
+        || (2 * n + 1) || '">r</a><a href="/p/1">up</a><a href="/p/' || (2 * n) || '">l again</a><a href="http://other.example.org/x">off</a>'
+        || '<a href="mailto:x@' || h || '">mail</a>' || html) AS b FROM num
+    UNION ALL SELECT 'http://' || h || '/s/' || n || '.css', strlen('a{{b:url(''/i/' || n || '.png'')}} c{{d:url(/s/' || (n + 1) || '.css)}}') FROM num
+    UNION ALL SELECT 'http://' || h || '/i/' || n || '.png', 3 FROM num),
+t AS (
+    SELECT count(*) AS files, coalesce(sum(b) FILTER (error IS NULL), 0)::BIGINT AS bytes, (max(depth) - min(depth)) * 60 AS seconds
+    FROM results LEFT JOIN size USING (url))
 SELECT files, bytes, seconds, {SIZE.format(n="bytes")} AS size_text FROM t"""
+)
 ORACLES["running_bytes"] = RUN + " SELECT transfer_id, event_id, downloaded FROM run"
 ORACLES["percent_complete"] = (
     RUN
@@ -486,6 +524,10 @@ l AS (SELECT *, CASE WHEN rate > 0 THEN CAST(trunc((total - downloaded)::DOUBLE
 SELECT event_id, CASE WHEN downloaded = 0 OR total < 0 OR rate = 0 THEN chr(128347) ELSE {DURATION.format(s="left_s")} END AS eta FROM l"""
 )
 ORACLES["rate_per_second"] = TICKS + " SELECT transfer_id, strftime(second, '%Y-%m-%d %H:%M:%S') AS second, rate FROM ticks"
+ORACLES["rate_ticks"] = f"""
+WITH {TR}, had AS (SELECT transfer_id, date_trunc('hour', ts) AS hour, sum(bytes)::BIGINT AS rate FROM tr GROUP BY ALL),
+span AS (SELECT transfer_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM had GROUP BY transfer_id)
+SELECT transfer_id, strftime(hour, '%Y-%m-%d %H:%M:%S') AS hour, coalesce(rate, 0) AS rate FROM span LEFT JOIN had USING (transfer_id, hour)"""
 ORACLES["avg_rate"] = TICKS + AVG + " SELECT transfer_id, f.n AS n, f.a AS avg_rate FROM folded WHERE f IS NOT NULL"
 ORACLES["final_status"] = (
     TICKS
@@ -493,7 +535,8 @@ ORACLES["final_status"] = (
     + """, last AS (
     SELECT transfer_id, arg_max(kind, (ts, event_id)) = 'error' AS failed, CAST(sum(bytes) AS BIGINT) AS downloaded,
         (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS seconds FROM tr GROUP BY transfer_id)
-SELECT transfer_id, failed, downloaded, seconds, coalesce(nullif(f.a, 0), downloaded) AS avg_rate FROM last LEFT JOIN folded USING (transfer_id)"""
+SELECT transfer_id, failed, downloaded, CASE WHEN transfer_id % 7 <> 0 THEN transfer_id * 1000 WHEN failed THEN -1 ELSE downloaded END AS total, seconds,
+    coalesce(nullif(f.a, 0), downloaded) AS avg_rate FROM last LEFT JOIN folded USING (transfer_id)"""
 )
 ORACLES["throttle_schedule"] = RUN + " SELECT event_id, greatest((downloaded - 1) // 5000, 0) AS done_second FROM run"
 ORACLES["content_hash"] = "SELECT doc_id, sha256(text) AS sha256 FROM documents"

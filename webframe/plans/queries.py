@@ -21,10 +21,13 @@ from webframe.options import MirrorOptions
 from webframe.plans import views as V
 from webframe.plans.download import download
 from webframe.plans.site_mirror import mirror
+from webframe.sources.bodies import read_bodies
 from webframe.sources.responses import fetch_join
 from webframe.sources.sinks import success_list
+from webframe.sources.snapshots import follow_redirects, latest_responses
 from webframe.sources.staging import Workspace
 from webframe.sources.url_list import mirror_seeds, read_url_list, seed_union
+from webframe.sources.versions import Site
 from webframe.streaming.links import first_sightings, stream_links
 from webframe.streaming.rates import stream_rate
 from webframe.streaming.runs import ROCKSDB, Run, admit, last_updates, run_available
@@ -334,9 +337,7 @@ def same_host_edges(spark, sf):
 
 @query
 def mime_dispatch(spark, sf):
-    html, css, leaf = filters.dispatch(V.responses(spark, sf))
-    parts = [d.select("page_id", F.lit(n).alias("branch")) for n, d in (("html", html), ("css", css), ("leaf", leaf))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return V.responses(spark, sf).select("page_id", filters.mime_class("mime").alias("branch"))
 
 
 # Crawl ---------------------------------------------------------------------
@@ -426,6 +427,52 @@ def mirror_manifest(spark, sf):
     return done.select("url", "save_path", _big(F.col("status"), "status"), "mime", "escapes_root")
 
 
+@query
+def saved_site(spark, sf):
+    """The files of the site as it was fetched, replaced by the version with converted links."""
+    site = Site(spark, Workspace(spark, "saved-site").path)
+    site.publish(_site_mirror(spark, sf).saved_site())
+    site.publish(_site_mirror(spark, sf, convert_links=True).saved_site())
+    return site.read().select("save_path", "url", F.md5("body").alias("body_md5"))
+
+
+# Snapshots -----------------------------------------------------------------
+
+
+@query
+def latest_responses_query(spark, sf):
+    """Three crawls, of which the later ones fetched some pages again."""
+    crawls = F.filter(F.array(F.lit(0), F.when(F.col("page_id") % 3 == 0, 1), F.when(F.col("page_id") % 4 == 1, 2)), lambda c: c.isNotNull())
+    again = V.responses(spark, sf).select("url", "page_id", "status", F.explode(crawls).alias("crawl"), "body")
+    body = F.concat(F.lit("<!-- "), F.col("crawl"), F.lit(" -->"), F.col("body"))
+    found = latest_responses(again.withColumn("body", body), "crawl", "page_id")
+    return found.select("url", _big(F.col("crawl"), "crawl"), "page_id", F.md5("body").alias("body_md5"))
+
+
+@query
+def redirects(spark, sf):
+    return follow_redirects(V.redirect_hops(spark, sf)).select("url", "final_url", "n_hops", "error")
+
+
+@query
+def binary_scan(spark, sf):
+    """Pages of each host written as one file and read back as a raw body, its charset declared, unknown, or not told."""
+    space, pages = Workspace(spark, "bodies"), V.pages(spark, sf).select("page_id", V.page_host().alias("host"), "html")
+    dealt = pages.repartition("host").sortWithinPartitions("host", "page_id")
+    dealt.select("host", F.col("html").alias("value")).write.partitionBy("host").text(f"{space.path}/files")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{space.path}/files").select("path")
+    below = F.substring_index("path", "/files/", -1)
+    host = F.url_decode(F.regexp_extract(below, "host=([^/]*)/", 1))
+    kind = F.pmod(F.length(host) + F.ascii(host), F.lit(3))
+    declared = F.when(kind == 0, "text/html; charset=UTF-8").when(kind == 1, 'text/html;charset="x-own"').otherwise("text/html")
+    sidecar = files.select(
+        below.alias("path"), F.concat(F.lit("http://"), host, F.lit("/")).alias("url"), F.lit(200).alias("status"),
+        F.create_map(F.lit("Content-Type"), F.array(declared)).alias("headers"),
+    )
+    bodies = read_bodies(spark, f"{space.path}/files", sidecar)
+    return bodies.select("url", "mime", "charset", "body_length", F.md5("body").alias("body_md5"))
+
+
 # Seeds and downloads -------------------------------------------------------
 
 
@@ -545,7 +592,10 @@ def dir_conflicts(spark, sf):
 
 @query
 def mirror_summary(spark, sf):
-    return T.mirror_summary(V.transfers(spark, sf))
+    """Over every request of the mirror; each level takes a minute, as the snapshot knows no times."""
+    taken = F.when(F.col("error").isNull(), F.col("body_length")).otherwise(0)
+    at = F.timestamp_seconds(F.col("depth") * 60)
+    return T.mirror_summary(_site_mirror(spark, sf).results.select(at.alias("ts"), taken.alias("bytes")))
 
 
 @query
@@ -578,6 +628,13 @@ def rate_per_second(spark, sf):
     return rates.select("transfer_id", Z.format_time("second").alias("second"), "rate")
 
 
+@query
+def rate_ticks(spark, sf):
+    """Bytes in each hour of a transfer, those without bytes included."""
+    rates = T.rate_per_second(V.transfers(spark, sf), zero_fill=True, tick="1 hour")
+    return rates.select("transfer_id", Z.format_time("second").alias("hour"), "rate")
+
+
 @query
 def avg_rate(spark, sf):
     return T.average_rates(T.rate_per_second(V.transfers(spark, sf)))
@@ -585,8 +642,11 @@ def avg_rate(spark, sf):
 
 @query
 def final_status(spark, sf):
+    """Every seventh transfer has an unknown length."""
     t = V.transfers(spark, sf)
-    return T.final_status(t, T.average_rates(T.rate_per_second(t)))
+    total = F.when(F.col("transfer_id") % 7 == 0, -1).otherwise(F.col("transfer_id") * 1000)
+    totals = t.select("transfer_id").distinct().withColumn("total", total)
+    return T.final_status(t, T.average_rates(T.rate_per_second(t)), totals)
 
 
 @query

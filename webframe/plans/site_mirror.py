@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webframe.functions.common import with_once
@@ -17,9 +19,26 @@ from webframe.operators.pathset import last_write_wins, resolve_dir_conflicts, s
 from webframe.operators.rewrite import convert_documents, link_maps, link_pairs, link_targets
 from webframe.options import MirrorOptions
 from webframe.sources.responses import fetch_error
+from webframe.sources.snapshots import with_redirects
 from webframe.sources.staging import Workspace
 
 
+Listener = Callable[[dict], None]
+
+
+@dataclass(frozen=True)
+class Hooks:
+    """A job's own columns over the responses, planned into it like the built-in ones.
+
+    ``save_path`` names the file of a response, ``keep`` and ``traverse`` say whether it is kept and its links are
+    followed, besides what the options say; NULL counts as no. What is not kept is not followed either, HTML excepted.
+    """
+
+    save_path: Column | None = None
+    keep: Column | None = None
+    traverse: Column | None = None
+
+
 class Mirror:
     """Results of one mirror job, worked out as they are asked for.
 
@@ -30,12 +49,14 @@ class Mirror:
     holds. Each is a written table.
     """
 
-    def __init__(self, responses: DataFrame, seeds: DataFrame, options: MirrorOptions):
-        self.responses = responses
-        self.options = options
+    def __init__(self, responses: DataFrame, seeds: DataFrame, options: MirrorOptions, hooks: Hooks, progress: Listener):
         self._workspace = Workspace(seeds.sparkSession, "mirror")
-        self.nested = self._write(followed_links(responses, options), "links")
-        self.reached = closure(adjacency(self.nested), seeds, options.max_depth)
+        if "location" in responses.columns:
+            responses = self._write(with_redirects(responses), "responses")
+        self.responses = responses
+        self.options, self.hooks, self._progress = options, hooks, progress
+        self.nested = self._write(followed_links(responses, options, hooks), "links")
+        self.reached = closure(adjacency(self.nested), seeds, options.max_depth, progress=progress)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
         return self._workspace.write(df, name)[0]
@@ -46,12 +67,18 @@ class Mirror:
 
     @cached_property
     def results(self) -> DataFrame:
-        narrow = fetch_results(self.responses, self.options).select(
-            "url", "status", "mime", "body_length", "error", "keep", "traverse", "raw_path"
+        facts = [c for c in ("final_url", "redirect_error") if c in self.responses.columns]
+        narrow = fetch_results(self.responses, self.options, self.hooks).select(
+            "url", "status", "mime", "body_length", "error", "keep", "traverse", "raw_path", *facts
         )
         missing = F.when(F.col("keep").isNull(), "not_found").otherwise(F.col("error"))
         joined = self.reached.join(narrow, "url", "left").withColumn("error", missing)
-        return self._write(joined, "results")
+        taken = F.when(F.col("error").isNull(), F.col("body_length"))
+        table, seen = self._workspace.observed(
+            joined, "results", files=F.count(F.lit(1)), failed=F.count("error"), bytes=F.coalesce(F.sum(taken), F.lit(0))
+        )
+        self._progress({"step": "results", **seen})
+        return table
 
     @cached_property
     def _settled(self) -> tuple[DataFrame, DataFrame]:
@@ -97,27 +124,36 @@ class Mirror:
         return rest.unionByName(self.converted()) if self.options.convert_links else rest
 
     def manifest(self) -> DataFrame:
-        """``(url, save_path, status, mime, escapes_root)`` of every saved URL."""
-        facts = self.responses.select("url", "status", "mime")
+        """``(url, save_path, status, mime, escapes_root)`` of every saved URL, and ``final_url`` where redirects are known."""
+        more = [c for c in ("final_url",) if c in self.responses.columns]
+        facts = self.responses.select("url", "status", "mime", *more)
         own = join_path(F.lit(self.options.save_path), hostname(url_host("url")))
         return self.saved.join(facts, "url").select(
-            "url", "save_path", "status", "mime", leaves_folder("save_path", own).alias("escapes_root")
+            "url", "save_path", "status", "mime", *more, leaves_folder("save_path", own).alias("escapes_root")
         )
 
 
-def fetch_results(responses: DataFrame, options: MirrorOptions) -> DataFrame:
+def fetch_results(responses: DataFrame, options: MirrorOptions, hooks: Hooks = Hooks()) -> DataFrame:
     """Adds ``error, wanted, keep, traverse, raw_path`` to each response.
 
     Worked out of the narrow columns; whoever does not select the body does not
     read it.
     """
-    path = save_path("url", "mime", "filename", options.save_path)
+    path = save_path("url", "mime", "filename", options.save_path) if hooks.save_path is None else hooks.save_path
     limited = with_once(with_limits(responses, options.rejects, options.excludes), raw_path=path)
+    if hooks.keep is not None:
+        limited = limited.withColumn("keep", F.col("keep") & F.coalesce(hooks.keep, F.lit(False)))
+        limited = limited.withColumn("wanted", (F.col("mime") == "text/html") | F.col("keep"))
+        limited = limited.withColumn("traverse", F.col("traverse") & F.col("wanted"))
+    if hooks.traverse is not None:
+        limited = limited.withColumn("traverse", F.col("traverse") & F.coalesce(hooks.traverse, F.lit(False)))
     error = fetch_error(options.allowed_status, F.col("wanted"), F.col("raw_path"))
+    if "redirect_error" in responses.columns:
+        error = F.coalesce("redirect_error", error)
     return limited.withColumn("error", error)
 
 
-def followed_links(responses: DataFrame, options: MirrorOptions) -> DataFrame:
+def followed_links(responses: DataFrame, options: MirrorOptions, hooks: Hooks = Hooks()) -> DataFrame:
     """:func:`page_links` of the HTML and CSS bodies that a mirror follows.
 
     A filter on the row itself: bodies are neither joined nor shuffled.
@@ -126,7 +162,7 @@ def followed_links(responses: DataFrame, options: MirrorOptions) -> DataFrame:
     if options.allowed_status is not None:
         # Part of the error below already; said on its own it reaches the scan.
         documents = documents.where(F.col("status").isin(*options.allowed_status))
-    followed = fetch_results(documents, options).where("error IS NULL AND traverse")
+    followed = fetch_results(documents, options, hooks).where("error IS NULL AND traverse")
     return page_links(followed, "url", "body", "mime", options.base_mode, options.canonicalize)
 
 
@@ -145,10 +181,18 @@ def settle_paths(kept: DataFrame, order: list[str]) -> tuple[DataFrame, DataFram
     return placed.select("url", "save_path"), last_write_wins(placed, "fetch_order")
 
 
-def mirror(responses: DataFrame, seeds: DataFrame, options: MirrorOptions = MirrorOptions()) -> Mirror:
+def mirror(
+    responses: DataFrame,
+    seeds: DataFrame,
+    options: MirrorOptions = MirrorOptions(),
+    hooks: Hooks = Hooks(),
+    progress: Listener = lambda event: None,
+) -> Mirror:
     """Mirror ``seeds(seed_id, url)`` out of ``responses``.
 
     ``responses(url, status, mime, declared_length, filename, body_length,
-    body)`` has one row per requested URL.
+    body)`` has one row per requested URL (see ``latest_responses``); with a column ``location`` redirects are followed.
+    ``progress`` is called with a dictionary after each level and when the results are known; its numbers
+    are worked out by the job that writes them.
     """
-    return Mirror(responses, seeds, options)
+    return Mirror(responses, seeds, options, hooks, progress)

@@ -170,6 +170,16 @@ def site_seeds(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def redirect_hops(spark: SparkSession, sf: str) -> DataFrame:
+    """``(url, target)`` among the numbered pages of each host: short chains, long ones, and cycles."""
+    n = F.col("n")
+    target = (
+        F.when(n % 3 == 0, F.floor(n / 3)).when(n % 10 == 5, n + 5).when(n % 10 == 0, n - 5).when(n % 2 == 1, n + 6)
+    )
+    hops = numbered_pages(spark, sf).select("h", "n", target.alias("to")).where("to IS NOT NULL")
+    return hops.select(text("http://", F.col("h"), "/p/", n).alias("url"), text("http://", F.col("h"), "/p/", F.col("to")).alias("target"))
+
+
 def transfers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("user_id").alias("transfer_id"),

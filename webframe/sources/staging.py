@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str | None) -> Iterator[None]:
+    """A session setting for a while; None leaves it as it is."""
+    before = spark.conf.get(name, None)
+    if value is not None:
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Workspace:
     """One job's folder below the shared one."""
 
@@ -42,10 +56,15 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
         """The written table and its row count, from a single job."""
+        table, seen = self.observed(df, name, n=F.count(F.lit(1)))
+        return table, seen["n"]
+
+    def observed(self, df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+        """The written table, and aggregates of its rows that are worked out while it is written."""
         seen = Observation(uuid.uuid4().hex)
         target = f"{self.path}/{name}"
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target), seen.get["n"]
+        df.observe(seen, *[c.alias(k) for k, c in metrics.items()]).write.parquet(target)
+        return self.spark.read.schema(df.schema).parquet(target), dict(seen.get)
 
     def read(self, schema, names: list[str]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])

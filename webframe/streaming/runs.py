@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from webframe.sources.staging import Workspace
+from webframe.sources.staging import Workspace, setting
 
 
 def admit(
@@ -88,7 +86,7 @@ class Run:
         self.folder = self.folder or Workspace(spark, self.name).path
         target = f"{self.folder}/out"
         writer = stream.writeStream.option("checkpointLocation", f"{self.folder}/progress").trigger(availableNow=True)
-        with _setting(spark, "spark.sql.streaming.stateStore.providerClass", self.store):
+        with setting(spark, "spark.sql.streaming.stateStore.providerClass", self.store):
             if self.mode == "append":
                 query = writer.format("parquet").outputMode("append").start(target)
             else:
@@ -114,17 +112,6 @@ class Run:
         return spark.read.schema(T.StructType(kept)).parquet(f"{self.folder}/out")
 
 
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: str | None) -> Iterator[None]:
-    before = spark.conf.get(name, None)
-    if value is not None:
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def run_available(stream: DataFrame, name: str, mode: str = "append", store: str | None = None) -> DataFrame:
     """Run a stream over all data there is, and read what it wrote; see :class:`Run`."""
     return Run(name, mode, store=store).run(stream)
