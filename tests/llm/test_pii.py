@@ -2,7 +2,8 @@ import hashlib
 import random
 import re
 
-from webframe.llm.pii import find_personal_data
+from webframe.llm.common import Scratch
+from webframe.llm.pii import SHARE, _generation, find_personal_data
 
 SCHEMA = "doc_id long, text string, value string, base string"
 PATTERNS = {
@@ -71,3 +72,34 @@ def test_later_generations(spark):
     texts += [f"bought article size {v}" for v in ("Q-11-22", "Q-11-23", "Q-11-24")]
     got = {t: r.spans for t, r in zip(texts, sorted(run(spark, list(enumerate(texts))), key=lambda r: r.doc_id))}
     assert {t for t, spans in got.items() if "id:" in spans} == {t for t in texts if t.split()[-1] in old + new + last}
+
+
+def settled(edges, seeds, least):
+    """Scores of patterns by many more rounds than are needed."""
+    values = {v: float(v in seeds) for _, v in edges}
+    for _ in range(500):
+        held = {p: [v for q, v in edges if q == p] for p, _ in edges}
+        score = {p: sum(values[v] for v in vs) / len(vs) for p, vs in held.items()}
+        enough = {p for p, vs in held.items() if sum(v in seeds for v in vs) >= least}
+        values = {v: max([float(v in seeds)] + [SHARE * score[p] for p, w in edges if w == v and p in enough]) for v in values}
+    return score
+
+
+def test_scores_have_settled(spark):
+    """Patterns that share values, so that scores rise for many rounds."""
+    rng = random.Random(3)
+    names = [f"v{k}" for k in range(120)]
+    edges = sorted({(f"p{k}", v) for k in range(12) for v in rng.sample(names[k * 8 : k * 8 + 30], 20)})
+    seeds = set(rng.sample(names, 45))
+    df = spark.createDataFrame([(p, v, v in seeds) for p, v in edges], "pattern string, value string, seed boolean")
+    want = settled(edges, seeds, 3)
+    found = _generation(df, Scratch(spark, "t"), 0, 1e-9, 0.0, 3).collect()
+    assert len(found) > 5
+    assert all(abs(r.score - want[r.pattern]) < 1e-5 for r in found)
+
+
+def test_patterns_far_before_their_value(spark):
+    gap = " -" * 200
+    docs = [(k, f"my badge is{gap} a{k}@mail{k}.example.com") for k in range(8)] + [(20, f"my badge is{gap} AB-773-9912")]
+    got = {r.doc_id: r.spans for r in run(spark, docs)}
+    assert got[20].startswith("id:")

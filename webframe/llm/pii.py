@@ -2,8 +2,9 @@
 
 Four kinds are found by expression. Their spans seed a bootstrap: each of them, and
 each other thing that looks like an identifier, has a lexical pattern, the two words
-before it. Patterns and values form a graph. Round by round a pattern scores the mean score
-of its values and a value the score of its best pattern, seeds staying at 1. Patterns
+before it, however far. Patterns and values form a graph. Round by round a pattern scores the mean score
+of its values and a value a share of the score of its best pattern, seeds staying at 1, until the scores have settled;
+the share keeps a pattern from raising itself by its own values. Patterns
 that end above a threshold and hold enough different seeds are trusted, and
 values that stand behind them, but are no seeds, are reported as kind "id". These
 are seeds of the next generation, which starts again from all seeds, until no
@@ -36,9 +37,10 @@ _GATES = {
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 #: Something that looks like an identifier: a run of at least six letters, digits, "_" and "-" with a digit.
 IDENTIFIER = r"(?<![\p{L}0-9_-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+"
-#: Characters before an identifier in which its pattern must lie.
-CONTEXT = 80
-LEAST_LENGTH, ROUNDS, TRUST, LEAST_SEEDS = 6, 3, 0.8, 5
+LEAST_LENGTH, TRUST, LEAST_SEEDS = 6, 0.8, 5
+#: Share of its best pattern's score that a value gets. Scores only rise, and have settled when those of the values rise
+#: by no more than SETTLED in a round on average.
+SHARE, SETTLED = 0.8, 1e-4
 
 
 def _digits(value: Column) -> Column:
@@ -92,7 +94,7 @@ def _none() -> Column:
 def _with_pattern(found: Column) -> Column:
     """(start, end, value, pattern) of places; the pattern is the last two words before a place."""
     words = r"(\p{L}++[^\p{L}]++\p{L}++|^[^\p{L}]*+\p{L}++)[^\p{L}]*+$"
-    pattern = lambda x: F.regexp_extract(F.right(x["before"], F.lit(CONTEXT)), words, 1)
+    pattern = lambda x: F.regexp_extract(x["before"], words, 1)
     return F.transform(found, lambda x: F.struct(x["start"], x["end"], x["value"], pattern(x).alias("pattern")))
 
 
@@ -113,7 +115,7 @@ def _identifiers(text: Column) -> Column:
 
 
 def trusted_patterns(
-    occurrences: DataFrame, scratch: Scratch, rounds: int = ROUNDS, trust: float = TRUST, least_seeds: int = LEAST_SEEDS
+    occurrences: DataFrame, scratch: Scratch, settled: float = SETTLED, trust: float = TRUST, least_seeds: int = LEAST_SEEDS
 ) -> DataFrame:
     """(pattern, score, seeds) of the patterns that end with a score of ``trust`` and hold ``least_seeds`` seed values.
 
@@ -123,7 +125,7 @@ def trusted_patterns(
     edges = occurrences.where("pattern != ''").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     edges, generation, known = scratch.save(edges, "edges-0"), 0, 0
     while True:
-        found = scratch.save(_generation(edges, scratch, generation, rounds, trust, least_seeds), f"trusted-{generation}")
+        found = scratch.save(_generation(edges, scratch, generation, settled, trust, least_seeds), f"trusted-{generation}")
         n = found.count()
         if n == known:
             return found
@@ -135,20 +137,25 @@ def trusted_patterns(
 
 
 def _generation(
-    edges: DataFrame, scratch: Scratch, generation: int, rounds: int, trust: float, least_seeds: int
+    edges: DataFrame, scratch: Scratch, generation: int, settled: float, trust: float, least_seeds: int
 ) -> DataFrame:
     values = edges.groupBy("value").agg(F.max("seed").cast("double").alias("v"))
-    for k in range(rounds):
+    total, k = values.agg(F.avg("v")).first()[0] or 0.0, 0
+    while True:
         patterns = edges.join(values, "value").groupBy("pattern").agg(
             (F.sum("v") / F.count(F.lit(1))).alias("p"), F.count_if("seed").alias("seeds")
         )
         patterns = scratch.save(patterns, f"patterns-{generation}-{k}")
-        own = F.when(F.col("seeds") >= least_seeds, F.col("p")).otherwise(0.0)
+        own = F.when(F.col("seeds") >= least_seeds, SHARE * F.col("p")).otherwise(0.0)
         best = edges.join(patterns, "pattern").groupBy("value").agg(
             F.greatest(F.max("seed").cast("double"), F.max(own)).alias("v")
         )
         values = scratch.save(best, f"values-{generation}-{k}")
-    return patterns.where((F.col("p") >= trust) & (F.col("seeds") >= least_seeds)).select("pattern", F.col("p").alias("score"), "seeds")
+        before, total, k = total, values.agg(F.avg("v")).first()[0] or 0.0, k + 1
+        if total - before <= settled:
+            return patterns.where((F.col("p") >= trust) & (F.col("seeds") >= least_seeds)).select(
+                "pattern", F.col("p").alias("score"), "seeds"
+            )
 
 
 def find_personal_data(
