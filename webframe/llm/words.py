@@ -96,10 +96,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         first = np.searchsorted(rows, short)
-        extra = np.array(
-            [(hashed[a : a + c] * _MIX[:c]).sum(dtype=np.uint64) + _MIX[size + c] for a, c in zip(first, count[short])],
-            np.uint64,
-        )
+        extra = np.array([(hashed[a : a + c] * _MIX[:c]).sum(dtype=np.uint64) for a, c in zip(first, count[short])], np.uint64)
+        extra += _MIX[size + count[short]]
         out, of = np.concatenate([out, mixed(extra)]), np.concatenate([of, short])
         order = np.argsort(of, kind="stable")
         out, of = out[order], of[order]
