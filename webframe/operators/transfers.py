@@ -28,14 +28,14 @@ def running_bytes(transfers: DataFrame, bucket: Column | None = None) -> DataFra
     return running(transfers, ["transfer_id"], ORDER, F.col("bytes"), "downloaded", bucket)
 
 
-def throttle_schedule(transfers: DataFrame, limit: int) -> DataFrame:
+def throttle_schedule(transfers: DataFrame, limit: int, bucket: Column | None = None) -> DataFrame:
     """Adds ``done_second``: when each row is through at ``limit`` bytes per second.
 
     For a transfer that always has data waiting; no limit means second 0.
     """
-    done = running_bytes(transfers)
+    done = running_bytes(transfers, bucket)
     if limit <= 0:
-        limit = 2**31 - 1
+        return done.withColumn("done_second", F.lit(0).cast("bigint"))
     second = F.greatest(F.floor((F.col("downloaded") - 1) / limit), F.lit(0).cast("bigint"))
     return done.withColumn("done_second", second.cast("bigint"))
 

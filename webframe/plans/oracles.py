@@ -499,19 +499,33 @@ SIZE = """CASE WHEN {n} >= 1073741824 THEN printf('%.2f GiB', {n} / 1073741824.0
 DURATION = """(CASE WHEN {s} >= 3600 THEN ({s} // 3600) || 'h' ELSE '' END || CASE WHEN {s} >= 60 THEN ({s} % 3600 // 60) || 'm' ELSE '' END
     || ({s} % 60) || 's')"""
 
-ORACLES["mirror_summary"] = (
-    SITE
-    + f""", size AS (
+BODY_SIZE = f"""size AS (
     SELECT 'http://' || h || '/p/' || n AS url, strlen('<link rel="stylesheet" href="/s/' || n || '.css"><a href="/p/' || (2 * n) || '">l</a><a href="/p/'
         || (2 * n + 1) || '">r</a><a href="/p/1">up</a><a href="/p/' || (2 * n) || '">l again</a><a href="http://other.example.org/x">off</a>'
         || '<a href="mailto:x@' || h || '">mail</a>' || html) AS b FROM num
     UNION ALL SELECT 'http://' || h || '/s/' || n || '.css', strlen('a{{b:url(''/i/' || n || '.png'')}} c{{d:url(/s/' || (n + 1) || '.css)}}') FROM num
-    UNION ALL SELECT 'http://' || h || '/i/' || n || '.png', 3 FROM num),
+    UNION ALL SELECT 'http://' || h || '/i/' || n || '.png', 3 FROM num)"""
+ORACLES["mirror_summary"] = (
+    SITE
+    + f""", {BODY_SIZE},
 t AS (
     SELECT count(*) AS files, coalesce(sum(b) FILTER (error IS NULL), 0)::BIGINT AS bytes, (max(depth) - min(depth)) * 60 AS seconds
     FROM results LEFT JOIN size USING (url))
 SELECT files, bytes, seconds, {SIZE.format(n="bytes")} AS size_text FROM t"""
 )
+ORACLES["mirror_schedule"] = (
+    SITE
+    + f""", {BODY_SIZE},
+run AS (
+    SELECT seed_id, url, sum(CASE WHEN error IS NULL THEN b ELSE 0 END) OVER (PARTITION BY seed_id ORDER BY depth, url) AS done
+    FROM results LEFT JOIN size USING (url))
+SELECT seed_id, url, greatest((done - 1) // 50000, 0)::BIGINT AS done_second FROM run"""
+)
+ORACLES["dangling_links"] = (
+    SITE_REJECTED
+    + """ SELECT f.src, f.pos, f.link, f.dst FROM followed f
+WHERE f.same AND f.dst IN (SELECT url FROM results WHERE error IS NULL AND NOT keep)"""
+)
 ORACLES["running_bytes"] = RUN + " SELECT transfer_id, event_id, downloaded FROM run"
 ORACLES["percent_complete"] = (
     RUN

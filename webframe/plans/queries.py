@@ -94,9 +94,10 @@ def clean_slash(spark, sf):
 def _url_forms(spark, sf):
     host = F.col("h")
     path = F.regexp_replace("url", "^https?://[^/]*", "")
-    word = F.regexp_extract("html", '<a href="/([^"]*)"', 1)
+    rooted = F.get(F.filter(V.own_links(), lambda x: x.startswith("/")), F.lit(0))
+    word = F.coalesce(F.substring(rooted, 2, 1 << 20), F.lit(""))
     return V.variants(
-        V.pages(spark, sf).select("page_id", "url", V.page_host().alias("h"), word.alias("w"), path.alias("p")),
+        V.linked_pages(spark, sf).select("page_id", "url", V.page_host().alias("h"), word.alias("w"), path.alias("p")),
         [
             F.col("url"), V.text("http:///", host, F.col("p")), V.text("HTTPS://", host, "//a//", F.col("w"), "/"),
             V.text("http://", host, "/a b/", F.col("w")), V.text("mailto:", F.col("w"), "@", host),
@@ -113,15 +114,14 @@ def clean_url(spark, sf):
 
 def _link_forms(spark, sf):
     """The page's own links, and a set of made-up forms per page."""
-    own = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
     i, host = F.col("page_id"), F.col("h")
     forms = F.array(
         F.lit("../x"), F.lit("./y/../z"), F.lit("?q=1"), F.lit("#frag"), F.lit(""), F.lit("../../../../up"),
         V.text("//", host, "//cdn//", i), V.text("mailto:a@", host), F.lit("javascript:void(0)"),
         V.text("b", i, ".html"), V.text("http://", host, "/abs/", i), F.lit("."), F.lit("a:b"), F.lit("/p/./q/../r/"),
     )
-    with_host = V.pages(spark, sf).withColumn("h", V.page_host())
-    return with_host.select("page_id", "url", F.concat(own, forms).alias("links"))
+    with_host = V.linked_pages(spark, sf).withColumn("h", V.page_host())
+    return with_host.select("page_id", "url", F.concat(V.own_links(), forms).alias("links"))
 
 
 def _resolved_forms(spark, sf):
@@ -421,6 +421,18 @@ def link_outcomes(spark, sf):
     return crawl.link_outcomes(done.reached, done.nested, results)
 
 
+@query
+def dangling_links(spark, sf):
+    """Links to pages that were followed and not kept, of which there is no file."""
+    return _site_mirror(spark, sf, rejects=SITE_REJECTS).dangling_links()
+
+
+@query
+def mirror_schedule(spark, sf):
+    """When each request is through at 50,000 bytes a second."""
+    return _site_mirror(spark, sf, rate_limit=50_000).schedule()
+
+
 @query
 def mirror_manifest(spark, sf):
     done = _site_mirror(spark, sf, save_path="/mirror").manifest()

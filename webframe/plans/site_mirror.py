@@ -17,6 +17,8 @@ from webframe.operators.extract import adjacency, explode_links, page_links
 from webframe.operators.filters import with_limits
 from webframe.operators.pathset import last_write_wins, resolve_dir_conflicts, save_path
 from webframe.operators.rewrite import convert_documents, link_maps, link_pairs, link_targets
+from webframe.operators.skew import salted_join
+from webframe.operators.transfers import throttle_schedule
 from webframe.options import MirrorOptions
 from webframe.sources.responses import fetch_error
 from webframe.sources.snapshots import with_redirects
@@ -49,6 +51,9 @@ class Mirror:
     holds. Each is a written table.
     """
 
+    #: Characters of a URL by which the requests of a level are cut into parts.
+    _PART = 32
+
     def __init__(self, responses: DataFrame, seeds: DataFrame, options: MirrorOptions, hooks: Hooks, progress: Listener):
         self._workspace = Workspace(seeds.sparkSession, "mirror")
         if "location" in responses.columns:
@@ -123,6 +128,26 @@ class Mirror:
         rest = plain.select("url", "body").join(self.files.select("url", "save_path"), "url").select("save_path", "url", "body")
         return rest.unionByName(self.converted()) if self.options.convert_links else rest
 
+    def dangling_links(self) -> DataFrame:
+        """``(src, pos, link, dst)``: links to pages that were followed but not kept; they stay as they were written."""
+        links = self.links.where("same_host").select("src", "pos", "link", "dst")
+        gone = self.results.where("error IS NULL AND NOT keep").select(F.col("url").alias("dst")).distinct()
+        return salted_join(links, gone, "dst")
+
+    def schedule(self) -> DataFrame:
+        """``(seed_id, url, done_second)``: when each request is through at ``rate_limit`` bytes a second for each seed.
+
+        Requests are made level by level and in order of their URLs; without a limit all are done in second 0.
+        """
+        taken = F.when(F.col("error").isNull(), F.col("body_length")).otherwise(0)
+        requests = self.results.select(
+            F.col("seed_id").alias("transfer_id"), F.timestamp_seconds("depth").alias("ts"), F.col("url").alias("event_id"), taken.alias("bytes")
+        )
+        # Levels are cut further by the beginning of the URL, which does not decrease along them either.
+        part = F.struct("ts", F.substring("event_id", 1, self._PART))
+        done = throttle_schedule(requests, self.options.rate_limit, part)
+        return done.select(F.col("transfer_id").alias("seed_id"), F.col("event_id").alias("url"), "done_second")
+
     def manifest(self) -> DataFrame:
         """``(url, save_path, status, mime, escapes_root)`` of every saved URL, and ``final_url`` where redirects are known."""
         more = [c for c in ("final_url",) if c in self.responses.columns]

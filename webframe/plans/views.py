@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webframe.functions.html import html_links
 from webframe.operators.prefix import running
 from webframe.sources.responses import spread, with_headers
 
@@ -86,6 +87,23 @@ def decorated(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose links are written in other ways: a third in single quotes and capitals, a third without quotes."""
+    link = "<a href=\"([^\"'`=<>\\s]+)\""
+    html = (
+        F.when(F.col("page_id") % 3 == 1, F.regexp_replace("html", link, "<A Title=x\nHREF = '$1'"))
+        .when(F.col("page_id") % 3 == 2, F.regexp_replace("html", link, "<a href=$1"))
+        .otherwise(F.col("html"))
+    )
+    return pages(spark, sf).withColumn("html", html)
+
+
+def own_links(html: str = "html") -> Column:
+    """What the anchors of a page link to, in order."""
+    anchors = F.filter(html_links(html), lambda x: (x["kind"] == "attr") & (x["tag"] == "a"))
+    return F.transform(anchors, lambda x: x["url"])
+
+
 def sheets(spark: SparkSession, sf: str) -> DataFrame:
     """A style sheet per page, with a rule for each of its links.
 
