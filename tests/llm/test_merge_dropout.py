@@ -1,5 +1,8 @@
 import random
+import re
+import zlib
 from collections import Counter
+from itertools import count
 
 import numpy as np
 import pytest
@@ -87,3 +90,70 @@ def test_every_occurrence_is_segmented_anew(pieces):
     assert again == ids(Encoder(pieces, 0.3, 5), "international " * 500, 1)
     starts = [i for i, p in enumerate(again) if pieces.texts[p].startswith(b" ")] + [len(again)]
     assert len({tuple(again[a:b]) for a, b in zip(starts, starts[1:])}) > 20
+
+
+# An independent version: pieces as a list of strings, all candidates in a plain list, draws by counting.
+
+M64, STEP = 2**64 - 1, 0x9E3779B97F4A7C15
+
+
+def mix(h):
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> shift)) * factor & M64
+    return h ^ (h >> 33)
+
+
+def passing(h, dropout):
+    """How many candidates pass before one is skipped: k or more with probability (1 - p)^k."""
+    whole, k = 1 << 32, 0
+    keep = 1 - round(dropout * whole) / whole
+    while k < 1 << 16 and (h >> 32) >= whole - int(keep ** (k + 1) * whole):
+        k += 1
+    return k
+
+
+def segments(part, scores, draw, gap):
+    """The pieces of a part, and what is left of the gap."""
+    spans = [(i, i + 1) for i in range(len(part))]
+    waiting = [(a, b) for a, b in zip(spans, spans[1:]) if part[a[0] : b[1]] in scores]
+    while waiting:
+        best = min(waiting, key=lambda c: (-scores[part[c[0][0] : c[1][1]]], c[0][0], c[1][0]))
+        waiting.remove(best)
+        if best[0] not in spans or best[1] not in spans or spans.index(best[1]) != spans.index(best[0]) + 1:
+            continue
+        if gap == 0:
+            gap = draw()
+            continue
+        gap -= 1
+        at, new = spans.index(best[0]), (best[0][0], best[1][1])
+        spans[at : at + 2] = [new]
+        for a, b in ((spans[at - 1], new) if at else (None, None), (new, spans[at + 1]) if at + 1 < len(spans) else (None, None)):
+            if a and part[a[0] : b[1]] in scores:
+                waiting.append((a, b))
+    return [part[a:b] for a, b in spans], gap
+
+
+def plain(pieces, text, key, dropout, seed):
+    scores = {p: pieces.scores[i] for p, i in pieces.ids.items()}
+    side_by_side = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}
+    base, out = mix(key & M64 ^ mix(zlib.crc32(str(seed).encode()))), []
+    units = re.findall("▁*[^▁\n]+|▁+|\n+" if not any("\n" in p for p in scores) else "▁*[^▁]+|▁+", "▁" + text.replace(" ", "▁"))
+    for number, unit in enumerate(units, 1):
+        state = (base + number * STEP) & M64
+        draws = (passing(mix((mix(state) + turn * STEP) & M64), dropout) for turn in count(1))
+        gap, start = passing(mix(state), dropout), 0
+        for k in range(1, len(unit) + 1):
+            if k == len(unit) or unit[k - 1 : k + 1] not in side_by_side:
+                found, gap = segments(unit[start:k], scores, draws.__next__, gap)
+                start = k
+                for piece in found:
+                    out += [pieces.ids[piece]] if piece in pieces.ids else [pieces.bytes[b] for b in piece.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.05, 0.3, 0.8, 1.0])
+def test_against_an_independent_version(pieces, dropout):
+    rng = random.Random(dropout)
+    cases = texts(rng, 150) + ["international representation of the unbelievable ", "x" * 60, "aaaa aaaa aaaaa"]
+    for k, text in enumerate(t for t in cases if "▁" not in t):
+        assert ids(Encoder(pieces, dropout, 9), text, k) == plain(pieces, text, k, dropout, 9) if text else True, text
