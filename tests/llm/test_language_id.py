@@ -1,11 +1,24 @@
 import itertools
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
-from webframe.llm.language_id import held_out, identify_language, viterbi
+from webframe.llm.language_id import (
+    BUCKETS,
+    SCRIPT_RANGES,
+    SCRIPT_SHARE,
+    SMOOTHING,
+    SWITCH,
+    WRONG_SCRIPT,
+    held_out,
+    identify_language,
+    viterbi,
+)
+from webframe.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -65,3 +78,78 @@ def test_held_out_accuracy(spark):
 def test_null_id_is_not_held_out(spark):
     df = spark.createDataFrame([(None,), (2,)], "doc_id long").select(held_out().alias("h"))
     assert [r.h for r in df.where(F.col("h").isNull()).collect()] == []
+
+
+# The same model in plain loops over letters and words.
+
+
+def letters(text):
+    """Runs of letters as lists of (lower-case letter, script)."""
+    out, run = [], []
+    for c in text or "":
+        if c.isalpha():
+            low = c.lower() if len(c.lower()) == 1 else c
+            script = [name for first, name in SCRIPT_RANGES if first <= ord(c)][-1]
+            run.append((ord(low), script))
+        elif run:
+            out.append(run)
+            run = []
+    return out + [run] * bool(run)
+
+
+def buckets(word):
+    m64 = 2**64 - 1
+    around = [0, *(c for c, _ in word), 0]
+    for a, b, c in zip(around, around[1:], around[2:]):
+        h = (a * 0x9E3779B97F4A7C15 & m64) ^ ((b * 0xC2B2AE3D27D4EB4F & m64) + (c * 0x165667B19E3779F9 & m64) & m64)
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 & m64
+        yield (h >> 40) % BUCKETS
+
+
+def plain_model(rows):
+    grams, scripts = {}, {}
+    for text, lang in rows:
+        grams.setdefault(lang, Counter())
+        scripts.setdefault(lang, Counter())
+        for word in letters(text):
+            grams[lang].update(buckets(word))
+            scripts[lang].update(s for _, s in word)
+    # A language none of whose texts has a letter is not learned.
+    return {k: g for k, g in grams.items() if g}, scripts
+
+
+def plain_label(text, grams, scripts):
+    words, langs = letters(text), sorted(grams)
+    if not words or not langs:
+        return "und", 0.0
+    total = {k: sum(g.values()) + SMOOTHING * BUCKETS for k, g in grams.items()}
+    written = {k: {s for s, n in c.items() if n >= SCRIPT_SHARE * max(sum(c.values()), 1)} for k, c in scripts.items()}
+    rows = []
+    for word in words:
+        score = {k: sum(math.log((grams[k][b] + SMOOTHING) / total[k]) for b in buckets(word)) for k in langs}
+        fits = {k for k in langs if word[0][1] in written[k]}
+        rows.append({k: s - (WRONG_SCRIPT if fits and k not in fits else 0) for k, s in score.items()})
+    best, back = dict(rows[0]), []
+    for row in rows[1:]:
+        top = max(langs, key=lambda k: best[k])
+        back.append({k: k if best[k] >= best[top] - SWITCH else top for k in langs})
+        best = {k: max(best[k], best[top] - SWITCH) + row[k] for k in langs}
+    path = [max(langs, key=lambda k: best[k])]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    held = Counter()
+    for k, word in zip(reversed(path), words):
+        held[k] += len(word)
+    lang = min(held, key=lambda k: (-held[k], k))
+    return lang, held[lang] / sum(held.values())
+
+
+def test_query_against_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    kept = [(r.text, r.lang) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None]
+    model = plain_model(kept)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in QUERIES["op7_language_id"](spark, sf).collect()}
+    assert got.keys() == {r.doc_id for r in docs}
+    for r in docs:
+        lang, score = plain_label(r.text, *model)
+        assert got[r.doc_id][0] == lang and got[r.doc_id][1] == pytest.approx(score, abs=1e-3), r.doc_id
