@@ -11,18 +11,17 @@ from webframe.llm.common import Scratch
 def components(edges: DataFrame, a: str, b: str, scratch: Scratch, name: str) -> DataFrame:
     """(node, root) for every node of an edge between two nodes; root is the smallest node of its component.
 
-    Each round writes its edges to the shared folder. Nodes with many neighbours are only aggregated and joined,
+    Each round writes its edges to the shared folder, until every node has one edge to a node that has none. Nodes with many neighbours are only aggregated and joined,
     their neighbours are never gathered. The number of rounds is logarithmic in the number of nodes.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    now, level, before = scratch.save(now, f"{name}-0"), 0, None
+    now, level = scratch.save(now, f"{name}-0"), 0
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
+        if _is_stars(now):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
-        before, level = mark, level + 1
+        level += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -32,3 +31,13 @@ def components(edges: DataFrame, a: str, b: str, scratch: Scratch, name: str) ->
         now = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.save(now, f"{name}-{level}")
         scratch.drop(f"{name}-large-{level}", f"{name}-{level - 1}")
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each upper end has one edge, and no lower end is an upper one; a sum for each node tells."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("n"), F.lit(False).alias("low")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("n"), F.lit(True).alias("low")),
+    )))
+    seen = ends.groupBy("node").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
+    return seen.where("n > 1 or n > 0 and low").isEmpty()
