@@ -47,6 +47,7 @@ def test_closure_is_bfs(spark, buckets):
     rows = got.collect()
     assert {(r.seed_id, r.url): r.depth for r in rows} == bfs(graph, set(seeds))
     assert len(rows) == len({(r.seed_id, r.url) for r in rows})
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("closure")]
 
 
 def test_closure_moves_only_the_frontier(spark):

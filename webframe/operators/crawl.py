@@ -49,6 +49,12 @@ class Closure:
         candidates = met.select("seed_id", F.explode("dsts").alias("url")).distinct()
         return candidates.join(visited.select(*KEY), KEY, "left_anti")
 
+    def finish(self) -> DataFrame:
+        """What was reached; the tables leave the catalog, which may be one that outlives the session."""
+        reached = self.reached.schema
+        self._space.released("graph", self._space.table("graph").schema)
+        return self._space.released("visited", reached)
+
     def step(self) -> int:
         """Adds the next level; returns the number of its keys."""
         fresh = self.fresh()
@@ -75,7 +81,7 @@ def closure(
     while crawl.added and (max_depth is None or crawl.depth < max_depth):
         crawl.step()
         progress({"step": "level", "depth": crawl.depth, "urls": crawl.added})
-    return crawl.reached
+    return crawl.finish()
 
 
 def unseen(frontier: DataFrame, visited: DataFrame, key: list[str] | None = None) -> DataFrame:

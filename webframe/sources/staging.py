@@ -13,6 +13,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,5 +90,10 @@ class Workspace:
         """The table written by :meth:`keyed`, with all rows added so far."""
         return self.spark.table(self._table(name))
 
+    def released(self, name: str, schema: T.StructType) -> DataFrame:
+        """The rows of such a table, which the catalog no longer knows; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
     def _table(self, name: str) -> str:
         return f"{self.path.rsplit('/', 1)[1]}_{name}".replace("-", "_")
