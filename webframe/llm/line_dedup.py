@@ -6,7 +6,8 @@ majority of that bit over the hashes of its words. Two lines are candidates
 when at most DISTANCE bits differ. Then of PARTS parts of the bits at least
 PARTS - DISTANCE agree, so lines meet on one of the C(PARTS, DISTANCE) choices of so
 many parts. Candidates are linked when the edit distance over words is at most
-a quarter of the longer line. Everything is DataFrame expressions.
+a quarter of the longer line; words count as equal there if their hashes agree modulo 20,000, so that about one
+pair of different words in 20,000 does. Everything is DataFrame expressions.
 
 A place where lines meet may hold very many. First each line is compared with the
 first and the previous one of its place only; what they link is one group. Then
