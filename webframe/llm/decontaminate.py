@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webframe.functions.common import let
 from webframe.llm.common import Scratch
 
 #: Tokens of a window, and the fewest literal (not placeholder) tokens in an item that is looked up by its template.
@@ -70,10 +71,15 @@ def raw_words(tokens: Column) -> Column:
 
 
 def _windows(tokens: Column, width: int) -> Column:
-    """(position, hash) of the windows of an array; null if it is shorter than ``width``."""
-    at = F.sequence(F.lit(0), F.size(tokens) - width)
-    found = F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, width)).alias("key")))
-    return F.when(F.size(tokens) >= width, found)
+    """(position, hash) of the windows of an array; null if it is shorter than ``width``. Each token is hashed once."""
+
+    def found(hashes: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(hashes) - width)
+        key = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)])
+        return F.transform(at, lambda i: F.struct(i.alias("at"), key(i).alias("key")))
+
+    hashes = F.transform(tokens, lambda x: F.xxhash64(x))
+    return let(hashes, lambda h: F.when(F.size(h) >= width, found(h)))
 
 
 def _spread(df: DataFrame, width: int) -> DataFrame:
