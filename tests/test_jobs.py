@@ -238,8 +238,12 @@ def test_rates_and_averages(spark):
     assert len([k for k in got if k[0] == 2]) == 3
     averages = transfers.average_rates(rates)
     assert {r.transfer_id: (r.n, r.avg_rate) for r in averages.collect()} == {1: (3, 7), 2: (1, 1)}
-    status = {r.transfer_id: tuple(r)[1:] for r in transfers.final_status(df, averages).collect()}
-    assert status == {1: (False, 23, 3, 7), 2: (True, 1, 1, 1)}
+    def status(*totals):
+        known = spark.createDataFrame(totals, "transfer_id bigint, total bigint")
+        return {r.transfer_id: tuple(r)[1:] for r in transfers.final_status(df, averages, known).collect()}
+
+    assert status((1, 50), (2, 9)) == {1: (False, 23, 50, 3, 7), 2: (True, 1, 9, 1, 1)}
+    assert status((1, -1)) == {1: (False, 23, 23, 3, 7), 2: (True, 1, -1, 1, 1)}
 
 
 def test_average_over_many_batches(spark):
