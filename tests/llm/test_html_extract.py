@@ -3,6 +3,7 @@ import tracemalloc
 
 import pytest
 
+from webframe.llm import html_extract
 from webframe.llm.html_extract import Node, align, content_blocks, extract_text, host_of
 
 
@@ -98,6 +99,39 @@ def test_wide_pages_take_little_memory(kind):
     assert told == [y.blocks or y.children[0].blocks for _, y in lists]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_wide_pages_map_like_narrow_ones(seed, monkeypatch):
+    """Weights by kinds of subtrees are those of the single pairs, whatever texts the pages share."""
+    rng = random.Random(seed)
+
+    def grown(depth, words):
+        inside = "".join(grown(depth - 1, words) for _ in range(rng.randrange(0, 5) if depth else 0))
+        tag = rng.choice(["div", "ul", "section"])
+        return f"<{tag}>{rng.choice(words)}{inside}</{tag}>"
+
+    for n in (2, 5, 40):
+        words = ["", *(f"w{k}" for k in range(n))]
+        for _ in range(40):
+            a, b = (content_blocks("".join(grown(3, words) for _ in range(rng.randrange(1, 6))))[0] for _ in "ab")
+            maps = []
+            for wide, rare in ((1 << 60, 8), (-1, 8), (-1, 0.6)):
+                monkeypatch.setattr(html_extract, "WIDE", wide)
+                monkeypatch.setattr(html_extract, "RARE", rare)
+                maps.append({k: id(y) for k, y in align(a, b).items()})
+            assert maps[0] == maps[1] == maps[2]
+
+
+def test_items_of_wide_lists_map_with_what_is_below_them():
+    """Items of different shape share the texts of their first paragraphs; lists of every length map them."""
+    for n in (3, 600):
+        a, b = (
+            content_blocks("<div>" + "".join(f"<section><p>title {k}</p>{more * '<p>x</p>'}</section>" for k in range(n)) + "</div>")[0]
+            for more in (1, 2)
+        )
+        mapped = align(a, b)
+        assert len(mapped) == 2 + 3 * n
+
+
 @pytest.mark.parametrize(
     "source,want",
     [

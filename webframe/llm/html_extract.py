@@ -28,8 +28,10 @@ from webframe.llm.common import Scratch
 #: A node is template if it has the same text on this share of the distinct aligned pages, of which so many more are
 #: taken to differ before any is seen. On few pages that share is never reached, and only what elements say counts.
 SAME_SHARE, PRIOR = 0.9, 0.5
-#: Pairs of inner nodes of two child lists beyond which only nodes of one shape map with what is below them.
+#: Pairs of nodes with children on two pages beyond which weights are worked out by kinds of subtrees; they are the same.
 WIDE = 1 << 18
+#: A text is rare if its places on two pages pair up to at most so many pairs a place.
+RARE = 8
 # Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")
@@ -74,7 +76,7 @@ _MARKS = re.compile(r"(?<![-\w])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\
 class Node:
     """An element; ``blocks`` are the text blocks that lie directly in it."""
 
-    __slots__ = ("tag", "children", "blocks", "number", "drop", "article", "certain", "mark", "path", "sign", "shape", "full")
+    __slots__ = ("tag", "children", "blocks", "number", "drop", "article", "certain", "mark", "path", "sign", "full", "inner")
 
     def __init__(self, tag: str, drop: bool, article: bool, certain: bool = False, mark: Mark | None = None):
         self.tag, self.drop, self.article, self.certain, self.mark = tag, drop, article, certain, mark
@@ -251,7 +253,7 @@ def content_blocks(source: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 
 def _sign(root: Node) -> None:
-    """For every node: a hash of its subtree with the texts, one of the elements alone, and the weight of mapping it to an equal one."""
+    """For every node: a hash of its subtree with the texts, the weight of mapping it to an equal one, and how many nodes with children it has."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -259,66 +261,184 @@ def _sign(root: Node) -> None:
         todo += node.children
     for node in reversed(order):
         node.sign = hash((node.tag, tuple(node.blocks), tuple(c.sign for c in node.children)))
-        node.shape = hash((node.tag, tuple(c.shape for c in node.children)))
         node.full = 1 + bool(node.blocks) + sum(c.full for c in node.children)
+        node.inner = bool(node.children) + sum(c.inner for c in node.children)
 
 
 def _own(a: Node, b: Node) -> int:
     return 2 if a.blocks and a.blocks == b.blocks else 1
 
 
+class _Weights:
+    """Weights of mapping nodes of a page to nodes of a reference, as far as they have been worked out.
+
+    Small pages have a weight for each pair of nodes with children. In larger ones most pairs share no rare text (``RARE``). Their
+    weight is that of their kinds: the subtrees without all texts but those that are frequent on both pages, equal ones
+    of which are one node. So what repeats is worked out once, and pairs that share a rare text one by one; both give the same weight.
+    """
+
+    def __init__(self, page: Node, reference: Node):
+        self.pairs: dict[tuple[int, int], tuple[int, list]] = {}
+        self.kinds: dict[int, np.ndarray] = {}
+        self.kind: dict[int, Node] | None = None
+        if page.inner * reference.inner > WIDE:
+            self._classify(page, reference)
+
+    def _classify(self, page: Node, reference: Node) -> None:
+        orders, places, around = [], [], {}
+        for root in (page, reference):
+            order, found, todo = [], {}, [(root, None, 0)]
+            while todo:
+                node, parent, way = todo.pop()
+                around[id(node)], way = parent, hash((way, node.tag))
+                order.append((node, way))
+                if node.blocks:
+                    found.setdefault((way, tuple(node.blocks)), []).append(node)
+                todo += [(c, node, way) for c in node.children]
+            orders.append(order)
+            places.append(found)
+        #: Pairs that share a rare text, and for a node and a list of the reference the nodes in it that it has such pairs with.
+        self.near: set[tuple[int, int]] = set()
+        self.beside: dict[tuple[int, int], list[Node]] = {}
+        frequent = set()
+        for key, xs in places[0].items():
+            ys = places[1].get(key, ())
+            if len(xs) * len(ys) > RARE * (len(xs) + len(ys)):
+                frequent.add(key)
+                continue
+            for x, y in ((x, y) for x in xs for y in ys):
+                while x is not None and (id(x), id(y)) not in self.near:
+                    self.near.add((id(x), id(y)))
+                    up = around[id(y)]
+                    self.beside.setdefault((id(x), id(up)), []).append(y)
+                    x, y = around[id(x)], up
+        self.kind, made = {}, {}
+        #: Kinds with children are numbered for each tag.
+        self.number: dict[int, int] = {}
+        self.count: dict[str, int] = {}
+        for order in orders:
+            for node, way in reversed(order):
+                text = tuple(node.blocks) if (way, tuple(node.blocks)) in frequent else ()
+                below = [self.kind[id(c)] for c in node.children]
+                key = (node.tag, text, tuple(map(id, below)))
+                if key not in made:
+                    kind = made[key] = Node(node.tag, False, False)
+                    kind.blocks, kind.children = list(text), below
+                    kind.sign = hash((kind.tag, text, tuple(c.sign for c in below)))
+                    kind.full = 1 + bool(text) + sum(c.full for c in below)
+                    if below:
+                        self.number[id(kind)] = self.count.get(kind.tag, 0)
+                        self.count[kind.tag] = self.number[id(kind)] + 1
+                self.kind[id(node)] = made[key]
+
+    def alone(self, x: Node, y: Node) -> bool:
+        """Whether the weight of a pair is its own, not that of two kinds."""
+        return self.kind is None or (id(x), id(y)) in self.near
+
+    def as_kind(self, x: Node) -> Node:
+        return self.kind.get(id(x), x)
+
+    def has(self, x: Node, y: Node) -> bool:
+        if self.alone(x, y):
+            return (id(x), id(y)) in self.pairs
+        x, y = self.as_kind(x), self.as_kind(y)
+        return id(x) in self.kinds and self.kinds[id(x)][self.number[id(y)]] >= 0
+
+    def row(self, x: Node) -> np.ndarray:
+        """The weights of a kind with those of the same tag by their numbers, -1 where not known."""
+        if id(x) not in self.kinds:
+            self.kinds[id(x)] = np.full(self.count[x.tag], -1, np.int32)
+        return self.kinds[id(x)]
+
+    def of(self, x: Node, y: Node) -> int:
+        if x.tag != y.tag:
+            return 0
+        if x.sign == y.sign:
+            return x.full
+        if not x.children or not y.children:
+            return _own(x, y)
+        if self.alone(x, y):
+            return self.pairs[(id(x), id(y))][0]
+        x, y = self.as_kind(x), self.as_kind(y)
+        return x.full if x.sign == y.sign else int(self.kinds[id(x)][self.number[id(y)]])
+
+    def below(self, at: Node, xs: list[Node], ys: list[Node]) -> Iterator[tuple[Node, Node]]:
+        """The pairs of two lists, of which the second lies in ``at``, whose weights have to be known first."""
+        by_tag: dict[str, dict[int, Node]] = {}
+        for y in ys:
+            if y.children:
+                y = y if self.kind is None else self.as_kind(y)
+                by_tag.setdefault(y.tag, {})[id(y)] = y
+        told = set()
+        for x in xs:
+            if not x.children:
+                continue
+            if self.kind is not None:
+                yield from ((x, y) for y in self.beside.get((id(x), id(at)), ()) if y.children and x.sign != y.sign)
+                x = self.as_kind(x)
+                if id(x) in told:
+                    continue
+                told.add(id(x))
+            yield from ((x, y) for y in by_tag.get(x.tag, {}).values() if x.sign != y.sign)
+
+    def learn(self, x: Node, y: Node) -> None:
+        """Works out the weight of a pair, bottom up and without recursion, for pairs of equal tags at equal depth."""
+
+        def opened(x: Node, y: Node) -> tuple:
+            ends, xs, ys = _stripped(x.children, y.children)
+            return x, y, ends, xs, ys, self.below(y, xs, ys)
+
+        todo = [opened(x, y)]
+        while todo:
+            x, y, ends, xs, ys, rest = todo[-1]
+            missing = next(((c, d) for c, d in rest if not self.has(c, d)), None)
+            if missing is not None:
+                todo.append(opened(*missing))
+                continue
+            todo.pop()
+            gain = _own(x, y) + sum(c.full for c, _ in ends)
+            if self.alone(x, y):
+                pairs = _matched(xs, ys, y, self)
+                self.pairs[(id(x), id(y))] = (gain + sum(self.of(c, d) for c, d in pairs), ends + pairs)
+            else:
+                self.row(x)[self.number[id(y)]] = gain + _heaviest(xs, ys, y, self)
+
+    def mapped(self, x: Node, y: Node) -> list[tuple[Node, Node]]:
+        """The children of a mapped pair that map."""
+        if x.sign == y.sign:
+            return list(zip(x.children, y.children))
+        if not x.children or not y.children:
+            return []
+        if (id(x), id(y)) not in self.pairs:
+            if self.alone(x, y):
+                self.learn(x, y)
+            else:
+                # Known by its kinds; the mapping of the nodes themselves needs the weights of what is below them.
+                ends, xs, ys = _stripped(x.children, y.children)
+                for c, d in self.below(y, xs, ys):
+                    if not self.has(c, d):
+                        self.learn(c, d)
+                return ends + _matched(xs, ys, y, self)
+        return self.pairs[(id(x), id(y))][1]
+
+
 def align(page: Node, reference: Node) -> dict[int, Node]:
     """Simple tree matching: nodes of the page (by id()) mapped to nodes of the reference.
 
     The weight of a mapping is the number of mapped nodes, and one more for each with the same text. Only equal tags
     map, children only where their parents do, in the same order. Equal subtrees at the ends of two child lists map as they
-    are, which loses no weight. Memory is linear in the length of child lists; in lists with more than ``WIDE`` pairs
-    of inner nodes, inner nodes of different shape map without what is below them.
+    are, which loses no weight. The mapping is the heaviest at every size. Memory is linear in the length of child lists,
+    but for four bytes for each two different kinds of subtrees that meet.
     """
     for root in (page, reference):
         if not hasattr(root, "sign"):
             _sign(root)
-    weights: dict[tuple[int, int], tuple[int, list | None]] = {}
-
-    def inner(xs: list[Node], ys: list[Node]) -> Iterator[tuple[Node, Node]]:
-        """The pairs of two lists whose children have to be matched first."""
-        by_tag: dict[str, list[Node]] = {}
-        for y in ys:
-            if y.children:
-                by_tag.setdefault(y.tag, []).append(y)
-        return ((x, y) for x in xs if x.children for y in by_tag.get(x.tag, ()) if x.sign != y.sign)
-
-    # Bottom up, without recursion, for pairs of equal tags at equal depth.
-    todo = [(page, reference, None)]
-    while todo:
-        x, y, lists = todo.pop()
-        key = (id(x), id(y))
-        if key in weights:
-            continue
-        if x.sign == y.sign:
-            weights[key] = (x.full, None)
-        elif not x.children or not y.children:
-            weights[key] = (_own(x, y), [])
-        elif lists is None:
-            ends, xs, ys = _stripped(x.children, y.children)
-            wide = sum(bool(c.children) for c in xs) * sum(bool(c.children) for c in ys) > WIDE
-            todo.append((x, y, (ends, xs, ys, wide)))
-            if not wide:
-                todo += [(c, d, None) for c, d in inner(xs, ys)]
-        else:
-            ends, xs, ys, wide = lists
-            pairs = _matched(xs, ys, None if wide else weights)
-            if wide:
-                for c, d in pairs:
-                    weights.setdefault((id(c), id(d)), (0, None if c.shape == d.shape else []))
-            gain = sum(c.full for c, _ in ends) + sum(_weight(c, d, None if wide else weights) for c, d in pairs)
-            weights[key] = (gain + _own(x, y), ends + pairs)
+    weights = _Weights(page, reference)
     out, todo = {}, [(page, reference)]
     while todo:
         a, b = todo.pop()
         out[id(a)] = b
-        pairs = weights.get((id(a), id(b)), (0, None if a.shape == b.shape else []))[1]
-        todo += zip(a.children, b.children) if pairs is None else pairs
+        todo += weights.mapped(a, b)
     return out
 
 
@@ -334,69 +454,70 @@ def _stripped(xs: list[Node], ys: list[Node]) -> tuple[list[tuple[Node, Node]],
     return ends, xs[a : len(xs) - z], ys[a : len(ys) - z]
 
 
-def _texts(node: Node) -> list[tuple]:
-    """The texts of a subtree in order of its shape."""
-    out, todo = [], [node]
-    while todo:
-        n = todo.pop()
-        out.append(tuple(n.blocks))
-        todo += reversed(n.children)
-    return out
-
-
-def _weight(x: Node, y: Node, weights: dict | None) -> int:
-    if x.tag != y.tag:
-        return 0
-    if x.sign == y.sign:
-        return x.full
-    if not x.children or not y.children:
-        return _own(x, y)
-    if weights is not None:
-        return weights[(id(x), id(y))][0]
-    if x.shape != y.shape:
-        return _own(x, y)
-    return sum(1 + (a == b and bool(a)) for a, b in zip(_texts(x), _texts(y)))
-
-
 class _Rows:
-    """Weights of one node against a list of nodes, as arrays."""
+    """Weights of one node against a list of nodes below ``at``, as arrays."""
 
-    def __init__(self, ys: list[Node], weights: dict | None):
-        self.ys, self.weights = ys, weights
+    def __init__(self, ys: list[Node], at: Node, weights: _Weights):
+        self.ys, self.at, self.weights = ys, at, weights
         self.tags = np.array([hash(y.tag) for y in ys])
         self.blocks = np.array([hash(tuple(y.blocks)) if y.blocks else 0 for y in ys])
         self.signs = np.array([y.sign for y in ys])
         self.inner = [j for j, y in enumerate(ys) if y.children]
-        self.shapes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        if weights is None:
-            held: dict[int, list[int]] = {}
+        if weights.kind is not None:
+            self.places = {id(ys[j]): j for j in self.inner}
+            by_tag: dict[str, list[int]] = {}
             for j in self.inner:
-                held.setdefault(ys[j].shape, []).append(j)
-            self.shapes = {k: (np.array(at), np.array([[hash(t) if t else 0 for t in _texts(ys[j])] for j in at])) for k, at in held.items()}
+                by_tag.setdefault(ys[j].tag, []).append(j)
+            kinds = {t: [weights.as_kind(ys[j]) for j in at] for t, at in by_tag.items()}
+            self.kinds = {
+                t: (np.array(at), np.array([weights.number[id(k)] for k in kinds[t]]), np.array([k.sign for k in kinds[t]]))
+                for t, at in by_tag.items()
+            }
 
     def of(self, x: Node) -> np.ndarray:
         same = self.tags == hash(x.tag)
         out = same.astype(np.int64)
         if x.blocks:
             out += same & (self.blocks == hash(tuple(x.blocks)))
-        if x.children and self.weights is not None:
+        if x.children and self.weights.kind is None:
             for j in self.inner:
                 if same[j] and self.signs[j] != x.sign:
-                    out[j] = self.weights[(id(x), id(self.ys[j]))][0]
-        elif x.children and x.shape in self.shapes:
-            at, texts = self.shapes[x.shape]
-            own = np.array([hash(t) if t else 0 for t in _texts(x)])
-            out[at] = len(own) + ((texts == own) & (own != 0)).sum(1)
+                    out[j] = self.weights.pairs[(id(x), id(self.ys[j]))][0]
+        elif x.children and x.tag in self.kinds:
+            at, numbers, signs = self.kinds[x.tag]
+            kind = self.weights.as_kind(x)
+            out[at] = np.where(signs == kind.sign, kind.full, self.weights.row(kind)[numbers])
+            for y in self.weights.beside.get((id(x), id(self.at)), ()):
+                if id(y) in self.places and y.sign != x.sign:
+                    out[self.places[id(y)]] = self.weights.pairs[(id(x), id(y))][0]
         out[self.signs == x.sign] = x.full
         return out
 
 
-def _matched(xs: list[Node], ys: list[Node], weights: dict | None) -> list[tuple[Node, Node]]:
+def _heaviest(xs: list[Node], ys: list[Node], at: Node, weights: _Weights) -> int:
+    """The weight of the heaviest order-preserving mapping of two child lists."""
+    if not xs or not ys:
+        return 0
+    if len(xs) * len(ys) <= 64:
+        best = [0] * (len(ys) + 1)
+        for x in xs:
+            before, best = best, [0]
+            for j, y in enumerate(ys):
+                best.append(max(best[j], before[j + 1], before[j] + weights.of(x, y)))
+        return best[-1]
+    rows, best = _Rows(ys, at, weights), np.zeros(len(ys) + 1, np.int64)
+    for x in xs:
+        w = rows.of(x)
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(w > 0, best[:-1] + w, 0)))
+    return int(best[-1])
+
+
+def _matched(xs: list[Node], ys: list[Node], at: Node, weights: _Weights) -> list[tuple[Node, Node]]:
     """The heaviest order-preserving mapping of two child lists, by halving the first one, so that only rows are held."""
     out: list[tuple[Node, Node]] = []
     if not xs or not ys:
         return out
-    rows = _Rows(ys, weights)
+    rows = _Rows(ys, at, weights)
 
     def last_row(part: list[Node], low: int, high: int, back: bool) -> np.ndarray:
         best = np.zeros(high - low + 1, np.int64)
