@@ -76,8 +76,9 @@ def page_links(
     mime: str | None = None,
     base_mode: str = "directory",
     canonicalize: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(src, links ARRAY<STRUCT<kind, tag, link, dst, same_host>>)``, a row per page.
+    """``(src, links ARRAY<STRUCT<kind, tag, link, dst, same_host>>)``, a row per page, and the columns to ``keep``.
 
     ``dst`` is NULL for unresolvable links. With ``mime`` the body is read as
     HTML or CSS by its type, and rows of other types have no links. Nothing is
@@ -90,13 +91,14 @@ def page_links(
     if mime:
         found = F.when(F.col(mime) == "text/html", found).when(F.col(mime) == "text/css", sheet)
     parsed = pages.select(
+        *keep,
         F.col(url).alias("src"),
         found.alias("_links"),
         base_of(url, base_mode).alias("_base"),
         url_host(url).alias("_host"),
     )
     targets = _with_targets("_links", "_base", "_host", canonicalize)
-    return with_once(parsed, links=targets).select("src", "links")
+    return with_once(parsed, links=targets).select(*keep, "src", "links")
 
 
 def explode_links(nested: DataFrame) -> DataFrame:

@@ -60,7 +60,8 @@ class Mirror:
             responses = self._write(with_redirects(responses), "responses")
         self.responses = responses
         self.options, self.hooks, self._progress = options, hooks, progress
-        self.nested = self._write(followed_links(responses, options, hooks), "links")
+        self._fetched = self._write(fetched(responses, options, hooks), "fetched")
+        self.nested = self._fetched.where("src IS NOT NULL").select("src", "links")
         self.reached = closure(adjacency(self.nested), seeds, options.max_depth, progress=progress)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
@@ -72,10 +73,7 @@ class Mirror:
 
     @cached_property
     def results(self) -> DataFrame:
-        facts = [c for c in ("final_url", "redirect_error") if c in self.responses.columns]
-        narrow = fetch_results(self.responses, self.options, self.hooks).select(
-            "url", "status", "mime", "body_length", "error", "keep", "traverse", "raw_path", *facts
-        )
+        narrow = self._fetched.drop("src", "links")
         missing = F.when(F.col("keep").isNull(), "not_found").otherwise(F.col("error"))
         joined = self.reached.join(narrow, "url", "left").withColumn("error", missing)
         taken = F.when(F.col("error").isNull(), F.col("body_length"))
@@ -111,22 +109,25 @@ class Mirror:
         Paths and link maps, which are small, are joined first; bodies are
         moved once, by the join with both.
         """
+        return self._converted(self.responses.where(F.col("mime").isin("text/html", "text/css")))
+
+    def _converted(self, responses: DataFrame) -> DataFrame:
         pairs = link_pairs(self.nested)
         maps = link_maps(link_targets(pairs, self.saved, self.options.keep_fragment))
         wanted = self.files.select("url", "save_path").join(maps.withColumnRenamed("src", "url"), "url", "left")
-        bodies = self.responses.where(F.col("mime").isin("text/html", "text/css")).select("url", "mime", "body")
-        docs = bodies.join(wanted, "url")
+        docs = responses.select("url", "mime", "body").join(wanted, "url")
         return convert_documents(docs).select("save_path", "url", F.col("converted").alias("body"))
 
-    def saved_site(self) -> DataFrame:
+    def saved_site(self, convert_links: bool | None = None) -> DataFrame:
         """``(save_path, url, body)`` of every file of the saved site.
 
-        HTML and CSS have their links converted unless ``convert_links`` is off; all else is as it was fetched.
+        HTML and CSS have their links converted unless ``convert_links`` (by default that of the options) is off; all
+        else is as it was fetched.
         """
-        documents = F.col("mime").isin("text/html", "text/css")
-        plain = self.responses if not self.options.convert_links else self.responses.where(~documents | F.col("mime").isNull())
-        rest = plain.select("url", "body").join(self.files.select("url", "save_path"), "url").select("save_path", "url", "body")
-        return rest.unionByName(self.converted()) if self.options.convert_links else rest
+        if self.options.convert_links if convert_links is None else convert_links:
+            return self._converted(self.responses)
+        files = self.files.select("url", "save_path")
+        return self.responses.select("url", "body").join(files, "url").select("save_path", "url", "body")
 
     def dangling_links(self) -> DataFrame:
         """``(src, pos, link, dst)``: links to pages that were followed but not kept; they stay as they were written."""
@@ -178,17 +179,19 @@ def fetch_results(responses: DataFrame, options: MirrorOptions, hooks: Hooks = H
     return limited.withColumn("error", error)
 
 
-def followed_links(responses: DataFrame, options: MirrorOptions, hooks: Hooks = Hooks()) -> DataFrame:
-    """:func:`page_links` of the HTML and CSS bodies that a mirror follows.
+def fetched(responses: DataFrame, options: MirrorOptions, hooks: Hooks = Hooks()) -> DataFrame:
+    """The narrow columns of :func:`fetch_results`, and ``src, links`` of :func:`page_links` for the HTML and CSS bodies
+    that a mirror follows, NULL for the others.
 
-    A filter on the row itself: bodies are neither joined nor shuffled.
+    One pass over the responses: bodies are neither joined nor shuffled.
     """
-    documents = responses.where(F.col("mime").isin("text/html", "text/css"))
-    if options.allowed_status is not None:
-        # Part of the error below already; said on its own it reaches the scan.
-        documents = documents.where(F.col("status").isin(*options.allowed_status))
-    followed = fetch_results(documents, options, hooks).where("error IS NULL AND traverse")
-    return page_links(followed, "url", "body", "mime", options.base_mode, options.canonicalize)
+    facts = [c for c in ("final_url", "redirect_error") if c in responses.columns]
+    narrow = ("url", "status", "mime", "body_length", "error", "keep", "traverse", "raw_path", *facts)
+    followed = F.col("mime").isin("text/html", "text/css") & F.col("error").isNull() & F.col("traverse")
+    read = fetch_results(responses, options, hooks).select(
+        *narrow, F.when(followed, F.col("url")).alias("_page"), F.when(followed, F.col("body")).alias("_body")
+    )
+    return page_links(read, "_page", "_body", "mime", options.base_mode, options.canonicalize, narrow)
 
 
 def settle_paths(kept: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
