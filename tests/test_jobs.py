@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from webframe.operators import crawl, pathset, transfers
 from webframe.operators.prefix import running
 from webframe.options import MirrorOptions
-from webframe.plans import views
+from webframe.plans import site_mirror, views
 from webframe.plans.download import download
 from webframe.plans.site_mirror import mirror
 from webframe.sources.sinks import write_saved
@@ -314,3 +314,15 @@ def test_late_rows_are_an_error(spark, tmp_path):
     stream = admit(spark, str(tmp_path / "t"), row.schema, max_files=1)
     with pytest.raises(LateRows):
         run_available(stream_rate(stream), "late")
+
+
+def test_mirror_judges_responses_once(spark, sf, monkeypatch):
+    """Results come out of the pass that reads the links, and both versions of a saved site out of one crawl."""
+    from webframe.plans.queries import QUERIES
+
+    done, judged = [], site_mirror.fetch_results
+    monkeypatch.setattr(site_mirror, "fetch_results", lambda *a, **kw: done.append("judged") or judged(*a, **kw))
+    crawled = site_mirror.closure
+    monkeypatch.setattr(site_mirror, "closure", lambda *a, **kw: done.append("crawled") or crawled(*a, **kw))
+    assert QUERIES["saved_site"](spark, sf).where("body_md5 IS NULL").isEmpty()
+    assert sorted(done) == ["crawled", "judged"]

@@ -443,8 +443,9 @@ def mirror_manifest(spark, sf):
 def saved_site(spark, sf):
     """The files of the site as it was fetched, replaced by the version with converted links."""
     site = Site(spark, Workspace(spark, "saved-site").path)
-    site.publish(_site_mirror(spark, sf).saved_site())
-    site.publish(_site_mirror(spark, sf, convert_links=True).saved_site())
+    done = _site_mirror(spark, sf, convert_links=True)
+    site.publish(done.saved_site(convert_links=False))
+    site.publish(done.saved_site())
     return site.read().select("save_path", "url", F.md5("body").alias("body_md5"))
 
 
