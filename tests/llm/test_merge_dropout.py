@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
+from webframe.llm import merge_dropout
 from webframe.llm.merge_dropout import Encoder, Pieces, decode_pieces, default_model, encode_pieces
 
 
@@ -157,3 +158,29 @@ def test_against_an_independent_version(pieces, dropout):
     cases = texts(rng, 150) + ["international representation of the unbelievable ", "x" * 60, "aaaa aaaa aaaaa"]
     for k, text in enumerate(t for t in cases if "▁" not in t):
         assert ids(Encoder(pieces, dropout, 9), text, k) == plain(pieces, text, k, dropout, 9) if text else True, text
+
+
+def test_texts_of_a_chunk_together(pieces, monkeypatch):
+    """Many texts at once become what each becomes alone, with hardly a part merged by itself, also when tables are emptied."""
+    rng = random.Random(11)
+    syllables = ["ka", "to", "ri", "mun", "sel", "ver", "ing", "é", "ß", "日本", ", ", " ", "\n", "42"]
+    cases = ["".join(rng.choices(syllables, k=rng.randrange(40))) for _ in range(60)] + ["", "▁", "a▁▁ b▁c", "xy" * 40, "-日" * 30, "\n\n  \n"]
+    data, offsets = np.frombuffer("".join(cases).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in cases)])
+    alone = [ids(Encoder(pieces, 0.3, 2), t, k) for k, t in enumerate(cases)]
+    assert [a for a, t in zip(alone, cases) if "▁" not in t] == [plain(pieces, t, k, 0.3, 2) if t else [] for k, t in enumerate(cases) if "▁" not in t]
+    calls, merge = [], Encoder.merge
+    monkeypatch.setattr(Encoder, "merge", lambda self, part, *rest: calls.append(part) or merge(self, part, *rest))
+    together = Encoder(pieces, 0.3, 2)
+    for most in (merge_dropout.UNITS, 0):
+        monkeypatch.setattr(merge_dropout, "UNITS", most)
+        for _ in range(2):
+            found, ends = together.encode_rows(data, offsets, np.arange(len(cases)))
+            assert [found[a:b].tolist() for a, b in zip(ends, ends[1:])] == alone
+    assert {len(part) for part in calls} == {81}
+
+
+def test_decoding_many_rows_at_once(spark, pieces, monkeypatch):
+    monkeypatch.setattr(merge_dropout, "DECODED", 3)
+    rows = [(k, t, None if t is None else ids(Encoder(pieces, 0.1, 1), t, k)) for k, t in enumerate(["one two three four", "", None, "日本 é", "x", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pieces array<int>").coalesce(1)
+    assert [r.decoded for r in decode_pieces(df).collect()] == [t or "" for _, t, _ in rows]
