@@ -184,3 +184,30 @@ def test_decoding_many_rows_at_once(spark, pieces, monkeypatch):
     rows = [(k, t, None if t is None else ids(Encoder(pieces, 0.1, 1), t, k)) for k, t in enumerate(["one two three four", "", None, "日本 é", "x", None])]
     df = spark.createDataFrame(rows, "doc_id long, text string, pieces array<int>").coalesce(1)
     assert [r.decoded for r in decode_pieces(df).collect()] == [t or "" for _, t, _ in rows]
+
+
+def test_decoding_by_the_task_that_encodes(spark, monkeypatch):
+    """The same pieces and texts as by two operators, with one worker for a task."""
+    monkeypatch.setattr(merge_dropout, "ENCODED", 40)
+    rows = [(k, t, "kept") for k, t in enumerate(["one two three four", "", None, "日本 é▁", "x" * 90, " \n  y", None, ""])] + [(None, "no id", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded string").repartition(3)
+    first = encode_pieces(df, seed=3)
+    want = {(r.doc_id, r.text): r for r in decode_pieces(first.withColumn("ids", first.pieces)).collect()}
+    got = encode_pieces(df, seed=3, decoded_col="decoded")
+    assert got.columns == ["doc_id", "text", "pieces", "decoded"]
+    assert {(r.doc_id, r.text): (r.pieces, r.decoded) for r in got.collect()} == {k: (r.ids, r.decoded) for k, r in want.items()}
+    over = encode_pieces(df, seed=3, decoded_col="text")
+    assert over.columns == ["doc_id", "decoded", "pieces", "text"] and sorted(r.text for r in over.collect()) == sorted(t or "" for _, t, _ in rows)
+    assert encode_pieces(df.limit(0), decoded_col="text").count() == 0
+
+
+def test_one_worker_for_a_task(spark, tmp_path):
+    from corpus_pipeline import sentencepiece as stage
+    from webframe.llm.queries import op2_sentencepiece
+
+    rows = [(1, "a b", "en", "web"), (2, None, None, "web")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for found in (op2_sentencepiece(spark, str(tmp_path)), stage(spark, docs, str(tmp_path))):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        assert all(r.lossless for r in found.collect())

@@ -36,7 +36,9 @@ from webframe.llm.common import with_text
 from webframe.llm.words import chunks, mixed
 
 #: Units and characters of units before the tables are emptied.
-UNITS, CHARS = 200_000, 1 << 22
+UNITS, CHARS = 100_000, 1 << 21
+#: Bytes of texts that are encoded at once.
+ENCODED = 1 << 19
 #: The longest part, and the most parts of a unit, that are worked off with others; and how many of them at once.
 LONG, PARTS, TOGETHER = 32, 16, 1 << 13
 #: Pieces that are decoded at once.
@@ -606,30 +608,40 @@ def encode_pieces(
     id_col: str = "doc_id",
     text_col: str = "text",
     out_col: str = "pieces",
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """``docs`` with the ids of the pieces of each text as a last column, which replaces one of that name.
 
+    ``decoded_col`` asks for one more column, which replaces one of that name, maybe the text itself: the text that
+    the pieces stand for, as ``decode_pieces`` gives it, but decoded by the task that has made them. So no second
+    worker stands beside the first one, and neither pieces nor a text that is not wanted are sent to and fro.
+
     The path of the model is read on the driver; its pieces are broadcast, their number is fixed. The result follows
     from seed, id and text alone. Null and empty texts get an empty array; a null id is a key like another. Long texts
     are encoded whole. ``dropout=0`` gives the segmentation of the model itself.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Pieces.load(model or default_model()))
-    kept = [c for c in docs.columns if c != out_col]
+    kept = [c for c in docs.columns if c not in (out_col, decoded_col)]
+    made = [out_col] if decoded_col is None else [out_col, decoded_col]
     fed, at = with_text(docs, kept, text_col)
     fed = fed.withColumn("_key", F.xxhash64(id_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, dropout, seed)
+        texts = None if decoded_col is None else pa.array(shared.value.texts, pa.large_binary())
         for batch in batches:
-            for row, data, offsets in chunks(batch.column(at)):
+            for row, data, offsets in chunks(batch.column(at), ENCODED):
                 part = batch.slice(row, len(offsets) - 1)
                 ids, ends = encoder.encode_rows(data, offsets, part.column("_key").to_numpy())
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], lists], [*kept, out_col])
+                found = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))]
+                if texts is not None:
+                    found.append(_joined(texts, pa.array(ids), ends))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *found], [*kept, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
-    return fed.mapInArrow(encode, ", ".join([*fields, f"`{out_col}` array<int>"]))
+    kinds = [f"`{name}` {kind}" for name, kind in zip(made, ("array<int>", "string"))]
+    return fed.mapInArrow(encode, ", ".join([*fields, *kinds]))
 
 
 def _joined(texts: pa.Array, ids: pa.Array, ends: np.ndarray) -> pa.Array:
