@@ -83,3 +83,25 @@ def test_odd_rows(spark):
     twice = run(spark, [(1, "a b c d"), (1, "a b c d"), (2, "a b c d")])
     assert twice == [(1, 0, 3, True), (1, 0, 3, True), (2, 0, 3, False)]
     assert run(spark, []) == []
+
+
+def test_lines_read_again_are_few(spark, monkeypatch):
+    """Only what may be in a pair is normalised again, at one place of each line; equal texts and null ids included."""
+    from webframe.llm import line_dedup
+
+    asked = []
+    some = line_dedup._some
+    monkeypatch.setattr(line_dedup, "_some", lambda lines, wanted: asked.append((lines, some(lines, wanted))) or asked[-1][1])
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)]
+    docs = [(k, " ".join(words[i % 60] for i in range(k * 7, k * 7 + 9)) + "\n" + "-" * k) for k in range(200)] + [(None, "x y\n7 z 5")]
+    docs += [(900, " ".join(words * 3)), (901, " ".join(words * 3) + " end")]
+    assert run(spark, docs) == brute(spark, docs)
+    for lines, found in asked:
+        assert "norm" not in lines.columns and found.count() <= 60 < lines.count()
+
+
+def test_majorities_of_many_equal_lines(spark):
+    rows = [((1, 0), " ".join(["a"] * 5 + ["b"] * 5), 9), ((2, 0), "a a b " * 3000 + "c", 4), ((2, 0), "a a b " * 3000 + "c", 3)]
+    got = _simhash(spark.createDataFrame(rows, "key struct<x:long,y:int>, norm string, at long")).collect()
+    a, b = (spark.sql(f"select xxhash64('{w}')").first()[0] for w in "ab")
+    assert {r.key.x: (r.sim, r["at"]) for r in got} == {1: (a & b, 9), 2: (a, 3)}

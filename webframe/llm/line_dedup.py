@@ -41,32 +41,50 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[0-9]++", "0"))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Every line of every document with its normal form and a key of that, null for a line without letters or digits."""
-    lines = docs.select(
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line of every document as it is."""
+    return docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text_col).alias("text_key"),
         F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"),
     )
+
+
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line of every document with its normal form and a key of that, null for a line without letters or digits."""
+    lines = _lines(docs, id_col, text_col)
     lines = with_once(lines, norm=F.nullif(normal_line(F.col("line")), F.lit("")))
-    key = F.struct(F.xxhash64("norm").alias("x"), F.hash("norm").alias("y"))
-    return lines.withColumn("key", F.when(F.col("norm").isNotNull(), key))
+    return lines.withColumn("key", F.when(F.col("norm").isNotNull(), _key()))
+
+
+def _key() -> Column:
+    return F.struct(F.xxhash64("norm").alias("x"), F.hash("norm").alias("y"))
+
+
+def _at() -> Column:
+    """A number for the place of a line, the same for rows of one text."""
+    return F.xxhash64("text_key", "line_no")
 
 
 def _simhash(lines: DataFrame) -> DataFrame:
-    """(key, sim, words) of (key, norm), where equal lines may come several times: that changes no majority.
+    """(key, sim) of (key, norm), where equal lines may come several times: that changes no majority.
 
-    Two bits are counted in one sum, 32 bits apart. A line is summed up where it is read, only the sums are shuffled.
+    A column ``at`` is returned too, the least one of a line. Two bits are counted in one sum, 32 bits apart. A line
+    is summed up where it is read, only the sums are shuffled. Both counts of a sum are compared with half the
+    number of words at once: what is added makes bit 30 of a half tell whether its count is larger. That keeps the
+    generated code short enough to be compiled.
     """
-    words = lines.select("key.x", "key.y", F.explode(F.split("norm", " ")).alias("w")).select("x", "y", F.xxhash64("w").alias("h"))
+    own = ["at"] if "at" in lines.columns else []
+    words = lines.select("key.x", "key.y", *own, F.explode(F.split("norm", " ")).alias("w")).select("x", "y", *own, F.xxhash64("w").alias("h"))
     pair = F.lit(0x100000001)
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"s{k}") for k in range(32)]
-    counted = words.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counted = words.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in own], *sums)
+    half = ((F.lit((1 << 30) - 1) - F.shiftright("n", 1)) * pair)
+    counted = counted.select("*", F.explode(F.array(half)).alias("half"))
     sim = F.lit(0).cast("long")
     for k in range(32):
-        for shift, count in ((k, F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF))), (k + 32, F.shiftrightunsigned(f"s{k}", 32))):
-            sim = sim + F.when(count * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), shift)).otherwise(0)
-    return counted.select(F.struct("x", "y").alias("key"), sim.alias("sim"))
+        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + F.col("half"), 30).bitwiseAND(pair), k))
+    return counted.select(F.struct("x", "y").alias("key"), sim.alias("sim"), *own)
 
 
 def _places(sims: DataFrame, distance: int, parts: int) -> DataFrame:
@@ -91,34 +109,38 @@ def _symbols(text: str) -> Column:
 
 
 def _some(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The lines whose key may be among ``wanted`` (line, key), by a bitmap of fixed size that is made from all of them.
+    """The lines whose ``at`` may be among those of ``wanted``, by a bitmap of fixed size that is made from all of them.
 
     The bitmap has at most 2^(FILTER_BITS - 15) rows of 4 KB, so it can be broadcast. It keeps the text of other
     lines out of the shuffle; what it lets through by chance is sorted out by the join that follows.
     """
     bit = lambda key: F.pmod(key, F.lit(1 << FILTER_BITS)) + 1
-    marked = wanted.select(bit(F.col("key.x")).alias("bit"))
+    marked = wanted.select(bit(F.col("at")).alias("bit"))
     maps = marked.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")
     )
-    at = F.bitmap_bit_position(bit(F.col("key.x")))
+    at = F.bitmap_bit_position(bit(F.col("at")))
     octet = F.conv(F.hex(F.substring(F.col("map"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    here = lines.join(F.broadcast(maps), F.bitmap_bucket_number(bit(F.col("key.x"))) == F.col("bucket"))
+    here = lines.join(F.broadcast(maps), F.bitmap_bucket_number(bit(F.col("at"))) == F.col("bucket"))
     return here.where(F.shiftright(octet, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0).drop("bucket", "map")
 
 
-def _coded(pairs: DataFrame, lines: DataFrame, every: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(line, code) for the lines of the pairs (a, b), read again from the documents."""
+def _coded(pairs: DataFrame, lines: DataFrame, raw: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(line, code) for the lines of the pairs (a, b), read again from the documents at one occurrence of each.
+
+    Only lines that the bitmap lets through are normalised again.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
-    wanted = scratch.save(ends.join(lines.select("line", "key"), "line"), f"wanted-{name}")
-    found = _some(every.where("key is not null").select("key", "norm"), wanted).join(wanted, "key").dropDuplicates(["line"])
+    wanted = scratch.save(ends.join(lines.select("line", "key", "at"), "line"), f"wanted-{name}")
+    found = _some(raw.select(_at().alias("at"), "line"), wanted).select("at", normal_line(F.col("line")).alias("norm"))
+    found = found.join(wanted, "at").where(_key() == F.col("key")).dropDuplicates(["line"])
     return scratch.save(found.select("line", _symbols("norm").alias("code")), f"codes-{name}")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, every: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, raw: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) whose lines are similar by edit distance over words."""
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
-    codes = _coded(pairs, lines, every, scratch, name)
+    codes = _coded(pairs, lines, raw, scratch, name)
     both = pairs.join(codes.toDF("a", "u"), "a").join(codes.toDF("b", "v"), "b")
     most = F.floor(F.greatest(F.length("u"), F.length("v")) * MOST_EDITS).cast("int")
     near = (F.abs(F.length("u") - F.length("v")) <= most) & (F.levenshtein("u", "v") <= most)
@@ -140,9 +162,9 @@ def fuzzy_line_groups(
     ``group_id`` is a number that holds within the result. Empty tables give no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    every = _occurrences(docs, id_col, text_col)
-    lines = _simhash(every.where("key is not null").select("key", "norm"))
-    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("line"), "key", "sim"), "lines")
+    raw, every = _lines(docs, id_col, text_col), _occurrences(docs, id_col, text_col)
+    lines = _simhash(every.where("key is not null").select("key", "norm", _at().alias("at")))
+    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("line"), "key", "sim", "at"), "lines")
     sims = lines.select("line", "sim")
     place = Window.partitionBy("place")
     in_order = place.orderBy("sim", "line")
@@ -155,7 +177,7 @@ def fuzzy_line_groups(
     met = scratch.save(met, "met")
     ends = met.where("p is not null").select("line", "sim", F.explode(F.array("f", "p")).alias("o"))
     ends = ends.select(F.col("line").alias("a"), F.col("o.line").alias("b"), "sim", F.col("o.sim").alias("other"))
-    links = _verified(ends.where(_near("sim", "other", distance)).select("a", "b"), lines, every, scratch, "first")
+    links = _verified(ends.where(_near("sim", "other", distance)).select("a", "b"), lines, raw, scratch, "first")
     first = components(links, "a", "b", scratch, "first")
 
     # Places of three or more lines whose lines are not all in one group.
@@ -168,7 +190,7 @@ def fuzzy_line_groups(
     a = rows.select("place", F.col("line").alias("a"), F.col("sim").alias("sa"), F.col("g").alias("ga"))
     b = rows.select("place", F.col("line").alias("b"), F.col("sim").alias("sb"), F.col("g").alias("gb"))
     across = a.join(b, "place").where((F.col("ga") < F.col("gb")) & _near("sa", "sb", distance)).select("a", "b")
-    rest = _verified(across, lines, every, scratch, "rest")
+    rest = _verified(across, lines, raw, scratch, "rest")
     final = components(links.unionByName(rest), "a", "b", scratch, "final")
 
     # Only lines that came several times or are linked need to know their group.
