@@ -105,3 +105,27 @@ def test_majorities_of_many_equal_lines(spark):
     got = _simhash(spark.createDataFrame(rows, "key struct<x:long,y:int>, norm string, at long")).collect()
     a, b = (spark.sql(f"select xxhash64('{w}')").first()[0] for w in "ab")
     assert {r.key.x: (r.sim, r["at"]) for r in got} == {1: (a & b, 9), 2: (a, 3)}
+
+
+def test_fields_of_every_width(spark):
+    from webframe.llm.line_dedup import _with_sim
+
+    rows = [((k, 0), " ".join(f"w{(k * 7 + i * i) % 31}" for i in range(n))) for k, n in enumerate([1, 2, 3, 40, 41, 300])] + [(None, None)]
+    df = spark.createDataFrame(rows, "key struct<x:long,y:int>, norm string").coalesce(1)
+    want = [(r.key, r.sim, r.n) for r in _with_sim(df, 32).orderBy("row").collect()]
+    assert want[-1] == (None, None, 0) and [n for *_, n in want[:-1]] == [1, 2, 3, 40, 41, 300]
+    for width in (12, 16, 21):
+        assert [(r.key, r.sim, r.n) for r in _with_sim(df, width).orderBy("row").collect()] == want
+
+
+def test_only_lines_of_like_length_are_pairs_in_crowds_too(spark, monkeypatch):
+    from webframe.llm import line_dedup
+
+    asked = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, *a: asked.append(pairs.distinct().count()) or verified(pairs, *a))
+    docs = [(k, " ".join(["same"] * n)) for k, n in enumerate((1, 2, 4, 8, 16, 17))]
+    assert run(spark, docs) == brute(spark, docs) and asked == [1, 0]
+    monkeypatch.setattr(line_dedup, "CROWD", 1)
+    docs += [(9, " ".join(["same"] * 18)), (10, " ".join(["same"] * 9))]
+    assert run(spark, docs) == brute(spark, docs)

@@ -9,9 +9,13 @@ many parts. Candidates are linked when the edit distance over words is at most
 a quarter of the longer line; words count as equal there if their hashes agree modulo 20,000, so that about one
 pair of different words in 20,000 does. Everything is DataFrame expressions.
 
-A place where lines meet may hold very many. First each line is compared with the
-first and the previous one of its place only; what they link is one group. Then
-places that still hold several groups are joined in full, only across groups.
+Of an occurrence only numbers are kept: its key, its SimHash and its number of words, all worked out
+from one reading. Lines whose numbers of words differ by more than the edit distance may are not compared.
+
+A place where lines meet may hold very many. In a place of at most CROWD + 1 lines each is compared with all
+before it, where they are sorted. In a larger one each line is first compared with the
+first and the previous one of its place only; what is linked then is one group. Then
+those of them that still hold several groups are joined in full, only across groups.
 With more data take more PARTS, which makes places narrower: the bits of a place
 (64 * (PARTS - DISTANCE) / PARTS, 26 here) should exceed the logarithm of the number of lines.
 """
@@ -29,6 +33,8 @@ from webframe.llm.common import Scratch
 from webframe.llm.components import components
 
 DISTANCE, PARTS = 3, 5
+#: A place of more than one line more than this is crowded.
+CROWD = 32
 #: Bits of the filter for texts that are read again.
 FILTER_BITS = 26
 #: Largest edit distance over words, as a share of the longer line.
@@ -36,9 +42,13 @@ MOST_EDITS = 0.25
 
 
 def normal_line(line: Column) -> Column:
-    """Lower case, runs of ASCII signs and white space as one space, numbers as 0."""
-    line = F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++", " ")
-    return F.trim(F.regexp_replace(line, r"[0-9]++", "0"))
+    """Lower case, runs of ASCII signs and white space as one space, numbers as 0.
+
+    What stays as it is, a single space or 0, is not matched: most of a text is passed over.
+    """
+    signs = r"\x00-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+    line = F.regexp_replace(F.lower(line), f"[{signs}][ {signs}]*+| [ {signs}]++", " ")
+    return F.trim(F.regexp_replace(line, r"[1-9][0-9]*+|0[0-9]++", "0"))
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,40 +76,86 @@ def _at() -> Column:
     return F.xxhash64("text_key", "line_no")
 
 
-def _simhash(lines: DataFrame) -> DataFrame:
-    """(key, sim) of (key, norm), where equal lines may come several times: that changes no majority.
+def _with_sim(lines: DataFrame, width: int) -> DataFrame:
+    """Replaces ``norm`` by ``sim``, its SimHash, and ``n``, its number of words; null and 0 for a null. Adds the order of rows as ``row``.
 
-    A column ``at`` is returned too, the least one of a line. Two bits are counted in one sum, 32 bits apart. A line
-    is summed up where it is read, only the sums are shuffled. Both counts of a sum are compared with half the
-    number of words at once: what is added makes bit 30 of a half tell whether its count is larger. That keeps the
+    The counts of the bits are fields of ``width`` bits, for lines of at most 2^(width - 2) words. A line
+    is summed up where it is read, only the sums are shuffled. All counts of a sum are compared with half the
+    number of words at once: what is added makes the second highest bit of a field tell whether its count is larger. That keeps the
     generated code short enough to be compiled.
     """
-    own = ["at"] if "at" in lines.columns else []
-    words = lines.select("key.x", "key.y", *own, F.explode(F.split("norm", " ")).alias("w")).select("x", "y", *own, F.xxhash64("w").alias("h"))
-    pair = F.lit(0x100000001)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(pair)).alias(f"s{k}") for k in range(32)]
-    counted = words.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in own], *sums)
-    half = ((F.lit((1 << 30) - 1) - F.shiftright("n", 1)) * pair)
+    # Numbers of their own, as a key in one column would take the slower of Spark's hash tables.
+    other = [c for c in lines.columns if c not in ("key", "norm")]
+    lines = lines.select(*other, "key.x", "key.y", "norm", F.monotonically_increasing_id().alias("row"))
+    own = [*other, "x", "y"]
+    words = lines.select("row", *own, F.explode_outer(F.split("norm", " ")).alias("w")).select("row", *own, "w", F.xxhash64("w").alias("h"))
+    fields = 64 // width
+    shifts = range(64 - width * (fields - 1))
+    ones = F.lit(sum(1 << (width * k) for k in range(fields)))
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(ones)).alias(f"s{k}") for k in shifts]
+    counted = words.groupBy("row", *own).agg(F.count("w").alias("n"), *sums)
+    half = (F.lit((1 << (width - 2)) - 1) - F.shiftright("n", 1)) * ones
     counted = counted.select("*", F.explode(F.array(half)).alias("half"))
     sim = F.lit(0).cast("long")
-    for k in range(32):
-        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + F.col("half"), 30).bitwiseAND(pair), k))
-    return counted.select(F.struct("x", "y").alias("key"), sim.alias("sim"), *own)
+    for k in shifts:
+        sim = sim.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + F.col("half"), width - 2).bitwiseAND(ones), k))
+    key = F.when(F.col("n") > 0, F.struct("x", "y")).alias("key")
+    return counted.select("row", *other, key, F.when(F.col("n") > 0, sim).alias("sim"), F.col("n").cast("int").alias("n"))
+
+
+def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line of every document: id, text_key, line_no, key, sim, n. Narrow sums do for documents below 2^20 bytes."""
+    few = F.coalesce(F.octet_length(text_col) < 1 << 20, F.lit(True))
+    narrow, wide = (
+        _with_sim(_occurrences(docs.where(some), id_col, text_col).select("id", "text_key", "line_no", "key", "norm"), width)
+        for some, width in ((few, 21), (~few, 32))
+    )
+    return narrow.unionByName(wide).sortWithinPartitions("row").drop("row")
+
+
+def _distinct(lines: DataFrame) -> DataFrame:
+    """One row of each key, with the least ``at`` and how often it came; the other columns are the same in all its rows."""
+    same = [F.min(c).alias(c) for c in lines.columns if c != "key"]
+    found = lines.select("key.*", *[c for c in lines.columns if c != "key"]).groupBy("x", "y").agg(*same, F.count(F.lit(1)).alias("times"))
+    return found.select(F.struct("x", "y").alias("key"), *[c for c in found.columns if c not in ("x", "y")])
+
+
+def _simhash(lines: DataFrame) -> DataFrame:
+    """(key, sim) of (key, norm), where equal lines may come several times. A column ``at`` is returned too, the least one of a line."""
+    return _distinct(_with_sim(lines, 32).drop("n", "row")).drop("times")
 
 
 def _places(sims: DataFrame, distance: int, parts: int) -> DataFrame:
-    """A row of (place, line, sim) for each choice of parts: the number of the choice and the bits of its parts."""
+    """A row of (place, line, rest, n) for each choice of parts: the number of the choice with the bits of its parts, and the other bits."""
     edges = [64 * k // parts for k in range(parts + 1)]
-    keys = []
+
+    def bits(chosen, number: int) -> Column:
+        """The bits of the chosen parts, one after the other, behind a number."""
+        out = F.lit(number).cast("long")
+        for k in chosen:
+            width = edges[k + 1] - edges[k]
+            part = F.shiftrightunsigned("sim", edges[k]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+            out = F.shiftleft(out, width).bitwiseOR(part)
+        return out
+
+    choices = []
     for number, chosen in enumerate(combinations(range(parts), parts - distance)):
-        bits = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
-        bits -= (1 << 64) if bits >> 63 else 0
-        keys.append(F.xxhash64(F.lit(number), F.col("sim").bitwiseAND(F.lit(bits).cast("long"))))
-    return sims.select(F.explode(F.array(*keys)).alias("place"), "line", "sim")
+        others = [k for k in range(parts) if k not in chosen]
+        place, rest = bits(chosen, number), bits(others, 0)
+        if number.bit_length() + sum(edges[k + 1] - edges[k] for k in chosen) > 64:
+            place, rest = F.xxhash64(F.lit(number), bits(chosen, 0)), F.col("sim")
+        choices.append(F.struct(place.alias("place"), rest.alias("rest")))
+    return sims.select("line", "n", F.inline(F.array(*choices))).select("place", "line", "rest", "n")
+
 
+def _most(a: Column, b: Column) -> Column:
+    """The largest edit distance of similar lines of so many words."""
+    return F.floor(F.greatest(a, b) * MOST_EDITS).cast("int")
 
-def _near(a: str, b: str, distance: int) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+
+def _near(a, b, distance: int) -> Column:
+    """Whether two rows of one place, by their ``rest`` and ``n``, may be similar."""
+    return (F.bit_count(a("rest").bitwiseXOR(b("rest"))) <= distance) & (F.abs(a("n") - b("n")) <= _most(a("n"), b("n")))
 
 
 def _symbols(text: str) -> Column:
@@ -142,8 +198,8 @@ def _verified(pairs: DataFrame, lines: DataFrame, raw: DataFrame, scratch: Scrat
     pairs = scratch.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs-{name}")
     codes = _coded(pairs, lines, raw, scratch, name)
     both = pairs.join(codes.toDF("a", "u"), "a").join(codes.toDF("b", "v"), "b")
-    most = F.floor(F.greatest(F.length("u"), F.length("v")) * MOST_EDITS).cast("int")
-    near = (F.abs(F.length("u") - F.length("v")) <= most) & (F.levenshtein("u", "v") <= most)
+    most = _most(F.length("u"), F.length("v"))
+    near = (F.abs(F.length("u") - F.length("v")) <= most) & (F.call_function("levenshtein", F.col("u"), F.col("v"), most) >= 0)
     return scratch.save(both.where(near).select("a", "b"), f"links-{name}")
 
 
@@ -162,50 +218,58 @@ def fuzzy_line_groups(
     ``group_id`` is a number that holds within the result. Empty tables give no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    raw, every = _lines(docs, id_col, text_col), _occurrences(docs, id_col, text_col)
-    lines = _simhash(every.where("key is not null").select("key", "norm", _at().alias("at")))
-    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("line"), "key", "sim", "at"), "lines")
-    sims = lines.select("line", "sim")
-    place = Window.partitionBy("place")
-    in_order = place.orderBy("sim", "line")
-    met = _places(sims, distance, parts).select(
-        "place", "line", "sim",
-        F.first(F.struct("line", "sim")).over(in_order).alias("f"),
-        F.lag(F.struct("line", "sim")).over(in_order).alias("p"),
-        F.lead("line").over(in_order).isNotNull().alias("more"),
-    ).where("more or p is not null")
-    met = scratch.save(met, "met")
-    ends = met.where("p is not null").select("line", "sim", F.explode(F.array("f", "p")).alias("o"))
-    ends = ends.select(F.col("line").alias("a"), F.col("o.line").alias("b"), "sim", F.col("o.sim").alias("other"))
-    links = _verified(ends.where(_near("sim", "other", distance)).select("a", "b"), lines, raw, scratch, "first")
+    raw = _lines(docs, id_col, text_col)
+    own = scratch.save(_own(docs, id_col, text_col), "own")
+    lines = _distinct(own.where("key is not null").select("key", "sim", "n", _at().alias("at")))
+    lines = scratch.save(lines.select(F.monotonically_increasing_id().alias("line"), "key", "sim", "n", "at", "times"), "lines")
+    met = scratch.save(_met(_places(lines.select("line", "sim", "n"), distance, parts), distance), "met")
+    pairs = met.select(F.col("line").alias("a"), F.explode("near").alias("b"))
+    links = _verified(pairs, lines, raw, scratch, "first")
     first = components(links, "a", "b", scratch, "first")
 
-    # Places of three or more lines whose lines are not all in one group.
-    third = met.where("p is not null and p.line != f.line").select("place").distinct()
-    open_rows = met.select("place", "line", "sim").join(third, "place")
-    grouped = open_rows.join(first.withColumnRenamed("node", "line"), "line", "left")
-    grouped = scratch.save(grouped.select("place", "line", "sim", F.coalesce("root", "line").alias("g")), "grouped")
+    # Crowded places whose lines are not all in one group.
+    grouped = met.where("crowded").join(first.withColumnRenamed("node", "line"), "line", "left")
+    grouped = scratch.save(grouped.select("place", "line", "rest", "n", F.coalesce("root", "line").alias("g")), "grouped")
     mixed = grouped.groupBy("place").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("place")
     rows = grouped.join(mixed, "place")
-    a = rows.select("place", F.col("line").alias("a"), F.col("sim").alias("sa"), F.col("g").alias("ga"))
-    b = rows.select("place", F.col("line").alias("b"), F.col("sim").alias("sb"), F.col("g").alias("gb"))
-    across = a.join(b, "place").where((F.col("ga") < F.col("gb")) & _near("sa", "sb", distance)).select("a", "b")
-    rest = _verified(across, lines, raw, scratch, "rest")
+    a, b = rows.alias("a"), rows.alias("b")
+    across = a.join(b, F.col("a.place") == F.col("b.place")).where(F.col("a.g") < F.col("b.g"))
+    across = across.where(_near(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), distance))
+    rest = _verified(across.select(F.col("a.line").alias("a"), F.col("b.line").alias("b")), lines, raw, scratch, "rest")
     final = components(links.unionByName(rest), "a", "b", scratch, "final")
 
     # Only lines that came several times or are linked need to know their group.
-    own = every.select("id", "text_key", "line_no", "key")
-    named = lines.select("line", "key").join(final.withColumnRenamed("node", "line"), "line", "left")
-    named = named.select("key", F.coalesce("root", "line").alias("group_id"))
-    placed = scratch.save(own.join(named, "key", "left").select("id", "text_key", "line_no", "group_id"), "placed")
+    named = lines.select("line", "key", "times").join(final.withColumnRenamed("node", "line"), "line", "left")
+    alone = F.col("root").isNull() & (F.col("times") == 1)
+    named = named.select("key", F.coalesce("root", "line").alias("group_id"), alone.alias("alone"))
+    placed = own.select("id", "text_key", "line_no", "key").join(named, "key", "left").withColumn("alone", F.coalesce("alone", F.lit(True)))
+    placed = scratch.save(placed.select("id", "text_key", "line_no", "group_id", "alone"), "placed")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "line_no")
-    groups = placed.where("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
-    groups = groups.where("n > 1")
-    is_first = F.col("n").isNull() | order.eqNullSafe(F.col("first"))
-    return placed.join(groups, "group_id", "left").select(
-        F.col("id").alias(id_col), "text_key", "line_no", "group_id",
-        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), is_first.alias("kept"),
-    )
+    several = placed.where("not alone")
+    groups = several.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+
+    def result(rows: DataFrame, size: Column, kept: Column) -> DataFrame:
+        return rows.select(F.col("id").alias(id_col), "text_key", "line_no", "group_id", size.cast("long").alias("group_size"), kept.alias("kept"))
+
+    is_first = order.eqNullSafe(F.col("first"))
+    return result(placed.where("alone"), F.lit(1), F.lit(True)).unionByName(result(several.join(groups, "group_id"), F.col("n"), is_first))
+
+
+def _met(places: DataFrame, distance: int) -> DataFrame:
+    """(place, line, rest, n, crowded, near): the rows that are in a crowded place or near others of their place.
+
+    ``near`` has the near ones of all lines before it in its place, in a crowded place of the first and the previous one.
+    """
+    in_order = Window.partitionBy("place").orderBy("rest", "line")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    row = F.struct("line", "rest", "n")
+    places = places.withColumn("lines", F.count(F.lit(1)).over(whole)).where("lines > 1")
+    places = places.select("*", F.collect_list(row).over(in_order.rowsBetween(-CROWD, -1)).alias("before"), F.first(row).over(in_order).alias("f"))
+    crowded = F.col("lines") > CROWD + 1
+    others = F.when(crowded, F.when(F.size("before") > 0, F.array("f", F.element_at("before", -1)))).otherwise(F.col("before"))
+    met = places.select("place", "line", "rest", "n", crowded.alias("crowded"), F.coalesce(others, F.array()).alias("others"))
+    near = F.transform(F.filter("others", lambda o: _near(F.col, lambda c: o[c], distance)), lambda o: o["line"])
+    return with_once(met, near=near).drop("others").where("crowded or size(near) > 0")
 
 
 def drop_fuzzy_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
